@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -44,9 +44,76 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(_table(spark, sf_dir, "documents"), _tokenizer())
 
 
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality scores of all documents; only rows outside the held-out fifth are learned from."""
+    from sigfield.llm.quality import fit, score
+
+    docs = _table(spark, sf_dir, "documents")
+    fifth = lambda c: F.crc32(F.col(c).cast("string").cast("binary")) % 5
+    model = fit(docs, _table(spark, sf_dir, "labels"), fifth("id") != 0)
+    scored = score(docs, model)
+    return scored.select("doc_id", (fifth("doc_id") == 0).alias("held_out"), "score", F.when(F.col("score") >= 0.3, 1).otherwise(0).alias("predicted"))
+
+
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without the words of repeated 13-word windows, as digests."""
+    from sigfield.llm.substrings import remove_repeats
+
+    rows = remove_repeats(_table(spark, sf_dir, "documents"))
+    return rows.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents with the component that links of 85 % shared shingles put them in."""
+    from sigfield.llm.neardup import near_duplicates
+
+    return near_duplicates(_table(spark, sf_dir, "documents"))
+
+
+def _joined(spans: Column) -> Column:
+    return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))), ",")
+
+
+def _count(spans: Column, kind: str) -> Column:
+    return F.size(F.filter(spans, lambda x: x["base"] & (x["kind"] == kind))).cast("long").alias(f"n_{kind}")
+
+
+def op7_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data of all documents: counts of base spans, their digest, and all spans."""
+    from sigfield.llm.pii import KINDS, find_personal_data
+
+    rows, s = find_personal_data(_table(spark, sf_dir, "documents")), F.col("spans")
+    base = F.filter(s, lambda x: x["base"])
+    return rows.select("doc_id", *(_count(s, k) for k in KINDS), F.sha2(_joined(base), 256).alias("base_sha256"), _joined(s).alias("spans"))
+
+
+def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of all documents: counts of base spans, their digest, all spans, and how many of the
+    base spans look live or are copied by several sources."""
+    from sigfield.llm.secrets import scan_secrets
+
+    rows, s = scan_secrets(_table(spark, sf_dir, "documents")), F.col("secrets")
+    base = F.filter(s, lambda x: x["base"])
+    n = lambda live: F.size(F.filter(base, lambda x: x["live"] == live)).cast("long")
+    return rows.select("doc_id", *(_count(s, k) for k in ("assign", "access", "hex")), F.sha2(_joined(base), 256).alias("base_sha256"), _joined(s).alias("spans"), n(True).alias("n_live"), n(False).alias("n_copied"))
+
+
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that contain benchmark items, with the items and similarities."""
+    from sigfield.llm.decontaminate import find_leaks
+
+    return find_leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_files": op1_token_files,
     "op2_bpe": op2_bpe,
+    "op3_quality": op3_quality,
+    "op4_substring_dedup": op4_substring_dedup,
+    "op5_near_duplicates": op5_near_duplicates,
+    "op7_personal_data": op7_personal_data,
+    "op8_secrets": op8_secrets,
+    "op9_decontamination": op9_decontamination,
     "op10_token_counts": op10_token_counts,
 }
 
