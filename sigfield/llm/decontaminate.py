@@ -49,18 +49,26 @@ def simhash(sh: Column) -> Column:
         having = F.size(F.filter(sh, lambda h: F.call_function("shiftright", h, b).bitwiseAND(one) == 1))
         return code.bitwiseOR(F.when(having * 2 > F.size(sh), F.call_function("shiftleft", one, b)).otherwise(zero))
 
-    return F.aggregate(F.sequence(F.lit(0), F.lit(BITS - 1)), zero, with_bit)
+    # never null, so that no condition on it is moved to where documents are taken apart
+    return F.coalesce(F.aggregate(F.sequence(F.lit(0), F.lit(BITS - 1)), zero, with_bit), zero)
+
+
+def _edges(n: int) -> list[tuple[int, int]]:
+    """(first bit, number of bits) of the n blocks of a fingerprint."""
+    at = [round(k * BITS / n) for k in range(n + 1)]
+    return [(a, b - a) for a, b in zip(at, at[1:])]
 
 
 def blocks(code: Column, n: int) -> Column:
     """Array of (number, value) of the n blocks of a fingerprint."""
+    part = lambda a, w: F.shiftrightunsigned(code, a).bitwiseAND(F.lit((1 << w) - 1).cast("long"))
+    return F.array(*(F.struct(F.lit(k).alias("number"), part(*e).alias("value")) for k, e in enumerate(_edges(n))))
 
-    def block(k: Column) -> Column:
-        a, b = (F.floor(x * BITS / n).cast("int") for x in (k, k + 1))
-        mask = F.call_function("shiftleft", F.lit(1).cast("long"), b - a) - 1
-        return F.struct(k.alias("number"), F.call_function("shiftrightunsigned", code, a).bitwiseAND(mask).alias("value"))
 
-    return F.transform(F.sequence(F.lit(0), F.lit(n - 1)), block)
+def first_equal(a: Column, b: Column, n: int) -> Column:
+    """The number of the first block in which two fingerprints agree."""
+    differ = lambda at, w: F.shiftrightunsigned(a.bitwiseXOR(b), at).bitwiseAND(F.lit((1 << w) - 1).cast("long"))
+    return F.coalesce(*(F.when(differ(*e) == 0, k) for k, e in enumerate(_edges(n))))
 
 
 def similarity(a: Column, b: Column) -> Column:
@@ -97,9 +105,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8, ra
     side = F.broadcast(index) if index_rows <= ANCHORS else index
     close = keyed.join(side, ["m", "number", "value"]).where(F.bit_count(F.col("code").bitwiseXOR(F.col("item_code"))) <= radius)
     # the first block in which the two agree speaks for the pair
-    a, b = blocks(F.col("code"), radius + 1), blocks(F.col("item_code"), radius + 1)
-    first = F.array_position(F.zip_with(a, b, lambda x, y: x["value"] == y["value"]), True) - 1
-    close = close.where(F.col("number") == first).select("doc", "item", "window")
+    close = close.where(F.col("number") == first_equal(F.col("code"), F.col("item_code"), radius + 1)).select("doc", "item", "window")
     bags = items.select("item", F.col("sh").alias("item_sh"))
     full = close.join(F.broadcast(bags) if index_rows <= ANCHORS // 8 else bags, "item").withColumn("similarity", similarity(F.col("window"), F.col("item_sh")))
     best = full.where(F.col("similarity") >= threshold).groupBy("doc", "item").agg(F.max("similarity").alias("similarity"))
