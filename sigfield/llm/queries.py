@@ -70,6 +70,14 @@ def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op6_bm25_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best documents for the whole text of every document whose id is divisible by 20."""
+    from sigfield.llm.search import search
+
+    docs = _table(spark, sf_dir, "documents")
+    return search(docs, docs.where("doc_id % 20 = 0").withColumnRenamed("doc_id", "query_id"))
+
+
 def _joined(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))), ",")
 
@@ -111,6 +119,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_quality": op3_quality,
     "op4_substring_dedup": op4_substring_dedup,
     "op5_near_duplicates": op5_near_duplicates,
+    "op6_bm25_search": op6_bm25_search,
     "op7_personal_data": op7_personal_data,
     "op8_secrets": op8_secrets,
     "op9_decontamination": op9_decontamination,
