@@ -1,16 +1,17 @@
 """Operator 5: near-duplicate documents by MinHash bands and odd sketches.
 
 A document's set holds its distinct 5-word shingles. Documents with equal sets form a class; only
-classes are compared. 256 MinHash samples of a set are folded into a parity bitmap, its odd sketch; the
+classes are compared. 512 MinHash samples of a set are folded into a parity bitmap, its odd sketch; the
 first 128 also form 32 bands of 4. Classes that share a band are candidates; the number of differing
-bits of two odd sketches estimates their similarity, and pairs that reach ``floor`` (five standard
-deviations below the threshold) are confirmed on the full sets. The bands miss a link at the threshold
-with a chance of about 1e-10.
+bits of two odd sketches estimates their similarity, and pairs that differ in no more bits than the
+threshold leads to, plus four standard deviations, are confirmed on the full sets. The bands miss a link
+at the threshold with a chance of about 1e-10, the sketches with one of 3e-5, and closer links less.
 
 A bucket of a band never emits all its pairs. First each member is compared with the bucket's least
 member. What is linked is one component, so afterwards only members outside the bucket's largest
 component are compared with the others, sketch by sketch inside blocks of bounded size; each yields
-its best candidates of other components first, in rounds of growing width, until none is left. Every
+its best candidates of other components first, in rounds of growing width, until none is left; a pair
+counts in the first band that it shares only. Every
 candidate pair whose ends are not connected yet is thus confirmed or refused on full sets.
 
 Rows without words or text have an empty set and stay alone. Equal rows share a class. A null id takes
@@ -33,7 +34,7 @@ from sigfield.llm.graph import components
 from sigfield.llm.words import U, mix, slabs, text_of, words_of
 from sigfield.runtime import cut, ship
 
-SAMPLES, BANDS, ROWS, BITS = 256, 32, 4, 1024
+SAMPLES, BANDS, ROWS, BITS = 512, 32, 4, 2048
 BLOCK = 2048  # members of a bucket that one block holds
 
 _rng = np.random.default_rng(11)
@@ -82,15 +83,23 @@ def bands_of(best: np.ndarray) -> np.ndarray:
     return acc.view(np.int64)
 
 
+def mark(band: int) -> np.uint32:
+    """What stands for a band among a class's marks."""
+    return np.uint32(band & 0xFFFFFFFF)
+
+
 def odd_sketch(best: np.ndarray) -> bytes:
     """Parity of how many samples fall on each of BITS bits."""
     hit = np.bincount((mix(best.astype(U) + _SLOT) % U(BITS)).astype(np.int64), minlength=BITS) & 1
     return np.packbits(hit.astype(np.uint8)).tobytes()
 
 
-def most_bits(floor: float) -> int:
-    """Differing sketch bits at a similarity of ``floor``: each of the 2k(1-J) unshared samples flips one."""
-    return math.ceil(BITS / 2 * (1 - math.exp(-4 * SAMPLES * (1 - floor) / BITS)))
+def most_bits(threshold: float, deviations: float = 4) -> int:
+    """Differing sketch bits to allow for a similarity of at least ``threshold``: each of the 2k(1-J)
+    unshared samples flips one, and two flips of one bit cancel."""
+    flips = 2 * SAMPLES * (1 - threshold)
+    spread = math.hypot(2 * math.sqrt(SAMPLES * threshold * (1 - threshold)), flips / math.sqrt(BITS))
+    return math.ceil(BITS / 2 * (1 - math.exp(-2 * flips / BITS)) + deviations * spread)
 
 
 def _features(docs: DataFrame, id_col: str, text_col: str, k: int) -> DataFrame:
@@ -106,12 +115,13 @@ def _features(docs: DataFrame, id_col: str, text_col: str, k: int) -> DataFrame:
                         pa.array([identity(s) if len(s) else None for s in sets], pa.binary()),
                         pa.array([None if x is None else bands_of(x) for x in best], pa.list_(pa.int64())),
                         pa.array([None if x is None else odd_sketch(x) for x in best], pa.binary()),
+                        pa.array([None if x is None else bands_of(x).astype(np.uint32).tobytes() for x in best], pa.binary()),
                     ],
-                    [id_col, "n_shingles", "node", "bands", "sketch"],
+                    [id_col, "n_shingles", "node", "bands", "sketch", "marks"],
                 )
 
     kept = docs.select(F.col(id_col), F.col(text_col).cast("string").alias("text"))
-    fields = [("n_shingles", T.LongType()), ("node", T.BinaryType()), ("bands", T.ArrayType(T.LongType())), ("sketch", T.BinaryType())]
+    fields = [("n_shingles", T.LongType()), ("node", T.BinaryType()), ("bands", T.ArrayType(T.LongType())), ("sketch", T.BinaryType()), ("marks", T.BinaryType())]
     return kept.mapInArrow(run, T.StructType([kept.schema[0], *(T.StructField(*f) for f in fields)]))
 
 
@@ -171,7 +181,7 @@ def _near(pairs: DataFrame, classes: DataFrame, most: int) -> DataFrame:
 def _rest(members: DataFrame, most: int, lo: int, hi: int) -> DataFrame:
     """Candidates (u, v, more) of members outside their bucket's largest component.
 
-    ``members`` has band, node, root, sketch. Each member so left out is compared with all members in
+    ``members`` has band, node, root, sketch, marks (of all its bands). Each member so left out is compared with all members in
     blocks; of the pairs near enough, those whose place among u's in the block, nearest first, is in
     [lo, hi) and whose roots differ come out. ``more`` tells that u has places beyond.
     """
@@ -182,15 +192,17 @@ def _rest(members: DataFrame, most: int, lo: int, hi: int) -> DataFrame:
     left = rows.where("root <> main").withColumn("part", pick(1, "parts")).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     right = rows.withColumn("block", pick(2, "blocks")).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     dealt = left.withColumn("side", F.lit(0)).union(right.withColumn("side", F.lit(1)).select(*left.columns, "side"))
-    dealt = dealt.select("band", "block", "part", "side", "node", "root", "sketch").repartition("band", "block", "part").sortWithinPartitions("band", "block", "part", "side", "node")
+    dealt = dealt.select("band", "block", "part", "side", "node", "root", "sketch", "marks").repartition("band", "block", "part").sortWithinPartitions("band", "block", "part", "side", "node")
 
-    def group(nodes: list, roots: list, sketches: np.ndarray, sides: np.ndarray) -> tuple[list, list, list]:
+    def group(band: int, nodes: list, roots: list, sketches: np.ndarray, marks: np.ndarray, sides: np.ndarray) -> tuple[list, list, list]:
         u, v, more = [], [], []
         left, right = np.flatnonzero(sides == 0), np.flatnonzero(sides == 1)
-        other = sketches[right]
+        other, theirs = sketches[right], marks[right]
         for i in left:
             bits = _popcount(other ^ sketches[i])
             near = np.flatnonzero(bits <= most)
+            same = theirs[near] == marks[i]
+            near = near[marks[i][same.argmax(1)] == mark(band)]  # else an earlier band has the pair
             near = near[np.argsort(bits[near], kind="stable")]
             beyond = len(near) > hi and any(roots[right[j]] != roots[i] for j in near[hi:])
             for j in near[lo:hi]:
@@ -218,9 +230,10 @@ def _rest(members: DataFrame, most: int, lo: int, hi: int) -> DataFrame:
                 held, starts = t.slice(starts[-2]), starts[:-1]
             nodes, roots, sides = t["node"].to_pylist(), t["root"].to_pylist(), t["side"].to_numpy()
             sketches = np.frombuffer(b"".join(t["sketch"].to_pylist()), U).reshape(-1, BITS // 64)
+            marks = np.frombuffer(b"".join(t["marks"].to_pylist()), np.uint32).reshape(-1, BANDS)
             out: tuple[list, list, list] = [], [], []
             for x, y in zip(starts, starts[1:]):
-                for all_, new in zip(out, group(nodes[x:y], roots[x:y], sketches[x:y], sides[x:y])):
+                for all_, new in zip(out, group(int(key[0, x]), nodes[x:y], roots[x:y], sketches[x:y], marks[x:y], sides[x:y])):
                     all_.extend(new)
             yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.binary()), pa.array(out[1], pa.binary()), pa.array(out[2], pa.bool_())], ["u", "v", "more"])
 
@@ -235,13 +248,12 @@ def _with_end(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | No
 def near_duplicates(docs: DataFrame, num: int = 85, den: int = 100, k: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: the id column, ``n_shingles``, ``component_id`` (smallest id reachable) and ``kept``."""
     ship(docs.sparkSession)
-    floor = num / den - 5 * math.sqrt(num / den * (1 - num / den) / SAMPLES)
-    most = most_bits(floor) + 3 * math.isqrt(BITS) // 4
+    most = most_bits(num / den)
     features = cut(_features(docs, id_col, text_col, k), "features")
     alone = features.where("node is null")
     rows = features.where("node is not null")
-    first = F.min(F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), "bands", "sketch"))
-    classes = cut(rows.groupBy("node").agg(first.alias("x")).select("node", F.col("x.id").alias("first_id"), "x.bands", "x.sketch"), "classes")
+    first = F.min(F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), "bands", "sketch", "marks"))
+    classes = cut(rows.groupBy("node").agg(first.alias("x")).select("node", F.col("x.id").alias("first_id"), "x.bands", "x.sketch", "x.marks"), "classes")
 
     banded = classes.select("node", F.explode("bands").alias("band"))
     buckets = banded.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("center")).where("n > 1").drop("n")
@@ -255,7 +267,7 @@ def near_duplicates(docs: DataFrame, num: int = 85, den: int = 100, k: int = 5,
     while True:
         roots = cut(roots, "roots")
         known = members.select("band", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        known = known.join(classes.select("node", "sketch"), "node")
+        known = known.join(classes.select("node", "sketch", "marks"), "node")
         found = cut(_rest(known, most, lo, hi).groupBy("u", "v").agg(F.max("more").alias("more")), "rest")
         links = _confirm(found.where("u <> v").select("u", "v"), sets, num, den)
         to_root = roots.select(F.col("node"), F.col("root"))
