@@ -82,12 +82,13 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8, ra
     """Pairs (id, item, similarity) of documents and the items they contain: per pair the highest
     similarity of a window, where that reaches ``threshold``."""
     items = shingled(benchmark.select(F.col(item_col).alias("item"), F.col(item_text_col).alias("t")), "t").drop("t").where(F.size("sh") > 0)
-    items = cut(items.select("item", "sh", F.size("sh").alias("m"), simhash(F.col("sh")).alias("code")), "items")
+    # ids may be null or repeat: rows stand for items until the end
+    items = cut(items.select(F.monotonically_increasing_id().alias("row"), "item", "sh", F.size("sh").alias("m"), simhash(F.col("sh")).alias("code")), "items")
     placed = items.select("sh", "m", F.posexplode("sh").alias("j", "h"))
     anchors = placed.select("h", "m", "j", F.when(F.col("j") > 0, F.get("sh", F.col("j") - 1)).alias("prior")).distinct()
     parts = max(1, math.ceil(anchors.count() / ANCHORS))
     index_rows = items.count() * (radius + 1)
-    index = items.select(F.col("item"), "m", F.col("code").alias("item_code"), F.explode(blocks(F.col("code"), radius + 1)).alias("x")).select("item", "m", "item_code", "x.number", "x.value")
+    index = items.select("row", "m", F.col("code").alias("item_code"), F.explode(blocks(F.col("code"), radius + 1)).alias("x")).select("row", "m", "item_code", "x.number", "x.value")
 
     texts = shingled(docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("t")), "t").drop("t")
     at = texts.select("doc", "sh", F.posexplode_outer("sh").alias("i", "h"))
@@ -105,8 +106,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8, ra
     side = F.broadcast(index) if index_rows <= ANCHORS else index
     close = keyed.join(side, ["m", "number", "value"]).where(F.bit_count(F.col("code").bitwiseXOR(F.col("item_code"))) <= radius)
     # the first block in which the two agree speaks for the pair
-    close = close.where(F.col("number") == first_equal(F.col("code"), F.col("item_code"), radius + 1)).select("doc", "item", "window")
-    bags = items.select("item", F.col("sh").alias("item_sh"))
-    full = close.join(F.broadcast(bags) if index_rows <= ANCHORS // 8 else bags, "item").withColumn("similarity", similarity(F.col("window"), F.col("item_sh")))
+    close = close.where(F.col("number") == first_equal(F.col("code"), F.col("item_code"), radius + 1)).select("doc", "row", "window")
+    bags = items.select("row", "item", F.col("sh").alias("item_sh"))
+    full = close.join(F.broadcast(bags) if index_rows <= ANCHORS // 8 else bags, "row").withColumn("similarity", similarity(F.col("window"), F.col("item_sh")))
     best = full.where(F.col("similarity") >= threshold).groupBy("doc", "item").agg(F.max("similarity").alias("similarity"))
     return best.select(F.col("doc").alias(id_col), F.col("item").alias(item_col), "similarity")
