@@ -83,11 +83,6 @@ def bands_of(best: np.ndarray) -> np.ndarray:
     return acc.view(np.int64)
 
 
-def mark(band: int) -> np.uint32:
-    """What stands for a band among a class's marks."""
-    return np.uint32(band & 0xFFFFFFFF)
-
-
 def odd_sketch(best: np.ndarray) -> bytes:
     """Parity of how many samples fall on each of BITS bits."""
     hit = np.bincount((mix(best.astype(U) + _SLOT) % U(BITS)).astype(np.int64), minlength=BITS) & 1
@@ -115,13 +110,12 @@ def _features(docs: DataFrame, id_col: str, text_col: str, k: int) -> DataFrame:
                         pa.array([identity(s) if len(s) else None for s in sets], pa.binary()),
                         pa.array([None if x is None else bands_of(x) for x in best], pa.list_(pa.int64())),
                         pa.array([None if x is None else odd_sketch(x) for x in best], pa.binary()),
-                        pa.array([None if x is None else bands_of(x).astype(np.uint32).tobytes() for x in best], pa.binary()),
                     ],
-                    [id_col, "n_shingles", "node", "bands", "sketch", "marks"],
+                    [id_col, "n_shingles", "node", "bands", "sketch"],
                 )
 
     kept = docs.select(F.col(id_col), F.col(text_col).cast("string").alias("text"))
-    fields = [("n_shingles", T.LongType()), ("node", T.BinaryType()), ("bands", T.ArrayType(T.LongType())), ("sketch", T.BinaryType()), ("marks", T.BinaryType())]
+    fields = [("n_shingles", T.LongType()), ("node", T.BinaryType()), ("bands", T.ArrayType(T.LongType())), ("sketch", T.BinaryType())]
     return kept.mapInArrow(run, T.StructType([kept.schema[0], *(T.StructField(*f) for f in fields)]))
 
 
@@ -178,31 +172,31 @@ def _near(pairs: DataFrame, classes: DataFrame, most: int) -> DataFrame:
     return pairs.join(left, "u").join(right, "v").select("u", "v", "a", "b").mapInArrow(run, "u binary, v binary")
 
 
-def _rest(members: DataFrame, most: int, lo: int, hi: int) -> DataFrame:
+def _rest(members: DataFrame, classes: DataFrame, most: int, lo: int, hi: int) -> DataFrame:
     """Candidates (u, v, more) of members outside their bucket's largest component.
 
-    ``members`` has band, node, root, sketch, marks (of all its bands). Each member so left out is compared with all members in
-    blocks; of the pairs near enough, those whose place among u's in the block, nearest first, is in
+    ``members`` has band, node, root; sketches and bands are fetched for buckets of several components
+    alone. Each member so left out is compared with all members in blocks; of the pairs near enough, those whose place among u's in the block, nearest first, is in
     [lo, hi) and whose roots differ come out. ``more`` tells that u has places beyond.
     """
     n_roots = members.groupBy("band", "root").agg(F.count(F.lit(1)).alias("n"))
     of_band = n_roots.groupBy("band").agg(F.max(F.struct("n", "root"))["root"].alias("main"), F.count(F.lit(1)).alias("roots"), F.sum("n").alias("n"), F.max("n").alias("largest")).where("roots > 1")
-    rows = members.join(of_band, "band").withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int")).withColumn("parts", F.ceil((F.col("n") - F.col("largest")) / BLOCK).cast("int"))
+    rows = members.join(of_band, "band").join(classes.select("node", "sketch", "bands"), "node").withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int")).withColumn("parts", F.ceil((F.col("n") - F.col("largest")) / BLOCK).cast("int"))
     pick = lambda salt, n: F.pmod(F.xxhash64("node", F.lit(salt)), F.col(n)).cast("int")
     left = rows.where("root <> main").withColumn("part", pick(1, "parts")).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     right = rows.withColumn("block", pick(2, "blocks")).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     dealt = left.withColumn("side", F.lit(0)).union(right.withColumn("side", F.lit(1)).select(*left.columns, "side"))
-    dealt = dealt.select("band", "block", "part", "side", "node", "root", "sketch", "marks").repartition("band", "block", "part").sortWithinPartitions("band", "block", "part", "side", "node")
+    dealt = dealt.select("band", "block", "part", "side", "node", "root", "sketch", "bands").repartition("band", "block", "part").sortWithinPartitions("band", "block", "part", "side", "node")
 
-    def group(band: int, nodes: list, roots: list, sketches: np.ndarray, marks: np.ndarray, sides: np.ndarray) -> tuple[list, list, list]:
+    def group(band: int, nodes: list, roots: list, sketches: np.ndarray, bands: np.ndarray, sides: np.ndarray) -> tuple[list, list, list]:
         u, v, more = [], [], []
         left, right = np.flatnonzero(sides == 0), np.flatnonzero(sides == 1)
-        other, theirs = sketches[right], marks[right]
+        other, theirs = sketches[right], bands[right]
         for i in left:
             bits = _popcount(other ^ sketches[i])
             near = np.flatnonzero(bits <= most)
-            same = theirs[near] == marks[i]
-            near = near[marks[i][same.argmax(1)] == mark(band)]  # else an earlier band has the pair
+            same = theirs[near] == bands[i]
+            near = near[bands[i][same.argmax(1)] == band]  # else an earlier band has the pair
             near = near[np.argsort(bits[near], kind="stable")]
             beyond = len(near) > hi and any(roots[right[j]] != roots[i] for j in near[hi:])
             for j in near[lo:hi]:
@@ -230,10 +224,10 @@ def _rest(members: DataFrame, most: int, lo: int, hi: int) -> DataFrame:
                 held, starts = t.slice(starts[-2]), starts[:-1]
             nodes, roots, sides = t["node"].to_pylist(), t["root"].to_pylist(), t["side"].to_numpy()
             sketches = np.frombuffer(b"".join(t["sketch"].to_pylist()), U).reshape(-1, BITS // 64)
-            marks = np.frombuffer(b"".join(t["marks"].to_pylist()), np.uint32).reshape(-1, BANDS)
+            bands = text_of(t, "bands").flatten().to_numpy().reshape(-1, BANDS)
             out: tuple[list, list, list] = [], [], []
             for x, y in zip(starts, starts[1:]):
-                for all_, new in zip(out, group(int(key[0, x]), nodes[x:y], roots[x:y], sketches[x:y], marks[x:y], sides[x:y])):
+                for all_, new in zip(out, group(int(key[0, x]), nodes[x:y], roots[x:y], sketches[x:y], bands[x:y], sides[x:y])):
                     all_.extend(new)
             yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.binary()), pa.array(out[1], pa.binary()), pa.array(out[2], pa.bool_())], ["u", "v", "more"])
 
@@ -252,8 +246,8 @@ def near_duplicates(docs: DataFrame, num: int = 85, den: int = 100, k: int = 5,
     features = cut(_features(docs, id_col, text_col, k), "features")
     alone = features.where("node is null")
     rows = features.where("node is not null")
-    first = F.min(F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), "bands", "sketch", "marks"))
-    classes = cut(rows.groupBy("node").agg(first.alias("x")).select("node", F.col("x.id").alias("first_id"), "x.bands", "x.sketch", "x.marks"), "classes")
+    first = F.min(F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), "bands", "sketch"))
+    classes = cut(rows.groupBy("node").agg(first.alias("x")).select("node", F.col("x.id").alias("first_id"), "x.bands", "x.sketch"), "classes")
 
     banded = classes.select("node", F.explode("bands").alias("band"))
     buckets = banded.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("center")).where("n > 1").drop("n")
@@ -267,8 +261,8 @@ def near_duplicates(docs: DataFrame, num: int = 85, den: int = 100, k: int = 5,
     while True:
         roots = cut(roots, "roots")
         known = members.select("band", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        known = known.join(classes.select("node", "sketch", "marks"), "node")
-        found = cut(_rest(known, most, lo, hi).groupBy("u", "v").agg(F.max("more").alias("more")), "rest")
+        known = known.select("band", "node", "root")
+        found = cut(_rest(known, classes, most, lo, hi).groupBy("u", "v").agg(F.max("more").alias("more")), "rest")
         links = _confirm(found.where("u <> v").select("u", "v"), sets, num, den)
         to_root = roots.select(F.col("node"), F.col("root"))
         links = links.join(to_root.withColumnsRenamed({"node": "u", "root": "ru"}), "u", "left").join(to_root.withColumnsRenamed({"node": "v", "root": "rv"}), "v", "left")
