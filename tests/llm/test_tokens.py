@@ -75,12 +75,13 @@ def test_empty(spark, empty, tmp_path):
     assert read_tokens(spark, f"file://{tmp_path}/none", empty.schema["doc_id"]).count() == 0
 
 
-# code points that no Unicode version of the two libraries leaves out; the second strategy is dense in special cases
-ANY = st.text(st.characters(max_codepoint=0x2FFFF, exclude_categories=["Cn", "Cs"]), max_size=40)
+# Code points that Python's Unicode version assigns: for newer ones the two libraries' tables differ, a
+# known gap that test_newer_letters shows. The second strategy is dense in special cases.
+ANY = st.text(st.characters(exclude_categories=["Cn", "Cs"]), max_size=60)
 SPECIAL = st.text("aAbé\u0301İΣσς <|endoftext>'tsll1\x1c\x85\u3000ﬁ", max_size=60)
 
 
-@settings(max_examples=200, deadline=None)
+@settings(max_examples=300, deadline=None)
 @given(ANY | SPECIAL)
 def test_any_text(text):
     t = test_any_text.__dict__.setdefault("library", Tokenizer.from_file(PATH))
@@ -101,3 +102,9 @@ def test_long_words_take_the_same_merges(word):
         assert bpe.merge(list(short)) == bpe._merge_long(list(short))
     finally:
         module.SHORT = kept
+
+
+@pytest.mark.xfail(strict=True, reason="regex takes this code point for a letter, the tokenizers library doesn't; see the README")
+def test_newer_letters(library):
+    text = ":\U000323b0"
+    assert list(Bpe(PATH).encode(text)) == ids_of(library, text)
