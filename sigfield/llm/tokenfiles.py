@@ -19,7 +19,6 @@ import os
 import zlib
 from array import array
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -28,9 +27,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sigfield.llm.bpe import CACHE, list_array, loaded, small_batches
+from sigfield.llm.bpe import CACHE, loaded, small_batches
 from sigfield.runtime import ship
 
+FRESH = 2048  # pieces given to the library at once, whose results are larger than their ids
+
 
 class Encoder:
     """The tokenizers library, asked once for each new piece between white space.
@@ -47,18 +48,25 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.known: dict[str, array] = {}
+        self.known: dict[str, bytes] = {}
 
-    def batch(self, texts: list[str], end: int) -> list[array]:
-        known = self.known
+    def batch(self, texts: list[str], end: int) -> list[bytes]:
+        """Each text's ids and ``end``, as native 32-bit integers."""
+        known, last = self.known, array("i", [end]).tobytes()
         parts = [[t] if any(c in t for c in "\x1c\x1d\x1e\x1f") else t.split() for t in texts]
         new = {p for words in parts for p in words if p not in known}
         if len(known) + len(new) > CACHE:
             known.clear()
             new = {p for words in parts for p in words}
         fresh = list(new)
-        known.update(zip(fresh, (x.ids for x in self.tokenizer.encode_batch_fast(fresh, add_special_tokens=False))))
-        return [array("i", chain(chain.from_iterable(map(known.__getitem__, words)), (end,))) for words in parts]
+        for at in range(0, len(fresh), FRESH):
+            some = fresh[at : at + FRESH]
+            known.update(zip(some, (array("i", x.ids).tobytes() for x in self.tokenizer.encode_batch_fast(some, add_special_tokens=False))))
+        rows = [b"".join(map(known.__getitem__, words)) + last for words in parts]
+        for p in fresh:
+            if len(p) > 64:  # such as a text without white space: not worth its memory
+                del known[p]
+        return rows
 
 
 def write_tokens(docs: DataFrame, target: str, tokenizer: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", row_group: int = 32 << 20, page: int = 128 << 10) -> None:
@@ -69,10 +77,10 @@ def write_tokens(docs: DataFrame, target: str, tokenizer: str, end_id: int, id_c
         encoder, shard, start = loaded(Encoder, tokenizer), TaskContext.get().partitionId(), 0
         for b in small_batches(batches):
             rows = encoder.batch([t or "" for t in b.column(1).to_pylist()], end_id)
-            n = np.fromiter(map(len, rows), np.int64, len(rows))
+            n = np.fromiter(map(len, rows), np.int64, len(rows)) // 4
             at = start + np.cumsum(n) - n
             start += int(n.sum())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n), pa.array(np.full(len(rows), shard, np.int32)), pa.array(at), list_array(rows)], [id_col, "n_tokens", "shard", "shard_start", "tokens"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n), pa.array(np.full(len(rows), shard, np.int32)), pa.array(at), _lists(rows, n)], [id_col, "n_tokens", "shard", "shard_start", "tokens"])
 
     kept = docs.select(F.col(id_col), F.col(text_col).cast("string").alias("text"))
     ordered = kept.repartitionByRange(id_col).sortWithinPartitions(id_col, "text")
@@ -81,6 +89,12 @@ def write_tokens(docs: DataFrame, target: str, tokenizer: str, end_id: int, id_c
     ordered.mapInArrow(run, token_schema(kept.schema[0])).write.options(**options).parquet(target)
 
 
+def _lists(rows: list[bytes], n: np.ndarray) -> pa.ListArray:
+    """An Arrow list<int32> column from rows of n integers each."""
+    offsets = np.concatenate([[0], np.cumsum(n)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.Array.from_buffers(pa.int32(), int(offsets[-1]), [None, pa.py_buffer(b"".join(rows))]))
+
+
 def token_schema(id_field: T.StructField) -> T.StructType:
     return T.StructType([id_field, T.StructField("n_tokens", T.LongType()), T.StructField("shard", T.IntegerType()), T.StructField("shard_start", T.LongType()), T.StructField("tokens", T.ArrayType(T.IntegerType()))])
 
