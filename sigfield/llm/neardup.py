@@ -8,10 +8,11 @@ threshold leads to, plus four standard deviations, are confirmed on the full set
 at the threshold with a chance of about 1e-10, the sketches with one of 3e-5, and closer links less.
 
 A bucket of a band never emits all its pairs. First each member is compared with the bucket's least
-member. What is linked is one component, so afterwards only members outside the bucket's largest
+member. What is linked is one component, so afterwards only members outside the bucket's then largest
 component are compared with the others, sketch by sketch inside blocks of bounded size; each yields
 its best candidates of other components first, in rounds of growing width, until none is left; a pair
-counts in the first band that it shares only. Every
+counts in the first band that it shares only. That component is chosen once: whoever is still outside
+it has looked in every round, from its first place on. Every
 candidate pair whose ends are not connected yet is thus confirmed or refused on full sets.
 
 Rows without words or text have an empty set and stay alone. Equal rows share a class. A null id takes
@@ -172,16 +173,24 @@ def _near(pairs: DataFrame, classes: DataFrame, most: int) -> DataFrame:
     return pairs.join(left, "u").join(right, "v").select("u", "v", "a", "b").mapInArrow(run, "u binary, v binary")
 
 
-def _rest(members: DataFrame, classes: DataFrame, most: int, lo: int, hi: int) -> DataFrame:
-    """Candidates (u, v, more) of members outside their bucket's largest component.
+def _mains(members: DataFrame) -> DataFrame:
+    """(band, main, n) of the buckets of several components: a node of the largest one, and the bucket's size."""
+    n_roots = members.groupBy("band", "root").agg(F.count(F.lit(1)).alias("n"))
+    of_band = n_roots.groupBy("band").agg(F.max(F.struct("n", "root"))["root"].alias("main"), F.count(F.lit(1)).alias("roots"), F.sum("n").alias("n"))
+    return of_band.where("roots > 1").drop("roots")
+
 
-    ``members`` has band, node, root; sketches and bands are fetched for buckets of several components
+def _rest(members: DataFrame, mains: DataFrame, classes: DataFrame, most: int, lo: int, hi: int) -> DataFrame:
+    """Candidates (u, v, more) of members outside their bucket's main component.
+
+    ``members`` has band, node, root; ``mains`` has band, n and main, the root that the component chosen
+    in the first round has now. Sketches and bands are fetched for buckets with members outside it
     alone. Each member so left out is compared with all members in blocks; of the pairs near enough, those whose place among u's in the block, nearest first, is in
     [lo, hi) and whose roots differ come out. ``more`` tells that u has places beyond.
     """
-    n_roots = members.groupBy("band", "root").agg(F.count(F.lit(1)).alias("n"))
-    of_band = n_roots.groupBy("band").agg(F.max(F.struct("n", "root"))["root"].alias("main"), F.count(F.lit(1)).alias("roots"), F.sum("n").alias("n"), F.max("n").alias("largest")).where("roots > 1")
-    rows = members.join(of_band, "band").join(classes.select("node", "sketch", "bands"), "node").withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int")).withColumn("parts", F.ceil((F.col("n") - F.col("largest")) / BLOCK).cast("int"))
+    known = members.join(mains, "band")
+    outside = known.where("root <> main").groupBy("band").agg(F.count(F.lit(1)).alias("outside"))
+    rows = known.join(outside, "band").join(classes.select("node", "sketch", "bands"), "node").withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int")).withColumn("parts", F.ceil(F.col("outside") / BLOCK).cast("int"))
     pick = lambda salt, n: F.pmod(F.xxhash64("node", F.lit(salt)), F.col(n)).cast("int")
     left = rows.where("root <> main").withColumn("part", pick(1, "parts")).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     right = rows.withColumn("block", pick(2, "blocks")).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
@@ -262,7 +271,10 @@ def near_duplicates(docs: DataFrame, num: int = 85, den: int = 100, k: int = 5,
         roots = cut(roots, "roots")
         known = members.select("band", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
         known = known.select("band", "node", "root")
-        found = cut(_rest(known, classes, most, lo, hi).groupBy("u", "v").agg(F.max("more").alias("more")), "rest")
+        if lo == 0:
+            mains = cut(_mains(known), "mains")
+        now = mains.join(roots.withColumnsRenamed({"node": "main", "root": "now"}), "main", "left").select("band", F.coalesce("now", "main").alias("main"), "n")
+        found = cut(_rest(known, now, classes, most, lo, hi).groupBy("u", "v").agg(F.max("more").alias("more")), "rest")
         links = _confirm(found.where("u <> v").select("u", "v"), sets, num, den)
         to_root = roots.select(F.col("node"), F.col("root"))
         links = links.join(to_root.withColumnsRenamed({"node": "u", "root": "ru"}), "u", "left").join(to_root.withColumnsRenamed({"node": "v", "root": "rv"}), "v", "left")

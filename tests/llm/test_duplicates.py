@@ -111,3 +111,17 @@ def test_components_of_a_chain(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
     got = [(r.doc_id, r.n_shingles, r.component_id) for r in near_duplicates(df).collect()]
     assert sorted(got) == sorted(components(rows))
+
+
+def test_components_of_a_bucket_whose_largest_changes(spark):
+    """Sliding windows of 400 words are linked at distances up to 32. Three dense groups share buckets; the
+    last two become the largest component together after a first round that puts the link at 0 and 32 off."""
+    without = lambda *gone: [x for x in range(14) if x not in gone]
+    first = [0, -25, -50, *(-70 - x for x in without(2, 3, 5))]
+    second = [32, *(33 + x for x in without(2, 7, 8, 12))]
+    third = [68, *(88 + x for x in without(1, 7, 10))]
+    words = [f"l80x{i}" for i in range(1200)]
+    rows = [(i, " ".join(words[400 + p : 800 + p])) for i, p in enumerate(first + second + third)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = [(r.doc_id, r.n_shingles, r.component_id) for r in near_duplicates(df, k=1).collect()]
+    assert sorted(got) == sorted(components(rows, k=1)) == [(i, 400, 0) for i in range(len(rows))]
