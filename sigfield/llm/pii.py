@@ -4,7 +4,8 @@
 a sign of disguise: look-alike characters become ASCII, invisible ones go, spelled digits become digits,
 and written-out or bracketed at and dot become ``@`` and ``.``. Every normalised character keeps the span
 of source characters it stands for, so an identifier found in the normalised text maps back to the source.
-Such a span is added where it rests on a changed character and touches no base span of its kind.
+Such a span is added where its source reads otherwise and no base span of its kind holds it; the base span
+of a part of it stays.
 
 Offsets count code points, ends are exclusive. A null or empty text has no spans; repeated rows are
 searched each; an empty table gives an empty result; other columns are never read. All scans are linear
@@ -162,7 +163,8 @@ def spans(text: str) -> list[dict]:
         taken = {k: [(a, b) for kind, a, b in found if kind == k] for k in KINDS}
         for k, x, y in base_spans(m.text):
             a, b = m.lo[x], m.hi[y - 1]
-            if any(m.changed[x:y]) and not any(c < b and a < d for c, d in taken[k]):
+            undone = b - a != y - x or any(m.changed[x:y])  # what is removed leaves no changed character
+            if undone and not any(c <= a and b <= d for c, d in taken[k]):
                 out.append({"kind": k, "start": a, "end": b, "base": False})
         out.sort(key=lambda s: (s["start"], KINDS.index(s["kind"]), s["end"]))
     return out

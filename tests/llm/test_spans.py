@@ -100,3 +100,19 @@ def test_ownership(spark):
     assert [(s.live, s.n_owners, s.n_repos) for s in out[11]] == [(True, 1, 3)]
     assert [s.kind for s in out[20]] == ["format"]
     assert out[21] == out[22] == []
+
+
+@pytest.mark.parametrize(("text", "whole", "tail"), [
+    ("to j\u043ehn@example.org now", "j\u043ehn@example.org", "hn@example.org"),
+    ("to jo\u200bhn@example.org now", "jo\u200bhn@example.org", "hn@example.org"),
+])
+def test_disguised_local_part(text, whole, tail):
+    """The plain tail stays a base span; the whole identifier is found too."""
+    found = [(s["kind"], text[s["start"] : s["end"]], s["base"]) for s in spans(text)]
+    assert found == [("email", whole, False), ("email", tail, True)]
+
+
+def test_removed_inside_only():
+    text = "card 4111\u200b1111\u200b1111\u200b1111 ok, a@b.org\u200b"
+    found = [(s["kind"], text[s["start"] : s["end"]], s["base"]) for s in spans(text)]
+    assert found == [("card", "4111\u200b1111\u200b1111\u200b1111", False), ("email", "a@b.org", True)]
