@@ -78,7 +78,11 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 # fixed values: letters of other scripts that look like ASCII letters, and characters without width
 LOOKALIKES = {"а": "a", "е": "e", "о": "o", "р": "p", "с": "c", "у": "y", "х": "x", "і": "i", "ј": "j", "ѕ": "s", "ԁ": "d", "һ": "h", "ӏ": "l", "ԛ": "q", "ԝ": "w", "А": "A", "В": "B", "Е": "E", "К": "K", "М": "M", "Н": "H", "О": "O", "Р": "P", "С": "C", "Т": "T", "У": "Y", "Х": "X", "І": "I", "Ј": "J", "Ѕ": "S", "α": "a", "ο": "o", "ν": "v", "ρ": "p", "ι": "i", "κ": "k", "υ": "u", "Α": "A", "Β": "B", "Ε": "E", "Ζ": "Z", "Η": "H", "Ι": "I", "Κ": "K", "Μ": "M", "Ν": "N", "Ο": "O", "Ρ": "P", "Τ": "T", "Υ": "Y", "Χ": "X", "ı": "i", "ɡ": "g", "‐": "-", "‑": "-", "‒": "-", "–": "-", "−": "-", "․": ".", "。": ".", "∙": "."}
 INVISIBLE = "­​‌‍⁠﻿"
-DIGITS = {"zero": "0", "oh": "0", "one": "1", "two": "2", "three": "3", "four": "4", "five": "5", "six": "6", "seven": "7", "eight": "8", "nine": "9"}
+# fixed values: the words for 0 to 9 in English, German, French and Spanish, with and without accents
+DIGITS = (
+    "zero|oh|null|zéro|cero", "one|eins|un|une|uno|una", "two|zwei|zwo|deux|dos", "three|drei|trois|tres", "four|vier|quatre|cuatro",
+    "five|fünf|fuenf|cinq|cinco", "six|sechs|seis", "seven|sieben|sept|siete", "eight|acht|huit|ocho", "nine|neun|neuf|nueve",
+)
 ENDINGS = "com|org|net|edu|gov|io|co|info"
 
 
@@ -98,20 +102,21 @@ def _glyphs() -> dict[str, str]:
 
 @cache
 def _patterns() -> dict[str, re.Pattern]:
-    digit = "(?:" + "|".join(DIGITS) + ")"
+    digit = "(?:" + "|".join(DIGITS) + r")\b"
     odd = "[" + "".join(map(re.escape, _glyphs())) + "]"
     label, gap = "[A-Za-z0-9-]", r"[\x20\t]"
     at = rf"{gap}*[\[({{<]{gap}*(?:at|arroba|@){gap}*[\])}}>]{gap}*"
     dot = rf"{gap}*[\[({{<]{gap}*(?:dot|punto|punkt|point|\.){gap}*[\])}}>]{gap}*"
     return {
         "odd": re.compile(odd),
-        "sign": re.compile(rf"[\[({{<]{gap}*(?:at|arroba|@|dot|punto|punkt|point|\.){gap}*[\])}}>]|{gap}dot{gap}|\b{digit}[\x20,-]{{1,2}}{digit}\b|{gap}at{gap}+[a-z0-9.-]{{1,80}}\.(?:{ENDINGS})\b", re.I),
-        "digits": re.compile(rf"(?:\bplus[\x20-]+)?\b{digit}(?:[\x20,-]{{1,2}}{digit}\b){{2,}}", re.I),
-        "digit": re.compile(digit, re.I),
+        "sign": re.compile(rf"[\[({{<]{gap}*(?:at|arroba|@|dot|punto|punkt|point|\.){gap}*[\])}}>]|{gap}dot{gap}|\b{digit}[\x20,-]{{1,2}}{digit}|{gap}at{gap}+[a-z0-9.-]{{1,80}}\.(?:{ENDINGS})\b", re.I),
+        "digits": re.compile(rf"(?:\b(?:plus|más|mas)[\x20-]+)?\b{digit}(?:[\x20,-]{{1,2}}{digit}){{2,}}", re.I),
+        "digit": re.compile(r"\b(?:" + "|".join(f"({words})" for words in DIGITS) + r")\b", re.I),
         "at": re.compile(at, re.I),
         "dot": re.compile(dot, re.I),
         "bare_dot": re.compile(rf"(?<=[A-Za-z0-9]){gap}+dot{gap}+(?=[A-Za-z0-9])", re.I),
         "bare_at": re.compile(rf"(?<=[A-Za-z0-9]){gap}+at{gap}+(?={label}{{1,63}}(?:\.{label}{{1,63}}){{0,4}}\.(?:{ENDINGS})(?![A-Za-z0-9]))", re.I),
+        "said_at": re.compile(rf"(?<=[A-Za-z0-9]){gap}+at{gap}+(?={label})", re.I),
     }
 
 
@@ -148,13 +153,21 @@ def normalise(text: str) -> Mapped | None:
     if odd:
         glyphs = _glyphs()
         m.replace([(x.start(), x.end(), glyphs[x[0]]) for x in p["odd"].finditer(text)])
-    said = lambda s: ("+" if s.lower().startswith("plus") else "") + "".join(DIGITS[d.lower()] for d in p["digit"].findall(s))
+    said = lambda s: ("+" if s[0] in "PpMm" else "") + "".join(str(d.lastindex - 1) for d in p["digit"].finditer(s))
     m.replace([(x.start(), x.end(), said(x[0])) for x in p["digits"].finditer(m.text)])
     for step, sign in (("at", "@"), ("dot", "."), ("bare_dot", "."), ("bare_at", "@")):
         m.replace([(x.start(), x.end(), sign) for x in p[step].finditer(m.text)])
+    m.replace([(x.start(), x.end(), "@") for x in p["said_at"].finditer(m.text) if _said(m, x.end())])
     return m
 
 
+def _said(m: Mapped, at: int) -> bool:
+    """Whether the host that starts there ends in letters and has a dot that was written otherwise."""
+    host = _DOMAIN.match(m.text, at)
+    last = host and host[0].rsplit(".", 1)[1]
+    return bool(last) and len(last) > 1 and last.isalpha() and any(m.text[i] == "." and m.changed[i] for i in range(at, host.end()))
+
+
 def spans(text: str) -> list[dict]:
     """All spans of a text by start, then kind; base tells which the plain patterns found."""
     found = base_spans(text)

@@ -116,3 +116,20 @@ def test_removed_inside_only():
     text = "card 4111\u200b1111\u200b1111\u200b1111 ok, a@b.org\u200b"
     found = [(s["kind"], text[s["start"] : s["end"]], s["base"]) for s in spans(text)]
     assert found == [("card", "4111\u200b1111\u200b1111\u200b1111", False), ("email", "a@b.org", True)]
+
+
+@pytest.mark.parametrize(("text", "kind", "part"), [
+    ("write to anna at firma dot de please", "email", "anna at firma dot de"),
+    ("write to anna at mail dot firma [dot] fr.", "email", "anna at mail dot firma [dot] fr"),
+    ("Ruf plus vier neun drei null eins zwei drei vier fünf sechs sieben an", "phone", "plus vier neun drei null eins zwei drei vier fünf sechs sieben"),
+    ("appelez plus trois trois un deux trois quatre cinq six sept huit neuf", "phone", "plus trois trois un deux trois quatre cinq six sept huit neuf"),
+    ("llame al más tres cuatro nueve uno dos tres cuatro cinco seis siete ocho", "phone", "más tres cuatro nueve uno dos tres cuatro cinco seis siete ocho"),
+    ("call plus one ſeven ſix five one two three four five ſix seven", "phone", "plus one ſeven ſix five one two three four five ſix seven"),
+])
+def test_disguised_in_other_languages(text, kind, part):
+    assert (kind, part) in [(s["kind"], text[s["start"] : s["end"]]) for s in spans(text) if not s["base"]]
+
+
+@pytest.mark.parametrize("text", ["look at firma.de for more", "meet at 3 dot 5 today", "a at " * 20_000 + "b.c dot d", "un deux trois soleil"])
+def test_clean_in_other_languages(text):
+    assert [s for s in spans(text) if not s["base"]] == []
