@@ -2,9 +2,11 @@
 
 Candidates are assignments to secret-sounding names, access keys, long hexadecimal runs (the base), and
 tokens of well-known formats. A candidate's value is hashed; hashes are counted by distinct owners and
-repositories over the whole corpus, aggregated map-side first. A value that more than ``most_owners``
-owners have is a widely copied example; one that fewer have looks live. Format tokens become spans where
-they look live; base spans always stay, and are counted as live or copied.
+repositories over the whole corpus, aggregated map-side first. Texts with equal sets of 5-word shingles
+are copies of one text and count once, under the first of their owners; a text of fewer than five words
+has no shingle and counts by itself. A value that more than ``most_owners`` owners and more than
+``most_repos`` repositories have is a widely copied example; others look live. All spans stay, marked as
+live or copied.
 
 Positions come from the pieces between matches: the same leftmost scan splits a text and extracts its
 matches, so a match starts after all pieces and matches before it. Offsets count code points.
@@ -53,26 +55,37 @@ def _matches(text: Column, kind: str) -> Column:
     return F.when(text.rlike(PATTERNS[kind]), F.filter(rows, lambda x: F.length(x["value"]) >= LEAST[kind])).otherwise(empty)
 
 
-def scan_secrets(docs: DataFrame, most_owners: int = 1, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", repo_col: str = "doc_id", keep: list[str] | None = None) -> DataFrame:
+def _copied_text(text: Column) -> Column:
+    """A hash of the set of a text's 5-word shingles, A-Z lower-cased; null for fewer words."""
+    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    words = F.array_remove(F.split(F.translate(text, upper, upper.lower()), r"[\x20\x09-\x0D]+"), "")
+    one = F.array(F.struct(F.transform(words, lambda w: F.xxhash64(w)).alias("h")))  # so that words are hashed once
+    shingles = lambda h: F.transform(F.sequence(F.lit(0), F.size(h) - 5), lambda i: F.xxhash64(*(F.get(h, i + j) for j in range(5))))
+    return F.transform(one, lambda x: F.when(F.size(x["h"]) >= 5, F.xxhash64(F.array_sort(F.array_distinct(shingles(x["h"]))))))[0]
+
+
+def scan_secrets(docs: DataFrame, most_owners: int = 3, most_repos: int = 3, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", repo_col: str = "doc_id", keep: list[str] | None = None) -> DataFrame:
     """Per row: the id column, those named in ``keep``, and ``secrets``: an array of (start, rank, end,
-    kind, base, n_owners, n_repos, live), ordered by start, then kind. Base spans are all there, format
-    tokens where they look live."""
+    kind, base, n_owners, n_repos, live), ordered by start, then kind."""
     columns = list(dict.fromkeys([id_col, *(keep or [])]))
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = docs.select(F.struct(*columns).alias("kept"), F.col(owner_col).cast("string").alias("owner"), F.col(repo_col).cast("string").alias("repo"), text.alias("text"))
     rows = rows.withColumn("found", F.concat(*(_matches(F.col("text"), k) for k in KINDS)))
     hashed = F.transform("found", lambda x: F.struct(x["kind"].alias("kind"), x["rank"].alias("rank"), x["start"].alias("start"), x["end"].alias("end"), F.substring(F.unhex(F.sha2(x["value"], 256)), 1, 16).alias("hash")))
-    rows = cut(rows.select(F.monotonically_increasing_id().alias("row"), "kept", "owner", "repo", hashed.alias("found")), "candidates")
+    copied = F.when(F.size("found") > 0, _copied_text(F.col("text")))
+    rows = cut(rows.select(F.monotonically_increasing_id().alias("row"), "kept", "owner", "repo", copied.alias("copied"), hashed.alias("found")), "candidates")
 
-    each = rows.where(F.size("found") > 0).select("row", "kept", "owner", "repo", F.explode("found").alias("x"))
-    seen = each.select(F.col("x.hash").alias("hash"), "owner", "repo").distinct()
+    each = rows.where(F.size("found") > 0).select("row", "kept", "owner", "repo", "copied", F.explode("found").alias("x"))
+    own = F.when(F.col("copied").isNull(), F.col("row"))
+    first = each.groupBy(F.col("x.hash").alias("hash"), "copied", own.alias("own")).agg(F.min(F.struct("owner", "repo")).alias("first"))
+    seen = first.select("hash", "first.owner", "first.repo").distinct()
     by_owner = seen.groupBy("hash", "owner").agg(F.count(F.lit(1)).alias("n"))
     frequency = by_owner.groupBy("hash").agg(F.count(F.lit(1)).alias("n_owners"), F.sum("n").alias("n_repos"))
     marked = each.withColumn("hash", F.col("x.hash")).join(frequency, "hash")
-    live = F.col("n_owners") <= most_owners
+    live = (F.col("n_owners") <= most_owners) | (F.col("n_repos") <= most_repos)
     span = F.struct(F.col("x.start").alias("start"), F.col("x.rank").alias("rank"), F.col("x.end").alias("end"), F.col("x.kind").alias("kind"), (F.col("x.kind") != "format").alias("base"), "n_owners", "n_repos", live.alias("live"))
     spans = marked.groupBy("row").agg(F.first("kept").alias("kept"), F.array_sort(F.collect_list(span)).alias("secrets"))
-    spans = spans.select("kept", F.filter("secrets", lambda x: x["base"] | x["live"]).alias("secrets"))
+    spans = spans.select("kept", "secrets")
     none = rows.where(F.size("found") == 0).select("kept", F.array().cast(spans.schema["secrets"].dataType).alias("secrets"))
     return spans.union(none).select("kept.*", "secrets")
 

@@ -133,3 +133,19 @@ def test_disguised_in_other_languages(text, kind, part):
 @pytest.mark.parametrize("text", ["look at firma.de for more", "meet at 3 dot 5 today", "a at " * 20_000 + "b.c dot d", "un deux trois soleil"])
 def test_clean_in_other_languages(text):
     assert [s for s in spans(text) if not s["base"]] == []
+
+
+def test_copied_widely(spark):
+    """Two or three owners don't make an example, nor do copies of one text; a copied format token stays a span."""
+    text = "Deploy notes of the team say: use token = {} and then restart the service"
+    rows = [(i, text.format("twoowners99"), f"s{i}") for i in range(2)]  # copies of one text
+    rows += [(10 + i, f"case {i} " + text.format("threeowners99"), f"s{i}") for i in range(3)]
+    rows += [(20 + i, text.format("manycopies99").upper().lower() + " " * i, f"s{i}") for i in range(9)]
+    rows += [(30 + i, f"page {i} shows ghp_" + "Q7" * 18 + " as what a token looks like", f"s{i}") for i in range(5)]
+    rows += [(40 + i, f"page {i} of one owner says token = oneowner99", "s1") for i in range(9)]
+    out = {r.doc_id: [(s.kind, s.live, s.n_owners, s.n_repos) for s in r.secrets] for r in scan_secrets(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    assert out[0] == out[1] == [("assign", True, 1, 1)]
+    assert out[10] == [("assign", True, 3, 3)]
+    assert out[25] == [("assign", True, 1, 1)]
+    assert out[31] == [("format", False, 5, 5)]
+    assert out[44] == [("assign", True, 1, 9)]
