@@ -160,3 +160,25 @@ def test_pipeline_awkward(spark, awkward, sf):
         for _, stage in corpus_pipeline.STAGES:
             x = stage(spark, x, sf)
             x.count()
+
+
+def test_pipeline_decides_by_row(spark, tmp_path):
+    """Null and repeated ids: each row is kept or dropped for its own text."""
+    import corpus_pipeline
+
+    item = "a benchmark item of more than five words that some documents contain"
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    p, q, r = (" ".join(f"{c}{i}" for i in range(60)) for c in "pqr")
+    rows = [(None, f"x {item} y"), (None, p), (None, f"{p} more"), (None, q), (7, f"v {item} z"), (7, r), (7, f"{r} more"), (8, q), (9, None), (9, None), (9, ""), (None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    kept = corpus_pipeline.near_copies(spark, docs, str(tmp_path))
+    assert kept.columns == docs.columns
+    found = [(x.doc_id, x.text) for x in kept.collect()]
+    assert len({t for _, t in found if t in (p, f"{p} more")}) == 1
+    assert len({t for _, t in found if t in (r, f"{r} more")}) == 1
+    assert [i for i, t in found if t == q] == [8]
+    rest = [(i, t) for i, t in found if not t or item in t]
+    assert sorted(map(str, rest)) == sorted(map(str, [(None, f"x {item} y"), (7, f"v {item} z"), (9, None), (9, ""), (None, None)]))
+    assert len(found) == 8
+    left = corpus_pipeline.decontamination(spark, docs, str(tmp_path)).collect()
+    assert sorted(map(str, ((x.doc_id, x.text) for x in left))) == sorted(str(x) for x in rows if item not in (x[1] or ""))
