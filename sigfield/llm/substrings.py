@@ -25,10 +25,10 @@ from itertools import compress
 
 import numpy as np
 import pyarrow as pa
-import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sigfield.llm.packs import pack, pack_sorted, unpack, unpack_sorted
 from sigfield.llm.words import U, slabs, text_of, words_of
 from sigfield.runtime import ship
 
@@ -36,28 +36,6 @@ WIDTH = 1 << 24  # counters in each of a shard's two sketch rows
 LAST = np.iinfo(np.int64).max
 
 
-def pack(a: np.ndarray) -> bytes:
-    """An integer array by byte planes, compressed."""
-    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(a.view(np.uint8).reshape(len(a), -1).T).tobytes())
-
-
-def unpack(b: bytes, dtype, size: int | None = None) -> np.ndarray:
-    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(b), np.uint8)
-    wide = np.dtype(dtype).itemsize
-    planes = raw.reshape(size or wide, -1)
-    out = np.zeros((planes.shape[1], wide), np.uint8)
-    out[:, : len(planes)] = planes.T
-    return out.view(dtype).ravel()
-
-
-def pack_sorted(a: np.ndarray) -> bytes:
-    return pack(np.diff(a, prepend=a.dtype.type(0)))
-
-
-def unpack_sorted(b: bytes, dtype) -> np.ndarray:
-    return np.cumsum(unpack(b, dtype), dtype=dtype)
-
-
 class Block:
     """The windows of a block's documents, in the order of its rows."""
 

@@ -1,17 +1,19 @@
 """Operators 3, 6 and 9, and the pipeline."""
 
 import math
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from sigfield.llm import queries
 from sigfield.llm.decontaminate import find_leaks
 from sigfield.llm.quality import fit, score
-from sigfield.llm.search import search
+from sigfield.llm.search import Shard, search
 
 SPACE = r"[^\x20\x09-\x0D]+"
 
@@ -75,17 +77,58 @@ def test_search(spark, sf, texts):
         for r, s in zip(got[q], best):
             assert math.isclose(r.score, s, rel_tol=1e-9)
             assert math.isclose(scores[r.doc_id], s, rel_tol=1e-9)
-    shards = search(spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/documents.parquet").where("doc_id % 20 = 0").withColumnRenamed("doc_id", "query_id"), shard_docs=30)
+    shards = search(spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/documents.parquet").where("doc_id % 20 = 0").withColumnRenamed("doc_id", "query_id"), shard_bytes=60_000)
     assert sorted((r.query_id, r["rank"], r.doc_id) for r in shards.collect()) == sorted((r.query_id, r.rank, r.doc_id) for rows in got.values() for r in rows)
 
 
-def test_search_awkward(awkward, empty):
+def test_search_awkward(spark, awkward, empty):
     asked = awkward.withColumnRenamed("doc_id", "query_id").where("query_id in (5, 9, 2, 1)")
     got = search(awkward, asked).collect()
     assert {r.query_id for r in got} == {5, 9}
     assert [r.doc_id for r in sorted(got, key=lambda r: r.rank) if r.query_id == 5][:3] == [5, 6, 6]
     assert search(empty, asked).count() == 0
     assert search(awkward, asked.where("false")).count() == 0
+    assert search(awkward, spark.createDataFrame([(1, "nowhere-to-be-found")], "query_id long, text string")).count() == 0
+
+
+def test_search_null_and_repeated_ids(spark):
+    big = 9007199254740993
+    docs = spark.createDataFrame([(None, "red fox"), (big, "red fox"), (3, "red fox"), (4, "blue"), (4, "blue")], "doc_id long, text string")
+    asked = spark.createDataFrame([(None, "red"), (7, "fox"), (7, "blue"), (8, None)], "query_id long, text string")
+    got = defaultdict(list)
+    for r in search(docs, asked).orderBy("query_id", "rank", F.asc_nulls_last("doc_id")).collect():
+        got[r.query_id].append((r["rank"], r.doc_id))
+    assert got[None] == [(1, 3), (2, big), (3, None)]
+    assert sorted(got[7], key=str) == sorted([(1, 3), (2, big), (3, None), (1, 4), (2, 4)], key=str)  # each query row has its own ranks
+    assert set(got) == {None, 7}
+
+
+def test_search_skips():
+    """Documents in common lists alone, blocks and whole lists are skipped, and results stay exact."""
+    rng = random.Random(3)
+    terms, counts, lengths = [], [], []
+    for i in range(6000):
+        words = Counter(rng.choices(range(10), k=20)) + Counter(rng.choices(range(10, 5000), k=5))
+        if i < 40:
+            words += Counter([-1] * (i % 7 + 1))
+        found = sorted(words.items())
+        terms.append(np.array([t for t, _ in found], np.int64))
+        counts.append(np.array([c for _, c in found], np.int64))
+        lengths.append(sum(words.values()))
+    lengths = np.array(lengths)
+    shard = Shard(terms, counts, lengths, lengths.mean(), 1.2, 0.75)
+    at = shard.learn(shard.vocab, np.log(1 + (6000 - shard.df + 0.5) / (shard.df + 0.5)))
+    for asked in ([-1, 0], [-1, 0, 1, 2], [11, 12, 0], [0, 1], [4, 17, 18, 19, 3]):
+        places = at[np.searchsorted(shard.vocab, np.array(sorted(asked)))]
+        place, score = shard.search(places, np.ones(len(places), np.int64), 10)
+        shard.weight[shard.number[places]] = shard.idf[places]
+        every = shard.full(np.arange(shard.n))
+        shard.weight[:] = 0
+        best = np.lexsort((shard.order, -every))[:10]
+        assert place.tolist() == shard.order[best].tolist()
+        assert score.tolist() == every[best].tolist()
+    assert shard.seen["skipped_by_pivot"] > 5000
+    assert shard.seen["lists_not_read"] > 0 and shard.seen["skipped_blocks"] > 0
 
 
 def bag(words):
