@@ -15,30 +15,39 @@ not read. A text of any length is encoded whole.
 
 from __future__ import annotations
 
+import json
 import os
+import re
 import zlib
 from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sigfield.llm.bpe import CACHE, loaded, small_batches
+from sigfield.llm.bpe import loaded, small_batches
+from sigfield.llm.words import slabs, text_of
 from sigfield.runtime import ship
 
-FRESH = 2048  # pieces given to the library at once, whose results are larger than their ids
+FRESH = 2048  # texts given to the library at once, whose results are larger than their ids
+TOGETHER = 32  # words of one pre-token each that are given as one text
+SLAB = 16 << 20  # bytes of text whose pieces are encoded together
+# Latin letters, whose lower-case forms are plain, and marks after them: a pre-token each
+SIMPLE = r"^(?P<word>[A-Za-zÀ-ÖØ-öø-ÿ]+)(?P<marks>[!-&(-/:;=?@\[-`{}~]*)$"
 
 
 class Encoder:
-    """The tokenizers library, asked once for each new piece between white space.
+    """The tokenizers library, asked once in a slab of texts for each distinct piece.
 
-    Normalisation, special strings and pre-tokens of the word-end tokenizer never reach across white
-    space, so a text's ids are those of its pieces in order. A text with one of the control characters
-    that Python but not the tokenizer takes for white space is given to the library whole.
+    Pieces lie between ASCII white space: normalisation, special strings and pre-tokens of the word-end
+    tokenizer never reach across it, so a text's ids are those of its pieces in order. Of a simple piece
+    the letters, in lower case, and the marks are asked for apart; since the last token of a pre-token,
+    and no other, bears the word-end mark, words can be asked for many to a text.
     """
 
     def __init__(self, path: str):
@@ -48,25 +57,61 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.known: dict[str, bytes] = {}
-
-    def batch(self, texts: list[str], end: int) -> list[bytes]:
-        """Each text's ids and ``end``, as native 32-bit integers."""
-        known, last = self.known, array("i", [end]).tobytes()
-        parts = [[t] if any(c in t for c in "\x1c\x1d\x1e\x1f") else t.split() for t in texts]
-        new = {p for words in parts for p in words if p not in known}
-        if len(known) + len(new) > CACHE:
-            known.clear()
-            new = {p for words in parts for p in words}
-        fresh = list(new)
-        for at in range(0, len(fresh), FRESH):
-            some = fresh[at : at + FRESH]
-            known.update(zip(some, (array("i", x.ids).tobytes() for x in self.tokenizer.encode_batch_fast(some, add_special_tokens=False))))
-        rows = [b"".join(map(known.__getitem__, words)) + last for words in parts]
-        for p in fresh:
-            if len(p) > 64:  # such as a text without white space: not worth its memory
-                del known[p]
-        return rows
+        vocab = self.tokenizer.get_vocab()
+        suffix = json.loads(self.tokenizer.to_str())["model"]["end_of_word_suffix"]
+        special = {i: x.content for i, x in self.tokenizer.get_added_tokens_decoder().items()}
+        if not suffix or any(re.fullmatch(SIMPLE, x) for x in special.values()):
+            raise ValueError(f"not a word-end tokenizer: {path}")
+        self.last = np.zeros(max([*vocab.values(), *special]) + 1, bool)
+        self.last[[i for x, i in vocab.items() if x.endswith(suffix) and i not in special]] = True
+
+    def _ask(self, texts: list[str]) -> Iterator[array]:
+        for at in range(0, len(texts), FRESH):
+            for x in self.tokenizer.encode_batch_fast(texts[at : at + FRESH], add_special_tokens=False):
+                yield array("i", x.ids)
+
+    def ask(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of some texts, each by itself, and how many each has."""
+        rows = list(self._ask(texts.to_pylist()))
+        return np.frombuffer(b"".join(rows), np.int32), np.fromiter(map(len, rows), np.int64, len(rows))
+
+    def ask_words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The same for words that are one pre-token each."""
+        offsets = np.append(np.arange(0, len(words), TOGETHER), len(words)).astype(np.int32)
+        lines = pc.binary_join(pa.ListArray.from_arrays(pa.array(offsets), words), " ")
+        ids = np.frombuffer(b"".join(self._ask(lines.to_pylist())), np.int32)
+        ends = np.flatnonzero(self.last[ids]) + 1
+        if len(ends) != len(words):
+            raise ValueError("a word of letters is not one pre-token of this tokenizer")
+        return ids, np.diff(ends, prepend=0)
+
+    def pieces(self, pieces: pa.Array) -> pa.ListArray:
+        """Ids of each piece."""
+        parts = pc.extract_regex(pieces, SIMPLE)
+        simple = parts.is_valid()
+        word, marks = (pc.struct_field(parts.filter(simple), name) for name in ("word", "marks"))
+        word, marks = pc.utf8_lower(word).dictionary_encode(), marks.dictionary_encode()
+        odd = pieces.filter(pc.invert(simple))
+        asked = [self.ask_words(word.dictionary), self.ask(marks.dictionary), self.ask(odd)]
+        known = _lists(np.concatenate([x for x, _ in asked]), np.concatenate([n for _, n in asked] + [np.zeros(1, np.int64)]))
+        good, first = simple.to_numpy(zero_copy_only=False), len(word.dictionary)
+        take = np.full((len(pieces), 2), len(known) - 1, np.int64)  # the last has no ids
+        take[good, 0], take[good, 1] = word.indices.to_numpy(), marks.indices.to_numpy() + first
+        take[~good, 0] = np.arange(len(odd)) + first + len(marks.dictionary)
+        both = known.take(pa.array(take.ravel()))
+        return pa.ListArray.from_arrays(both.offsets[::2], both.values)
+
+    def encode(self, texts: pa.Array, end: int) -> tuple[np.ndarray, pa.ListArray]:
+        """Per text the number of its ids with ``end``, and these; null texts count as empty."""
+        texts = pc.fill_null(texts, "")
+        odd = pc.any(pc.match_substring_regex(texts, r"[\x1c-\x1f]")).as_py()  # white space for Arrow, not for the tokenizer
+        words = pc.split_pattern_regex(texts, r"[\x20\x09-\x0D]") if odd else pc.ascii_split_whitespace(texts)
+        coded, offsets = words.values.dictionary_encode(), words.offsets.to_numpy()
+        pieces = self.pieces(coded.dictionary)
+        known = pa.concat_arrays([pieces, pa.array([[end]], pieces.type)])
+        ids = known.take(pa.array(np.insert(coded.indices.to_numpy(), offsets[1:], len(pieces))))
+        bounds = ids.offsets.to_numpy()[offsets + np.arange(len(offsets))]
+        return np.diff(bounds).astype(np.int64), pa.ListArray.from_arrays(pa.array(bounds), ids.values)
 
 
 def write_tokens(docs: DataFrame, target: str, tokenizer: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", row_group: int = 32 << 20, page: int = 128 << 10) -> None:
@@ -75,12 +120,13 @@ def write_tokens(docs: DataFrame, target: str, tokenizer: str, end_id: int, id_c
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, shard, start = loaded(Encoder, tokenizer), TaskContext.get().partitionId(), 0
-        for b in small_batches(batches):
-            rows = encoder.batch([t or "" for t in b.column(1).to_pylist()], end_id)
-            n = np.fromiter(map(len, rows), np.int64, len(rows)) // 4
-            at = start + np.cumsum(n) - n
-            start += int(n.sum())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n), pa.array(np.full(len(rows), shard, np.int32)), pa.array(at), _lists(rows, n)], [id_col, "n_tokens", "shard", "shard_start", "tokens"])
+        for b in batches:
+            for t in slabs(b, most=SLAB):
+                n, ids = encoder.encode(text_of(t), end_id)
+                at = start + np.cumsum(n) - n
+                start += int(n.sum())
+                made = [text_of(t, id_col), pa.array(n), pa.array(np.full(len(n), shard, np.int32)), pa.array(at), ids]
+                yield from small_batches([pa.RecordBatch.from_arrays(made, [id_col, "n_tokens", "shard", "shard_start", "tokens"])])
 
     kept = docs.select(F.col(id_col), F.col(text_col).cast("string").alias("text"))
     ordered = kept.repartitionByRange(id_col).sortWithinPartitions(id_col, "text")
@@ -89,10 +135,9 @@ def write_tokens(docs: DataFrame, target: str, tokenizer: str, end_id: int, id_c
     ordered.mapInArrow(run, token_schema(kept.schema[0])).write.options(**options).parquet(target)
 
 
-def _lists(rows: list[bytes], n: np.ndarray) -> pa.ListArray:
+def _lists(flat: np.ndarray, n: np.ndarray) -> pa.ListArray:
     """An Arrow list<int32> column from rows of n integers each."""
-    offsets = np.concatenate([[0], np.cumsum(n)]).astype(np.int32)
-    return pa.ListArray.from_arrays(pa.array(offsets), pa.Array.from_buffers(pa.int32(), int(offsets[-1]), [None, pa.py_buffer(b"".join(rows))]))
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32)), pa.array(flat))
 
 
 def token_schema(id_field: T.StructField) -> T.StructType:

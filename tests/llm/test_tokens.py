@@ -5,15 +5,17 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from sigfield.llm import queries
 from sigfield.llm.bpe import Bpe, encode_decode
 from sigfield.llm.counts import count_tokens
-from sigfield.llm.tokenfiles import read_tokens, write_tokens
+from sigfield.llm.tokenfiles import Encoder, read_tokens, write_tokens
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
 
@@ -40,6 +42,44 @@ def test_files(spark, sf, texts, library):
         start += len(ids)
 
 
+def test_file_format(spark, tmp_path, docs):
+    """Several files in id order; growing columns delta coded, ids by dictionary, page indexes everywhere."""
+    import glob
+
+    import pyarrow.parquet as pq
+
+    ids = docs.select((F.col("doc_id") * 3).alias("doc_id"), "text")
+    target = f"{tmp_path}/tokens"
+    before = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")  # else so few rows become one file
+    try:
+        write_tokens(ids, f"file://{target}", PATH, 2)
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", before)
+    files = sorted(glob.glob(f"{target}/*.parquet"))
+    assert len(files) >= 3
+    bounds = []
+    for f in files:
+        group = pq.ParquetFile(f).metadata.row_group(0)
+        columns = {group.column(i).path_in_schema.split(".")[0]: group.column(i) for i in range(group.num_columns)}
+        for name in ("doc_id", "n_tokens", "shard_start"):
+            assert "DELTA_BINARY_PACKED" in columns[name].encodings
+        assert "RLE_DICTIONARY" in columns["tokens"].encodings
+        assert all(c.has_offset_index and c.has_column_index for c in columns.values())
+        bounds.append((columns["doc_id"].statistics.min, columns["doc_id"].statistics.max))
+    bounds.sort()
+    assert all(a[1] < b[0] for a, b in zip(bounds, bounds[1:]))
+    rows = read_tokens(spark, f"file://{target}", ids.schema["doc_id"], tokens=False)
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert "ReadSchema" in plan and ",tokens:array" not in plan
+    some = read_tokens(spark, f"file://{target}", ids.schema["doc_id"]).where("doc_id between 30 and 60")
+    assert "GreaterThanOrEqual(doc_id,30)" in some._jdf.queryExecution().executedPlan().toString()
+    start = 0
+    for r in sorted(rows.collect(), key=lambda r: r.doc_id):
+        assert r.start == start
+        start += r.n_tokens
+
+
 def test_bpe(spark, sf, texts, library):
     for r in queries.op2_bpe(spark, sf).collect():
         ids = ids_of(library, texts[r.doc_id])
@@ -90,6 +130,17 @@ def test_any_text(text):
     assert bpe.decode(bpe.encode(text)) == t.decode(t.encode(text, add_special_tokens=False).ids, skip_special_tokens=False)
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.none() | ANY | SPECIAL, max_size=4))
+def test_any_texts_for_files(rows):
+    t = test_any_text.__dict__.setdefault("library", Tokenizer.from_file(PATH))
+    encoder = test_any_text.__dict__.setdefault("encoder", Encoder(PATH))
+    n, got = encoder.encode(pa.array(rows, pa.string()), 2)
+    want = [[*ids_of(t, x), 2] for x in rows]
+    assert got.to_pylist() == want
+    assert n.tolist() == [len(x) for x in want]
+
+
 @settings(max_examples=50, deadline=None)
 @given(st.text("abcdefg", min_size=97, max_size=300))
 def test_long_words_take_the_same_merges(word):
