@@ -180,19 +180,28 @@ def _mains(members: DataFrame) -> DataFrame:
     return of_band.where("roots > 1").drop("roots")
 
 
-def _rest(members: DataFrame, mains: DataFrame, classes: DataFrame, most: int, lo: int, hi: int) -> DataFrame:
-    """Candidates (u, v, more) of members outside their bucket's main component.
+def _rest(members: DataFrame, mains: DataFrame, classes: DataFrame, most: int, lo: int, hi: int, looking: DataFrame | None = None) -> DataFrame:
+    """Candidates (u, v, more) of members outside their bucket's main component, or of those of them that
+    are in ``looking`` (node) alone.
 
     ``members`` has band, node, root; ``mains`` has band, n and main, the root that the component chosen
-    in the first round has now. Sketches and bands are fetched for buckets with members outside it
-    alone. Each member so left out is compared with all members in blocks; of the pairs near enough, those whose place among u's in the block, nearest first, is in
-    [lo, hi) and whose roots differ come out. ``more`` tells that u has places beyond.
+    in the first round has now. Sketches and bands are fetched for buckets with members that look
+    alone. Each of these is compared with all members in blocks; of the pairs near enough, those whose
+    place among u's in the block, nearest first, is in [lo, hi) and whose roots differ come out. A row
+    (u, u, true) tells that u has places beyond in this band, or in another one.
     """
-    known = members.join(mains, "band")
-    outside = known.where("root <> main").groupBy("band").agg(F.count(F.lit(1)).alias("outside"))
-    rows = known.join(outside, "band").join(classes.select("node", "sketch", "bands"), "node").withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int")).withColumn("parts", F.ceil(F.col("outside") / BLOCK).cast("int"))
+    known = members.join(mains, "band").withColumn("left", F.col("root") != F.col("main"))
+    if looking is not None:
+        known = known.join(looking.withColumn("more", F.lit(True)), "node", "left").withColumn("left", F.col("left") & F.col("more").isNotNull()).drop("more")
+    outside = known.where("left").groupBy("band").agg(F.count(F.lit(1)).alias("outside"))
+    # 32 bits of a band tell whether two members share it
+    short = F.transform("bands", lambda x: F.call_function("shiftright", x, F.lit(32)).cast("int")).alias("bands")
+    wanted = known.join(outside, "band")
+    if looking is not None:
+        wanted = cut(wanted, "wanted")  # few rows are left, which need not meet all classes in a shuffle
+    rows = wanted.join(classes.select("node", "sketch", short), "node").withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int")).withColumn("parts", F.ceil(F.col("outside") / BLOCK).cast("int"))
     pick = lambda salt, n: F.pmod(F.xxhash64("node", F.lit(salt)), F.col(n)).cast("int")
-    left = rows.where("root <> main").withColumn("part", pick(1, "parts")).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    left = rows.where("left").withColumn("part", pick(1, "parts")).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     right = rows.withColumn("block", pick(2, "blocks")).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     dealt = left.withColumn("side", F.lit(0)).union(right.withColumn("side", F.lit(1)).select(*left.columns, "side"))
     dealt = dealt.select("band", "block", "part", "side", "node", "root", "sketch", "bands").repartition("band", "block", "part").sortWithinPartitions("band", "block", "part", "side", "node")
@@ -205,7 +214,7 @@ def _rest(members: DataFrame, mains: DataFrame, classes: DataFrame, most: int, l
             bits = _popcount(other ^ sketches[i])
             near = np.flatnonzero(bits <= most)
             same = theirs[near] == bands[i]
-            near = near[bands[i][same.argmax(1)] == band]  # else an earlier band has the pair
+            near = near[bands[i][same.argmax(1)] == band >> 32]  # else an earlier band has the pair
             near = near[np.argsort(bits[near], kind="stable")]
             beyond = len(near) > hi and any(roots[right[j]] != roots[i] for j in near[hi:])
             for j in near[lo:hi]:
@@ -213,8 +222,8 @@ def _rest(members: DataFrame, mains: DataFrame, classes: DataFrame, most: int, l
                     a, b = sorted((nodes[i], nodes[right[j]]))
                     u.append(a)
                     v.append(b)
-                    more.append(beyond)
-            if beyond and not (u and nodes[i] in (u[-1], v[-1])):  # a sign alone
+                    more.append(False)
+            if beyond:
                 u.append(nodes[i])
                 v.append(nodes[i])
                 more.append(True)
@@ -266,7 +275,7 @@ def near_duplicates(docs: DataFrame, num: int = 85, den: int = 100, k: int = 5,
 
     pairs = members.where("node <> center").select(F.col("center").alias("u"), F.col("node").alias("v")).distinct()
     roots = components(_confirm(_near(pairs, classes, most), sets, num, den))
-    lo, hi = 0, 8
+    lo, hi, looking = 0, 8, None
     while True:
         roots = cut(roots, "roots")
         known = members.select("band", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
@@ -274,7 +283,7 @@ def near_duplicates(docs: DataFrame, num: int = 85, den: int = 100, k: int = 5,
         if lo == 0:
             mains = cut(_mains(known), "mains")
         now = mains.join(roots.withColumnsRenamed({"node": "main", "root": "now"}), "main", "left").select("band", F.coalesce("now", "main").alias("main"), "n")
-        found = cut(_rest(known, now, classes, most, lo, hi).groupBy("u", "v").agg(F.max("more").alias("more")), "rest")
+        found = cut(_rest(known, now, classes, most, lo, hi, looking).groupBy("u", "v").agg(F.max("more").alias("more")), "rest")
         links = _confirm(found.where("u <> v").select("u", "v"), sets, num, den)
         to_root = roots.select(F.col("node"), F.col("root"))
         links = links.join(to_root.withColumnsRenamed({"node": "u", "root": "ru"}), "u", "left").join(to_root.withColumnsRenamed({"node": "v", "root": "rv"}), "v", "left")
@@ -282,7 +291,8 @@ def near_duplicates(docs: DataFrame, num: int = 85, den: int = 100, k: int = 5,
         merged = merged.select(F.col("node").alias("root"), F.col("root").alias("top"))
         everyone = roots.union(merged.select(F.col("root").alias("node"), F.col("root")).join(roots.select("node"), "node", "left_anti"))
         roots = everyone.join(merged, "root", "left").select("node", F.coalesce("top", "root").alias("root"))
-        if not found.where("more").limit(1).count():
+        looking = found.where("more").select(F.col("u").alias("node")).distinct()
+        if not looking.limit(1).count():
             break
         lo, hi = hi, hi * 8
     roots = cut(roots, "roots")
