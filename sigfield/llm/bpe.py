@@ -1,7 +1,8 @@
 """Operator 2: BPE encoding and decoding with a contiguous rank array.
 
 ``Bpe`` reads a tokenizer file of the word-end kind (byte alphabet, ``</w>`` on the last symbol of a
-pre-token, lower-cased NFC text). A short pre-token is held as one list of part ids and one list of
+pre-token, lower-cased NFC text). Latin pieces are lower-cased and cut here; any others are normalised and
+cut as the file says by the tokenizers library, whose Unicode tables may be newer. A short pre-token is held as one list of part ids and one list of
 the ranks of neighbouring parts: the least rank is found by a scan, its boundary is deleted and the
 ranks on either side are refreshed. Long pre-tokens take a heap, whose result is the same, so that no
 text makes the work quadratic.
@@ -17,7 +18,6 @@ import heapq
 import json
 import re
 import sys
-import unicodedata
 from array import array
 from collections.abc import Iterator
 from itertools import chain
@@ -27,6 +27,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from tokenizers import Tokenizer
 
 from sigfield.runtime import ship
 
@@ -85,6 +86,9 @@ class Bpe:
         self.vocab, self.suffix, self.alphabet = vocab, suffix, alphabet
         self._special = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")")
         self._pattern = regex.compile(PATTERN, regex.V0)
+        self._latin = re.compile("[\x00-\u024f]*")  # code points that no composition and no new table touches
+        self._byte = {c: b for b, c in alphabet.items()}
+        self._library = Tokenizer.from_file(path)
         self._odd = re.compile("[\x1c-\x1f]")  # str.split() takes these for white space, the tokenizer doesn't
         self.cache = Memo(self.piece)
 
@@ -130,12 +134,13 @@ class Bpe:
 
     def pre_tokens(self, piece: str) -> list[str]:
         """Normalised pre-tokens of text without special strings."""
-        if not piece.isascii():
-            piece = unicodedata.normalize("NFC", piece).replace("Σ", "σ")
-        return self._pattern.findall(piece.lower())
+        if self._latin.fullmatch(piece):
+            return self._pattern.findall(piece.lower())
+        found = self._library.pre_tokenizer.pre_tokenize_str(self._library.normalizer.normalize_str(piece))
+        return [bytes(map(self._byte.__getitem__, t)).decode() for t, _ in found]
 
     def symbols(self, token: str) -> list[int]:
-        raw = token.encode("utf-8", "surrogatepass")
+        raw = token.encode()
         out = [self.inner[b] for b in raw]
         out[-1] = self.final[raw[-1]]
         return out

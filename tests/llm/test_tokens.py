@@ -115,9 +115,8 @@ def test_empty(spark, empty, tmp_path):
     assert read_tokens(spark, f"file://{tmp_path}/none", empty.schema["doc_id"]).count() == 0
 
 
-# Code points that Python's Unicode version assigns: for newer ones the two libraries' tables differ, a
-# known gap that test_newer_letters shows. The second strategy is dense in special cases.
-ANY = st.text(st.characters(exclude_categories=["Cn", "Cs"]), max_size=60)
+# any code points but surrogates; the second strategy is dense in special cases
+ANY = st.text(st.characters(exclude_categories=["Cs"]), max_size=60)
 SPECIAL = st.text("aAbé\u0301İΣσς <|endoftext>'tsll1\x1c\x85\u3000ﬁ", max_size=60)
 
 
@@ -130,7 +129,7 @@ def test_any_text(text):
     assert bpe.decode(bpe.encode(text)) == t.decode(t.encode(text, add_special_tokens=False).ids, skip_special_tokens=False)
 
 
-@settings(max_examples=300, deadline=None)
+@settings(max_examples=60, deadline=None)
 @given(st.lists(st.none() | ANY | SPECIAL, max_size=4))
 def test_any_texts_for_files(rows):
     t = test_any_text.__dict__.setdefault("library", Tokenizer.from_file(PATH))
@@ -155,7 +154,11 @@ def test_long_words_take_the_same_merges(word):
         module.SHORT = kept
 
 
-@pytest.mark.xfail(strict=True, reason="regex takes this code point for a letter, the tokenizers library doesn't; see the README")
-def test_newer_letters(library):
-    text = ":\U000323b0"
-    assert list(Bpe(PATH).encode(text)) == ids_of(library, text)
+def test_every_code_point(library):
+    """Each code point but surrogates, inside words and marks, also with a combining mark after it."""
+    bpe = Bpe(PATH)
+    codes = [c for c in range(1, 0x110000) if not 0xD800 <= c < 0xE000]
+    for at in range(0, len(codes), 64):
+        some = [chr(c) for c in codes[at : at + 64]]
+        for text in (" ".join(f"a{c}.{c}" for c in some), " ".join(f"{c}\u0301" for c in some)):
+            assert list(bpe.encode(text)) == ids_of(library, text)
