@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,26 +9,13 @@ from sigfield.functions import geometry as G
 from sigfield.functions import rf, scores
 from sigfield.functions import scalars as S
 from sigfield.operators import coverage, ingest, interpolate, place, raster, rules, spatial
+from sigfield.plans import points as _points  # noqa: F401  registers its queries
+from sigfield.plans import rasters as _rasters  # noqa: F401
 from sigfield.plans import views as V
+from sigfield.plans.registry import ORACLE_SQL, QUERIES, query  # noqa: F401
 from sigfield.plans.views import with_views
 from sigfield.sources import sinks
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    """Register a query under its function's name, with its SQL."""
-
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLE_SQL[f.__name__] = sql
-        return f
-
-    return add
-
-
 def _bins(spark: SparkSession, d: str) -> DataFrame:
     return place.consolidate(V.readings(spark, d), V.WIDTH, V.HEIGHT, place.GENERATION_BINS, ["band"])
 
@@ -124,17 +109,17 @@ def out_of_bounds(spark, d):
     return place.out_of_bounds_pct(V.readings(spark, d), 900, 500, ["band"])
 
 
-ISSUES = """, i AS (SELECT row_idx AS point_id, unnest([CASE WHEN NOT (x BETWEEN 0 AND 900 AND y BETWEEN 0 AND 600) THEN 'coordinate_outside' END, CASE WHEN rssi < -100 OR rssi > -21 + 11 THEN 'rssi_range' END]) AS code FROM readings)"""
+_OUTSIDE = """, i AS (SELECT row_idx AS point_id, CASE WHEN NOT coalesce(isfinite(x) AND isfinite(y), FALSE) THEN 'point_coordinates' WHEN x < 0 OR y < 0 OR x >= 900 OR y >= 500 THEN 'point_inside' END AS code FROM points)"""
 
 
-@query(with_views("readings") + ISSUES + " SELECT point_id, 'error' AS severity, code FROM i WHERE code IS NOT NULL")
+@query(with_views("readings", "points") + _OUTSIDE + " SELECT point_id, 'error' AS severity, code FROM i WHERE code IS NOT NULL")
 def validate_points(spark, d):
-    return rules.point_issues(V.readings(spark, d), 900, 600)
+    return rules.point_issues(V.points(spark, d), 900, 500)
 
 
-@query(with_views("readings") + ISSUES + " SELECT point_id, 'error' AS severity, code, CAST(row_number() OVER (PARTITION BY code ORDER BY point_id) AS INT) AS place FROM i WHERE code IS NOT NULL QUALIFY place <= 160")
+@query(with_views("readings", "points") + _OUTSIDE + " SELECT point_id, 'error' AS severity, code, CAST(row_number() OVER (PARTITION BY code ORDER BY point_id) AS INT) AS place FROM i WHERE code IS NOT NULL QUALIFY place <= 160")
 def issue_caps(spark, d):
-    return rules.capped(rules.point_issues(V.readings(spark, d), 900, 600), 160, ["code"], "point_id")
+    return rules.capped(rules.point_issues(V.points(spark, d), 900, 500), 160, ["code"], "point_id")
 
 
 @query(with_views("readings", "bins") + """, p AS (SELECT first_idx AS row_idx, x, y FROM bins WHERE band='5ghz')
@@ -183,11 +168,6 @@ def quality_histogram(spark, d):
     return V.readings(spark, d).groupBy(scores.quality_class(F.col("rssi")).alias("class"), "band").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query()
-def point_coverage(spark, d):
-    return coverage.point_table(V.readings(spark, d), ["row_idx", "band"])
-
-
 @query(with_views("readings") + "SELECT row_idx, CAST(least(greatest(floor((rssi+80)/(CAST(60 AS DOUBLE)/11)),0),10) AS INT) AS bucket FROM readings")
 def legend_bucket(spark, d):
     return V.readings(spark, d).select("row_idx", scores.legend_bucket(F.col("rssi")).alias("bucket"))
@@ -203,11 +183,6 @@ def contour_rssi(spark, d):
     return V.readings(spark, d).select("row_idx", F.round(scores.contour_rssi(F.col("rssi")), 6).alias("rssi"))
 
 
-@query()
-def rssi_color(spark, d):
-    return V.readings(spark, d).select("row_idx", scores.rssi_color(F.col("rssi")).alias("c")).select("row_idx", "c.*")
-
-
 @query(with_views("readings", "aps") + """, p AS (SELECT row_idx, band, sqrt((x-500)*(x-500)+(y-300)*(y-300))/20 AS d FROM readings)
 SELECT row_idx, round(CASE WHEN d > 0 THEN 10*CASE band WHEN '5ghz' THEN 2.12::DOUBLE WHEN '6ghz' THEN 2.34::DOUBLE ELSE 1.72::DOUBLE END*log10(d+1) ELSE 0 END, 6) AS loss_db FROM p""")
 def path_loss(spark, d):
@@ -325,12 +300,6 @@ def summed_area(spark, d):
     return raster.summed_area(full.join(counts, ["band", "gx", "gy"], "left").select("band", "gx", "gy", F.coalesce("value", F.lit(0)).alias("value")), ["band"])
 
 
-@query()
-def gaussian_blur(spark, d):
-    cells = _cells(spark, d).select("band", "gx", "gy", F.col("rssi").alias("value"))
-    return raster.blur(cells, 3, ["band"]).withColumn("value", F.round("value", 5))
-
-
 @query()
 def connected_regions(spark, d):
     return raster.component_stats(raster.connected(_mask(spark, d), 125, "layer"), "layer")

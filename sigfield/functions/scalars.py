@@ -76,6 +76,7 @@ def parse_positive(v: Column) -> Column:
     return F.when(n > 0, n)
 
 
+# fixed value: ids that are a number with an optional word before it
 POINT_ID = r"^(?:p|ponto|point)?[\s_-]*0*([0-9]+)$"
 
 
@@ -97,9 +98,14 @@ def point_id_aliases(v: Column) -> Column:
 
 def normalize_band(v: Column) -> Column:
     """Band of a text with a frequency in MHz or GHz, or with a band's name."""
-    n, t = parse_number(v), F.lower(v)
-    by_number = F.when(n.between(2400, 2500) | ((n >= 2) & (n < 3)) | (n == 24), "24ghz").when((n.between(4900, 5924)) | (n == 5), "5ghz").when(n.between(5925, 7125) | (n == 6), "6ghz")
-    by_text = F.when(t.contains("2.4") | t.contains("2,4") | t.contains("24"), "24ghz").when(t.contains("6"), "6ghz").when(t.contains("5"), "5ghz")
+    n, t = parse_number(v), normalize_cell(v)
+    whole = F.floor(n + 0.5)
+    by_number = (
+        F.when(((n >= 2400) & (n < 2500)) | ((n >= 2) & (n < 3)) | (whole == 24), "24ghz")
+        .when(((n >= 4900) & (n < 5925)) | (whole == 5), "5ghz")
+        .when(((n >= 5925) & (n < 7125)) | (whole == 6), "6ghz")
+    )
+    by_text = F.when(t.contains("2_4") | t.contains("24"), "24ghz").when(t.contains("5ghz") | t.isin("5g", "5"), "5ghz").when(t.contains("6ghz") | t.isin("6g", "6"), "6ghz").when(t.contains("5"), "5ghz")
     return F.coalesce(by_number, by_text)
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sigfield.functions import scores
@@ -49,3 +49,24 @@ def best_and_worst(points: DataFrame, by: list[str], key: str = "row_idx") -> Da
     """Strongest and weakest reading of each group, the first of equal ones, and the mean."""
     v = F.col("rssi")
     return points.groupBy(*by).agg(F.max_by(key, F.struct(v, -F.col(key))).alias("best_idx"), F.max(v).alias("best_rssi"), F.min_by(key, F.struct(v, F.col(key))).alias("worst_idx"), F.min(v).alias("worst_rssi"), F.round(exact_mean(v), 4).alias("avg_rssi"))
+
+
+def auto_rooms(labelled: DataFrame, by: str, least: int | None = None, cells: int = 0, most: int = 18) -> DataFrame:
+    """Names of the largest components of each layer's passable cells: those of at least ``least`` cells, or
+    18 and 0.15 % of the grid's; a single one is the whole floor."""
+    least = least if least is not None else max(18, int(cells * 0.0015 + 0.5))
+    sizes = labelled.groupBy(by, "label").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
+    place = F.row_number().over(Window.partitionBy(by).orderBy(F.desc("n"), "label"))
+    ranked = sizes.withColumn("place", place).withColumn("of", F.count(F.lit(1)).over(Window.partitionBy(by))).where(F.col("place") <= most)
+    return ranked.select(by, "label", "n", F.when(F.col("of") == 1, "Floor Area").otherwise(F.concat(F.lit("Room "), F.col("place").cast("string"))).alias("name"))
+
+
+def largest(stats: DataFrame, by: list[str]) -> DataFrame:
+    """The component with the largest area of each layer, the first of equal ones."""
+    return stats.groupBy(*by).agg(F.max_by("label", F.struct("area", -F.col("label"))).alias("label"), F.max("area").alias("area"))
+
+
+def natural_order(rooms: DataFrame, name: str, key: str) -> DataFrame:
+    """Places of rooms by name, numbers in names by their value: a report's few rows, in one order."""
+    word, number = F.lower(F.trim(F.regexp_replace(name, "[0-9]+$", ""))), F.regexp_extract(name, "([0-9]+)$", 1).try_cast("long")
+    return rooms.withColumn("place", F.row_number().over(Window.orderBy(word, F.asc_nulls_first(number), key)))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sigfield.functions import rf
@@ -43,3 +43,27 @@ def rf_grid(points: DataFrame, grid: DataFrame, walls_db: DataFrame | None, px_p
 def derive_6ghz(layer: DataFrame) -> DataFrame:
     """A 6 GHz layer's statistics from the 5 GHz layer's: shifted by -4.5 dB, coverage as it is."""
     return layer.where("band = '5ghz'").withColumns({c: F.round(F.col(c) - 4.5, 1) for c in ("min_rssi", "max_rssi", "avg_rssi")}).withColumn("band", F.lit("6ghz"))
+
+
+def nearest_distance(points: DataFrame, grid: DataFrame, by: list[str]) -> DataFrame:
+    """Pixels from each grid cell to the nearest consolidated point of a group."""
+    d = F.hypot(F.col("x") - F.col("tx"), F.col("y") - F.col("ty"))
+    return points.join(small(grid)).groupBy(*by, "gx", "gy").agg(F.min(d).alias("distance_px"))
+
+
+def neighbours(n: Column) -> Column:
+    """How many points a cell looks at in a survey of n."""
+    return F.when(n > 120, F.lit(24)).when(n > 64, F.lit(48)).otherwise(n)
+
+
+def settings(width: Column, height: Column, n: Column) -> dict[str, Column]:
+    """A layer's defaults for a plan's size and number of points: grid step, neighbours, blur and feather in
+    pixels, and the factor that brings the plan to the size it is worked on."""
+    side, dense = F.greatest(width, height), n > 120
+    cells = F.when(dense, 26000.0).when(n > 64, 62000.0).otherwise(90000.0)
+    step = F.greatest(clamp(F.floor(side / 980 + 0.5).cast("double"), 3.0, 6.0), F.ceil(F.sqrt(F.greatest(width * height, F.lit(1.0)) / cells)).cast("double"))
+    most = F.when(dense, 1.0 * 14).otherwise(10.0)
+    return {
+        "step": clamp(step, 3.0, most).cast("int"), "neighbours": neighbours(n).cast("long"), "blur_px": clamp(side / 65, 13.0, 22.0), "feather_px": clamp(side / 900, 1.2, 4.5),
+        "factor": F.least(F.lit(1.0), F.when(dense, 900.0).otherwise(1200.0) / F.greatest(side, F.lit(1.0))),
+    }

@@ -13,6 +13,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from sigfield.functions.scalars import clamp, smoothstep
+
 
 def gaussian_kernel(radius: int) -> list[float]:
     sigma = max(radius / 2.5, 0.72)
@@ -20,14 +22,43 @@ def gaussian_kernel(radius: int) -> list[float]:
     return [x / sum(w) for x in w]
 
 
-def blur(cells: DataFrame, radius: int, by: list[str]) -> DataFrame:
-    """Separable Gaussian blur of ``value`` over active cells, weights renormalised at the borders."""
-    for axis in ("gx", "gy"):
-        kernel = F.array(*(F.struct(F.lit(k - radius).alias("o"), F.lit(w).alias("w")) for k, w in enumerate(gaussian_kernel(radius))))
-        spread = cells.select(*by, "gx", "gy", "value", F.explode(kernel).alias("k")).withColumn(axis, F.col(axis) + F.col("k.o"))
-        sums = spread.groupBy(*by, "gx", "gy").agg((F.sum(F.col("value") * F.col("k.w")) / F.sum("k.w")).alias("value"))
-        cells = sums.join(cells.select(*by, "gx", "gy"), [*by, "gx", "gy"], "left_semi")
-    return cells
+def blur_axis(cells: DataFrame, columns: list[str], axis: str, size: int, radius: int, by: list[str]) -> DataFrame:
+    """One-dimensional Gaussian blur of columns of a grid of ``size`` cells along an axis. A cell at a border
+    counts for all places beyond it; missing cells count as 0. Each cell is sent to those it reaches."""
+    kernel = gaussian_kernel(radius)
+    upto = [sum(kernel[:k]) for k in range(len(kernel) + 1)]
+    at = F.col(axis)
+    values = lambda v: F.array(*map(F.lit, v))
+    offsets = F.sequence(F.greatest(F.lit(-radius), -at), F.least(F.lit(radius), F.lit(size - 1) - at))
+    # from the source: the target is at + o, so the source lies -o from the target
+    inner = F.get(values(kernel), F.lit(radius) - F.col("o"))
+    first = F.get(values(upto), F.lit(radius + 1) - F.col("o"))
+    last = F.lit(1.0) - F.get(values(upto), F.lit(radius) - F.col("o"))
+    weight = F.lit(1.0) if size == 1 else F.when(at == 0, first).when(at == size - 1, last).otherwise(inner)
+    sent = cells.withColumn("o", F.explode(offsets)).withColumn("w", weight).withColumn(axis, at + F.col("o"))
+    return sent.groupBy(*by, "gx", "gy").agg(*(F.sum(F.col(c) * F.col("w")).alias(c) for c in columns))
+
+
+def _blur_pass(cells: DataFrame, radius: int, width: int, height: int, by: list[str]) -> DataFrame:
+    weight = F.greatest(F.col("alpha"), F.lit(0.001))
+    field = cells.select(*by, "gx", "gy", (F.col("value") * weight).alias("top"), weight.alias("bottom"))
+    for axis, size in (("gx", width), ("gy", height)):
+        field = blur_axis(field, ["top", "bottom"], axis, size, radius, by)
+    keys = [*by, "gx", "gy"]
+    both = cells.join(field, keys).join(gradient(cells, width, height, by), keys)
+    keep = smoothstep(3.5, 12.0, F.hypot("dx", "dy")) * 0.78
+    some = F.col("bottom") > 0.0001
+    value = F.col("value") * keep + F.col("top") / F.nullif(F.col("bottom"), F.lit(0.0)) * (F.lit(1.0) - keep)
+    return both.select(*keys, F.when(some, value).otherwise(F.col("value")).alias("value"), F.when(some, clamp(F.col("bottom"), 0.0, 1.0)).otherwise(F.col("alpha")).alias("alpha"))
+
+
+def blur(cells: DataFrame, radius: int, width: int, height: int, by: list[str]) -> DataFrame:
+    """Blur of a field (value, alpha) over its active cells: values weigh their alpha, steep places are
+    preserved, and beyond radius 2 a second, narrower pass follows."""
+    if radius <= 0:
+        return cells
+    cells = _blur_pass(cells, radius, width, height, by)
+    return _blur_pass(cells, max(1, int(radius * 0.46 + 0.5)), width, height, by) if radius > 2 else cells
 
 
 def dilate(cells: DataFrame, radius: int, width: int, height: int, by: list[str]) -> DataFrame:
@@ -74,17 +105,28 @@ def summed_area(cells: DataFrame, by: list[str]) -> DataFrame:
     return cells.withColumn("s", F.sum("value").over(row)).withColumn("total", F.sum("s").over(column)).drop("s")
 
 
+def box_sums(totals: DataFrame, boxes: DataFrame, by: list[str]) -> DataFrame:
+    """Sum of the values in each box (x0, y0, x1, y1; ends exclusive) from prefix sums: four lookups."""
+    corners = F.array(*(F.struct((F.col(x) - 1).alias("gx"), (F.col(y) - 1).alias("gy"), F.lit(s).alias("sign")) for x, y, s in (("x1", "y1", 1), ("x1", "y0", -1), ("x0", "y1", -1), ("x0", "y0", 1))))
+    keys = boxes.columns
+    looked = boxes.withColumn("c", F.explode(corners)).select(*keys, "c.*").join(totals, [*by, "gx", "gy"], "left")
+    return looked.groupBy(*keys).agg(F.sum(F.coalesce("total", F.lit(0)) * F.col("sign")).alias("inside"))
+
+
 def density_profile(cells: DataFrame, axis: str, by: list[str]) -> DataFrame:
     """Number of active cells of each row (gy) or column (gx)."""
     return cells.groupBy(*by, axis).agg(F.count(F.lit(1)).alias("n"))
 
 
-def gradient(cells: DataFrame, by: list[str]) -> DataFrame:
-    """Differences to the next cell along each axis; a missing neighbour counts as 0."""
-    right, down = (cells.select(*by, (F.col("gx") - dx).alias("gx"), (F.col("gy") - dy).alias("gy"), F.col("value").alias(n)) for dx, dy, n in ((1, 0, "r"), (0, 1, "d")))
-    keys = [*by, "gx", "gy"]
-    joined = cells.join(right, keys, "left").join(down, keys, "left")
-    return joined.select(*keys, (F.coalesce("r", F.lit(0.0)) - F.col("value")).alias("dx"), (F.coalesce("d", F.lit(0.0)) - F.col("value")).alias("dy"))
+def gradient(cells: DataFrame, width: int, height: int, by: list[str]) -> DataFrame:
+    """Differences ``dx`` and ``dy`` between the cells to the right and left, below and above. Beyond a
+    border the cell itself counts, an inactive neighbour as 0. Each value is sent to its neighbours."""
+    x, y, v = F.col("gx"), F.col("gy"), F.col("value")
+    send = lambda to_x, to_y, dx, dy: F.struct(to_x.alias("gx"), to_y.alias("gy"), (v * dx).alias("dx"), (v * dy).alias("dy"), F.lit(0).alias("here"))
+    own = F.struct(x.alias("gx"), y.alias("gy"), (v * ((x == width - 1).cast("int") - (x == 0).cast("int"))).alias("dx"), (v * ((y == height - 1).cast("int") - (y == 0).cast("int"))).alias("dy"), F.lit(1).alias("here"))
+    parts = F.array(own, send(x - 1, y, 1, 0), send(x + 1, y, -1, 0), send(x, y - 1, 0, 1), send(x, y + 1, 0, -1))
+    sums = cells.select(*by, F.explode(parts).alias("p")).select(*by, "p.*").groupBy(*by, "gx", "gy").agg(F.sum("dx").alias("dx"), F.sum("dy").alias("dy"), F.max("here").alias("here"))
+    return sums.where("here = 1").drop("here")
 
 
 def spans(cells: DataFrame, by: list[str]) -> DataFrame:

@@ -29,6 +29,31 @@ def walls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _table(spark, sf_dir, "nation").selectExpr("n_nationkey wall_id", "cast(n_nationkey*37%1000 as double) x0", "cast(n_nationkey*53%600 as double) y0", "cast(n_nationkey*37%1000+120 as double) x1", "cast(n_nationkey*53%600+n_nationkey%7*15 as double) y1", f"{material} material")
 
 
+def points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Readings as points with a column for each band, some of them incomplete or off the plan."""
+    return readings(spark, sf_dir).selectExpr(
+        "row_idx", "concat('P', row_idx) point_id", "case when row_idx%97=0 then null when row_idx%89=0 then cast('NaN' as double) else x end x", "y",
+        "case when row_idx%4=3 then null when row_idx%101=0 then rssi-40 else rssi end rssi_24ghz", "case when row_idx%6=3 then null else rssi+3 end rssi_5ghz", "case when row_idx%7=0 then rssi-2 end rssi_6ghz",
+        "(x+y)/40 distance_m", "case when row_idx%3=0 then x/20 end csv_distance_m", "case row_idx%3 when 0 then 'csv' when 1 then 'manual' else 'detected' end source",
+    )
+
+
+def plans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Plans to calibrate: by hand, or from two points a known distance apart."""
+    return _table(spark, sf_dir, "part").selectExpr(
+        "p_partkey site", "case when p_partkey%3=0 then 'manual' else 'two-point' end mode", "cast(p_partkey%41-2 as double)*30 manual_px_per_m",
+        "cast(p_partkey%50 as double) ax", "cast(p_partkey%30 as double) ay", "cast(p_partkey%50+p_partkey%7*12 as double) bx", "cast(p_partkey%30+p_partkey%5*9 as double) by_", "cast(p_partkey%11-1 as double) known_m",
+        "cast(p_partkey%13 as double) ox", "cast(p_partkey%17 as double) oy", "cast(400+p_size*80 as double) width", "cast(300+p_partkey%60*50 as double) height",
+        "case when p_partkey%4<>0 then cast(10+p_size as double) end width_m", "case when p_partkey%5<>0 then cast(8+p_partkey%40 as double) end height_m",
+        "cast(p_partkey%60*1000000 as bigint) length", "element_at(array('image/png','image/jpeg','application/pdf','image/webp','image/svg+xml',null), cast(p_partkey%6+1 as int)) mime", "p_name name",
+    )
+
+
+def pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An image of 40 pixels' width, as rows (gx, gy, r, g, b)."""
+    return _table(spark, sf_dir, "part").selectExpr("cast(p_partkey%40 as int) gx", "cast(p_partkey div 40 as int) gy", "cast(p_partkey*37%256 as int) r", "cast(p_partkey*p_size%256 as int) g", "cast((p_partkey div 40)*11%256 as int) b")
+
+
 def rooms(spark: SparkSession, sf_dir: str) -> DataFrame:
     corner = lambda x, y: f"named_struct('x', cast(r_regionkey*200+{x} as double), 'y', cast({y} as double))"
     return _table(spark, sf_dir, "region").selectExpr("r_regionkey room_id", "r_name name", f"array({corner(5, 40)}, {corner(195, 40)}, {corner(195, 560)}, {corner(5, 560)}) polygon")
@@ -49,6 +74,15 @@ SQL = {
  CAST(n_nationkey*53%600+n_nationkey%7*15 AS DOUBLE) AS y1, (['drywall','glass','wood','brick','concrete'])[n_regionkey+1] AS material FROM nation)""",
     "rooms": "rooms AS (SELECT r_regionkey AS room_id, r_name AS name, CAST(r_regionkey*200+5 AS DOUBLE) AS rx0, CAST(r_regionkey*200+195 AS DOUBLE) AS rx1, 40.0::DOUBLE AS ry0, 560.0::DOUBLE AS ry1 FROM region)",
     "grid": "grid AS (SELECT CAST(id%50 AS INT) AS gx, CAST(id//50 AS INT) AS gy, (id%50)*20.0::DOUBLE+10 AS tx, (id//50)*20.0::DOUBLE+10 AS ty FROM range(1500) r(id))",
+    "points": """points AS (SELECT row_idx, 'P' || row_idx AS point_id, CASE WHEN row_idx%97=0 THEN NULL WHEN row_idx%89=0 THEN 'NaN'::DOUBLE ELSE x END AS x, y,
+ CASE WHEN row_idx%4=3 THEN NULL WHEN row_idx%101=0 THEN rssi-40 ELSE rssi END AS rssi_24ghz, CASE WHEN row_idx%6=3 THEN NULL ELSE rssi+3 END AS rssi_5ghz, CASE WHEN row_idx%7=0 THEN rssi-2 END AS rssi_6ghz,
+ (x+y)/40 AS distance_m, CASE WHEN row_idx%3=0 THEN x/20 END AS csv_distance_m, CASE row_idx%3 WHEN 0 THEN 'csv' WHEN 1 THEN 'manual' ELSE 'detected' END AS source FROM readings)""",
+    "plans": """plans AS (SELECT p_partkey AS site, CASE WHEN p_partkey%3=0 THEN 'manual' ELSE 'two-point' END AS mode, CAST(p_partkey%41-2 AS DOUBLE)*30 AS manual_px_per_m,
+ CAST(p_partkey%50 AS DOUBLE) AS ax, CAST(p_partkey%30 AS DOUBLE) AS ay, CAST(p_partkey%50+p_partkey%7*12 AS DOUBLE) AS bx, CAST(p_partkey%30+p_partkey%5*9 AS DOUBLE) AS by_, CAST(p_partkey%11-1 AS DOUBLE) AS known_m,
+ CAST(p_partkey%13 AS DOUBLE) AS ox, CAST(p_partkey%17 AS DOUBLE) AS oy, CAST(400+p_size*80 AS DOUBLE) AS width, CAST(300+p_partkey%60*50 AS DOUBLE) AS height,
+ CASE WHEN p_partkey%4<>0 THEN CAST(10+p_size AS DOUBLE) END AS width_m, CASE WHEN p_partkey%5<>0 THEN CAST(8+p_partkey%40 AS DOUBLE) END AS height_m,
+ CAST(p_partkey%60*1000000 AS BIGINT) AS length, (['image/png','image/jpeg','application/pdf','image/webp','image/svg+xml',NULL])[p_partkey%6+1] AS mime, p_name AS name FROM part)""",
+    "pixels": """pixels AS (SELECT CAST(p_partkey%40 AS INT) AS gx, CAST(p_partkey//40 AS INT) AS gy, CAST(p_partkey*37%256 AS INT) AS r, CAST(p_partkey*p_size%256 AS INT) AS g, CAST(p_partkey//40*11%256 AS INT) AS b FROM part)""",
     "bins": """bins AS (SELECT CAST(floor(x/32+0.5) AS BIGINT) AS bx, CAST(floor(y/32+0.5) AS BIGINT) AS by_, band, min(row_idx) AS first_idx, count(*) AS n,
  floor(CAST(sum(CAST(x AS DECIMAL(28,6))) AS DOUBLE)/count(x)*100+0.5)/100 AS x, floor(CAST(sum(CAST(y AS DECIMAL(28,6))) AS DOUBLE)/count(y)*100+0.5)/100 AS y, max(rssi) AS rssi FROM readings GROUP BY ALL)""",
 }
