@@ -31,7 +31,8 @@ KINDS = ("email", "ip", "card", "phone")
 
 _LOCAL = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+")
-_IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
+_IP = re.compile(r"[0-9]++(?:\.[0-9]++){3}|[0-9]++")  # a run of digits that starts none is passed as a whole
+_DOTTED = re.compile(r"\.[0-9]+\.[0-9]")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _NOT_DIGIT = re.compile(r"[^0-9]")
@@ -62,8 +63,8 @@ def _emails(text: str) -> Iterator[tuple[int, int]]:
 def base_spans(text: str) -> list[tuple[str, int, int]]:
     """Leftmost non-overlapping matches per kind that pass their test, by start, then kind."""
     out = [("email", *x) for x in _emails(text)]
-    for m in _IP.finditer(text):
-        if all(len(p.lstrip("0")) <= 3 and int(p.lstrip("0") or 0) <= 255 for p in m[0].split(".")):
+    for m in _IP.finditer(text) if _DOTTED.search(text) else ():
+        if "." in m[0] and all(len(p.lstrip("0")) <= 3 and int(p.lstrip("0") or 0) <= 255 for p in m[0].split(".")):
             out.append(("ip", *m.span()))
     for m in _CARD.finditer(text):
         if m.end() - m.start() >= 14 and 14 <= len(d := _NOT_DIGIT.sub("", m[0])) <= 19 and luhn(d):
@@ -83,6 +84,8 @@ DIGITS = (
     "zero|oh|null|zéro|cero", "one|eins|un|une|uno|una", "two|zwei|zwo|deux|dos", "three|drei|trois|tres", "four|vier|quatre|cuatro",
     "five|fünf|fuenf|cinq|cinco", "six|sechs|seis", "seven|sieben|sept|siete", "eight|acht|huit|ocho", "nine|neun|neuf|nueve",
 )
+# fixed values: words about mail in the four languages
+_CUE = re.compile(r"\b(?:e-?mails?|mail|mailto|contact|write|reach|address|kontakt|schreib\w*|adresse|courriel|écri\w*|correo|escrib\w*|contacto)\b", re.I)
 ENDINGS = "com|org|net|edu|gov|io|co|info"
 
 
@@ -103,13 +106,12 @@ def _glyphs() -> dict[str, str]:
 @cache
 def _patterns() -> dict[str, re.Pattern]:
     digit = "(?:" + "|".join(DIGITS) + r")\b"
-    odd = "[" + "".join(map(re.escape, _glyphs())) + "]"
     label, gap = "[A-Za-z0-9-]", r"[\x20\t]"
     at = rf"{gap}*[\[({{<]{gap}*(?:at|arroba|@){gap}*[\])}}>]{gap}*"
     dot = rf"{gap}*[\[({{<]{gap}*(?:dot|punto|punkt|point|\.){gap}*[\])}}>]{gap}*"
     return {
-        "odd": re.compile(odd),
-        "sign": re.compile(rf"[\[({{<]{gap}*(?:at|arroba|@|dot|punto|punkt|point|\.){gap}*[\])}}>]|{gap}dot{gap}|\b{digit}[\x20,-]{{1,2}}{digit}|{gap}at{gap}+[a-z0-9.-]{{1,80}}\.(?:{ENDINGS})\b", re.I),
+        "bracketed": re.compile(rf"[\[({{<]{gap}*(?:at|arroba|@|dot|punto|punkt|point|\.){gap}*[\])}}>]", re.I),
+        "at_host": re.compile(rf"{gap}at{gap}+[a-z0-9.-]{{1,80}}\.(?:{ENDINGS})\b", re.I),
         "digits": re.compile(rf"(?:\b(?:plus|más|mas)[\x20-]+)?\b{digit}(?:[\x20,-]{{1,2}}{digit}){{2,}}", re.I),
         "digit": re.compile(r"\b(?:" + "|".join(f"({words})" for words in DIGITS) + r")\b", re.I),
         "at": re.compile(at, re.I),
@@ -143,24 +145,56 @@ class Mapped:
         self.lo, self.hi, self.changed = lo + self.lo[at:], hi + self.hi[at:], changed + self.changed[at:]
 
 
+_WORD = re.compile(r"\w+")
+
+
+def _signs(text: str) -> bool:
+    """Whether a text shows a sign of disguise other than look-alikes; cheap tests come first."""
+    p, low = _patterns(), text.lower()
+    if any(c in text for c in "[({<") and p["bracketed"].search(text):
+        return True
+    if "dot" in low and re.search(r"[\x20\t]dot[\x20\t]", low):
+        return True
+    if "at" in low and "." in low and p["at_host"].search(text):
+        return True
+    words = _WORD.findall(low)
+    digits = _digit_words()
+    return not digits.isdisjoint(words) and any(a in digits and b in digits for a, b in zip(words, words[1:]))
+
+
+@cache
+def _digit_words() -> frozenset[str]:
+    return frozenset("|".join(DIGITS).split("|"))
+
+
 def normalise(text: str) -> Mapped | None:
     """The text without disguises, or None if it shows no sign of any."""
-    p, plain = _patterns(), text.isascii()
-    odd = not plain and p["odd"].search(text)
-    if not odd and not p["sign"].search(text):
+    p, glyphs = _patterns(), _glyphs()
+    odd = not text.isascii() and not glyphs.keys().isdisjoint(text)
+    if not odd and not _signs(text):
         return None
     m = Mapped(text)
     if odd:
-        glyphs = _glyphs()
-        m.replace([(x.start(), x.end(), glyphs[x[0]]) for x in p["odd"].finditer(text)])
+        m.replace([(i, i + 1, glyphs[c]) for i, c in enumerate(text) if c in glyphs])
     said = lambda s: ("+" if s[0] in "PpMm" else "") + "".join(str(d.lastindex - 1) for d in p["digit"].finditer(s))
     m.replace([(x.start(), x.end(), said(x[0])) for x in p["digits"].finditer(m.text)])
-    for step, sign in (("at", "@"), ("dot", "."), ("bare_dot", "."), ("bare_at", "@")):
+    for step, sign in (("at", "@"), ("dot", "."), ("bare_dot", ".")):
         m.replace([(x.start(), x.end(), sign) for x in p[step].finditer(m.text)])
+    m.replace([(x.start(), x.end(), "@") for x in p["bare_at"].finditer(m.text) if _named(m.text, x.start())])
     m.replace([(x.start(), x.end(), "@") for x in p["said_at"].finditer(m.text) if _said(m, x.end())])
     return m
 
 
+def _named(text: str, at: int) -> bool:
+    """Whether the word before a bare "at" reads as a mailbox although the host is plain: it has a digit or a
+    mark inside, or a word about mail comes shortly before it."""
+    start = at
+    while start > 0 and text[start - 1] in _LOCAL:
+        start -= 1
+    local = text[start:at]
+    return bool(re.search(r"[0-9._%+]", local)) or bool(_CUE.search(text, max(0, start - 40), start))
+
+
 def _said(m: Mapped, at: int) -> bool:
     """Whether the host that starts there ends in letters and has a dot that was written otherwise."""
     host = _DOMAIN.match(m.text, at)

@@ -149,3 +149,38 @@ def test_copied_widely(spark):
     assert out[25] == [("assign", True, 1, 1)]
     assert out[31] == [("format", False, 5, 5)]
     assert out[44] == [("assign", True, 1, 9)]
+
+
+def planted():
+    """(text, kind, identifier as disguised) for names, hosts and numbers under each disguise."""
+    look = str.maketrans({"a": "а", "e": "е", "o": "о", "p": "р", "c": "с"})
+    said = dict(zip("0123456789", "zero one two three four five six seven eight nine".split()))
+    out = []
+    for local, host, end in (("anna.b", "example", "org"), ("john99", "firma", "de"), ("maria_p", "correo", "com"), ("kontakt", "bureau", "fr")):
+        plain = f"{local}@{host}.{end}"
+        forms = [plain.translate(look), f"{local} [at] {host} [dot] {end}", f"{local} (at) {host} (dot) {end}", f"{local} at {host} dot {end}", f"{local}@{host} dot {end}", f"{local}\u200b@{host}.{end}", f"{local}@{host}.{end}".replace("@", "\uff20")]
+        out += [("email", f) for f in forms]
+    for digits in ("4915123456789", "34911234567"):
+        out += [("phone", "plus " + " ".join(said[c] for c in digits)), ("phone", "+" + digits[:2] + " " + "".join(chr(0xFF10 + int(c)) for c in digits[2:]))]
+    for ip in ("10.20.30.40", "192.168.1.9"):
+        out += [("ip", ip.replace(".", "\u2024")), ("ip", ip.replace(".", " [dot] ")), ("ip", "".join(chr(0x1D7CE + int(c)) if c.isdigit() else c for c in ip))]
+    card = "4111111111111111"
+    out += [("card", "".join(chr(0x0660 + int(c)) for c in card)), ("card", " ".join(said[c] for c in card))]
+    return [(f"Bitte, der Text davor; {form} und danach mehr.", kind, form) for kind, form in out]
+
+
+CLEAN = (
+    "I was at google.com yesterday", "meet at noon at example.com", "look at this. one two many", "un dos tres, dijo", "he arrived at 10.30 and left at 11.45", "prices: one, two or three euro",
+    "the dot on the map is at home", "version 1.2.3 was better than 1.2", "une des deux maisons", "Er kam um acht, nicht um neun", "call me at five", "α + β = γ in 2020", "see [at] the end", "a – b – c", "naïve café at the corner",
+)
+
+
+def test_planted_disguises_recall_and_precision():
+    cases = planted()
+    hits = 0
+    for text, kind, form in cases:
+        at = text.index(form)
+        hits += any(s["kind"] == kind and s["start"] <= at and s["end"] >= at + len(form) for s in spans(text))
+    assert hits >= 0.9 * len(cases), (hits, len(cases))
+    wrong = [t for t in CLEAN if any(not s["base"] for s in spans(t))]
+    assert not wrong
