@@ -75,7 +75,8 @@ def scan_secrets(docs: DataFrame, most_owners: int = 3, most_repos: int = 3, id_
     copied = F.when(F.size("found") > 0, _copied_text(F.col("text")))
     rows = cut(rows.select(F.monotonically_increasing_id().alias("row"), "kept", "owner", "repo", copied.alias("copied"), hashed.alias("found")), "candidates")
 
-    each = rows.where(F.size("found") > 0).select("row", "kept", "owner", "repo", "copied", F.explode("found").alias("x"))
+    # matches carry their row's number, not its columns
+    each = rows.where(F.size("found") > 0).select("row", "owner", "repo", "copied", F.explode("found").alias("x"))
     own = F.when(F.col("copied").isNull(), F.col("row"))
     first = each.groupBy(F.col("x.hash").alias("hash"), "copied", own.alias("own")).agg(F.min(F.struct("owner", "repo")).alias("first"))
     seen = first.select("hash", "first.owner", "first.repo").distinct()
@@ -84,8 +85,8 @@ def scan_secrets(docs: DataFrame, most_owners: int = 3, most_repos: int = 3, id_
     marked = each.withColumn("hash", F.col("x.hash")).join(frequency, "hash")
     live = (F.col("n_owners") <= most_owners) | (F.col("n_repos") <= most_repos)
     span = F.struct(F.col("x.start").alias("start"), F.col("x.rank").alias("rank"), F.col("x.end").alias("end"), F.col("x.kind").alias("kind"), (F.col("x.kind") != "format").alias("base"), "n_owners", "n_repos", live.alias("live"))
-    spans = marked.groupBy("row").agg(F.first("kept").alias("kept"), F.array_sort(F.collect_list(span)).alias("secrets"))
-    spans = spans.select("kept", "secrets")
+    found = marked.groupBy("row").agg(F.array_sort(F.collect_list(span)).alias("secrets"))
+    spans = rows.where(F.size("found") > 0).select("row", "kept").join(found, "row").select("kept", "secrets")
     none = rows.where(F.size("found") == 0).select("kept", F.array().cast(spans.schema["secrets"].dataType).alias("secrets"))
     return spans.union(none).select("kept.*", "secrets")
 

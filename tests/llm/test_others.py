@@ -198,11 +198,16 @@ def test_pipeline(spark, sf, texts):
 def test_pipeline_awkward(spark, awkward, sf):
     import corpus_pipeline
 
-    docs = awkward.select("doc_id", "text", F.col("id").alias("lang"), "source", "n_chars")
+    # with columns that bear names of the operators' own
+    docs = awkward.withColumns({c: F.lit("z") for c in ("lang", "secrets", "text_hash_", "key", "label", "kept", "text_to_score")})
+    assert {"score", "id", "row", "hash"} <= set(docs.columns)
     for x in (docs, docs.where("false")):
-        for _, stage in corpus_pipeline.STAGES:
+        for name, stage in corpus_pipeline.STAGES:
             x = stage(spark, x, sf)
             x.count()
+            if name != corpus_pipeline.STAGES[-1][0]:
+                assert x.columns == docs.columns
+                assert not x.where("coalesce(secrets, '') <> 'z' or coalesce(score, '') <> 'z'").count()
 
 
 def test_pipeline_decides_by_row(spark, tmp_path):
