@@ -10,7 +10,9 @@ from sigfield.functions import rf, scores
 from sigfield.functions import scalars as S
 from sigfield.operators import coverage, ingest, interpolate, place, raster, rules, spatial
 from sigfield.plans import points as _points  # noqa: F401  registers its queries
+from sigfield.plans import radio as _radio  # noqa: F401
 from sigfield.plans import rasters as _rasters  # noqa: F401
+from sigfield.plans import surveys as _surveys  # noqa: F401
 from sigfield.plans import views as V
 from sigfield.plans.registry import ORACLE_SQL, QUERIES, query  # noqa: F401
 from sigfield.plans.views import with_views
@@ -215,11 +217,6 @@ def wall_crossings(spark, d):
     return _rays(spark, d).join(F.broadcast(listed)).select("row_idx", F.size(F.filter("walls", proper)).alias("n_proper"))
 
 
-@query()
-def explicit_wall_loss(spark, d):
-    return spatial.wall_loss(_rays(spark, d), V.walls(spark, d), ["row_idx"]).withColumn("wall_db", F.round("wall_db", 6))
-
-
 @query(with_views("rooms") + "SELECT room_id, (rx1-rx0)*(ry1-ry0) AS area_px, (rx0+rx1)/2 AS cx, (ry0+ry1)/2 AS cy FROM rooms")
 def polygon_area(spark, d):
     c = G.polygon_centroid(F.col("polygon"))
@@ -310,12 +307,6 @@ def survey_hull(spark, d):
     return raster.convex_hull(_bins(spark, d).select("band", "x", "y"), "band")
 
 
-@query()
-def rf_interpolate(spark, d):
-    out = interpolate.rf_grid(_bins(spark, d), V.grid(spark), None, V.PX_PER_M, 5.0, ["band"])
-    return out.select("band", "gx", "gy", F.round("rssi", 5).alias("rssi"), F.round("confidence", 5).alias("confidence"))
-
-
 @query()
 def non_max_suppression(spark, d):
     return raster.suppress(_bins(spark, d).select("band", "x", "y", F.col("rssi").alias("score")), "band", 60.0, 40)

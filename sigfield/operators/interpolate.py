@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from sigfield.functions import rf
 from sigfield.functions.scalars import clamp, smoothstep
-from sigfield.operators.spatial import nearest_points, small
+from sigfield.operators.spatial import small, wall_loss
 
 
 def idw_grid(points: DataFrame, grid: DataFrame, by: list[str], power: float = 2.2) -> DataFrame:
@@ -21,23 +21,69 @@ def idw_grid(points: DataFrame, grid: DataFrame, by: list[str], power: float = 2
     return out.select(*by, "gx", "gy", F.coalesce("exact", "mean").alias("rssi"))
 
 
-def rf_grid(points: DataFrame, grid: DataFrame, walls_db: DataFrame | None, px_per_m: float, radius_m: float, by: list[str], k: int = 24, power: float = 2.2) -> DataFrame:
-    """Interpolation with propagation losses over the k nearest points: distances stretched by walls, an
-    adaptive power, adjusted signals, and a confidence. ``walls_db`` has (gx, gy, first_idx, wall_db)."""
-    radius = radius_m * px_per_m
-    near = nearest_points(grid, points, k, radius, by)
-    near = near.join(walls_db, ["gx", "gy", "first_idx", *by], "left") if walls_db is not None else near.withColumn("wall_db", F.lit(0.0))
-    wall = F.coalesce("wall_db", F.lit(0.0))
-    band = F.col("band")
-    total = rf.propagation_loss_db(F.col("d") / px_per_m, wall, band)
-    stretched = F.col("d") + wall * px_per_m * 0.09
-    p = clamp(F.lit(power) + smoothstep(radius * 0.2, radius, stretched) * 0.36, 1.35, 4.4)
-    w = rf.idw_weight(F.greatest(stretched, F.lit(0.1)), p, px_per_m * 0.16) * F.col("falloff")
-    value = F.col("rssi") - total * 0.34 - wall * 0.42
-    exact = F.min_by("rssi", F.when(F.col("d") <= 1e-9, F.col("first_idx")))
-    out = near.withColumns({"w": w, "v": value}).groupBy(*by, "gx", "gy").agg(exact.alias("exact"), (F.sum(F.col("w") * F.col("v")) / F.sum("w")).alias("mean"), F.max("falloff").alias("near"))
-    rssi = F.coalesce("exact", clamp(F.col("mean"), -96.0, -24.0))
-    return out.select(*by, "gx", "gy", rssi.alias("rssi"), F.when(F.col("exact").isNotNull(), 1.0).otherwise(clamp(F.col("near") * 0.82 + 0.18, 0.0, 1.0)).alias("confidence"))
+def _with_walls(rays: DataFrame, walls: DataFrame | None, keys: list[str]) -> DataFrame:
+    """Rays (x, y) to (tx, ty) of a band with ``wall_db``."""
+    if walls is None:
+        return rays.withColumn("wall_db", F.lit(0.0))
+    return rays.join(wall_loss(rays, walls, keys).select(*keys, "wall_db"), keys)
+
+
+def residuals(points: DataFrame, ap: DataFrame, walls: DataFrame | None, px_per_m: float, keys: list[str]) -> DataFrame:
+    """Add to points (x, y, rssi, band, radius_m) ``residual_db``: what they have beyond the prediction of
+    the access point (one row: ax, ay, gain, signal), within 32 dB."""
+    rays = points.join(F.broadcast(ap)).withColumnsRenamed({"x": "tx", "y": "ty", "ax": "x", "ay": "y"})  # one row
+    heard = _with_walls(rays, walls, keys).withColumn("far", F.hypot(F.col("tx") - F.col("x"), F.col("ty") - F.col("y")) / px_per_m)
+    said = rf.predicted_rssi(F.col("far"), F.col("band"), F.col("signal"), F.col("gain"), F.col("radius_m"), F.col("wall_db"), F.lit(0.0))
+    return points.join(heard.select(*keys, clamp(F.col("rssi") - said, -32.0, 32.0).alias("residual_db")), keys)
+
+
+def rf_grid(points: DataFrame, grid: DataFrame, walls: DataFrame | None, ap: DataFrame | None, px_per_m: float, by: list[str], radius_m: float | None = None, power: float = 2.2) -> DataFrame:
+    """Interpolation with propagation losses at each grid cell, over the nearest points within the band's
+    radius (24, 48 or all of them, by their number): distances stretched by walls, an adaptive power,
+    adjusted signals, and a confidence. With an access point, its prediction corrected by the points'
+    residuals is blended in, more so far from points and behind walls; a cell out of all points' reach takes
+    the prediction, or without an access point the nearest point. A point on the cell decides it.
+
+    Points are consolidated, so that cells times points are bounded by the plan; the pairs that matter are
+    cut to the nearest before walls are looked at."""
+    radius = F.lit(radius_m) if radius_m else rf.of_band(F.col("band"), 2)
+    sized = points.groupBy(*by).agg(F.count(F.lit(1)).alias("n_points"))
+    points = points.join(small(sized), by).withColumn("radius_m", radius).withColumn("residual_db", F.lit(0.0))
+    if ap is not None:
+        points = residuals(points.drop("residual_db"), ap, walls, px_per_m, [*by, "first_idx"])
+    reach, cell = F.col("radius_m") * px_per_m, [*by, "gx", "gy"]
+    d = F.hypot(F.col("x") - F.col("tx"), F.col("y") - F.col("ty"))
+    pairs = points.join(small(grid)).withColumn("d", d).withColumn("falloff", F.lit(1.0) - smoothstep(reach * 0.74, reach, d))
+    rank = F.row_number().over(Window.partitionBy(*cell).orderBy("d", "first_idx"))
+    near = pairs.withColumn("rank", rank).where((F.col("rank") == 1) | ((F.col("falloff") > 0.002) & (F.col("rank") <= neighbours(F.col("n_points")))))
+    lossy = _with_walls(near, walls, [*cell, "first_idx"])
+    wall, far, counts = F.col("wall_db"), F.col("d"), F.col("falloff") > 0.002
+    total = rf.propagation_loss_db(far / px_per_m, wall, F.col("band"))
+    stretched = F.greatest(far + wall * px_per_m * 0.09, F.lit(0.1))
+    p = clamp(F.lit(power) + smoothstep(reach * 0.2, reach, far + wall * px_per_m * 0.09) * 0.36, 1.35, 4.4)
+    w = F.when(counts, rf.idw_weight(stretched, p, px_per_m * 0.16) * F.col("falloff"))
+    rw = F.when(counts, rf.idw_weight(stretched, max(power, 2.2), px_per_m * 0.1) * F.col("falloff"))
+    lone = F.struct((F.col("rssi") - total * 0.42 - wall * 0.28).alias("rssi"), clamp((F.lit(1.0) - smoothstep(reach, reach * 1.45, far)) * 0.22, 0.0, 0.22).alias("confidence"), far.alias("d"))
+    weighed = lossy.withColumns({"w": w, "rw": rw, "v": F.col("rssi") - total * 0.34 - wall * 0.42, "lone": F.when(F.col("rank") == 1, lone)})
+    out = weighed.groupBy(*cell).agg(
+        F.min_by("rssi", F.when(far <= 1e-9, F.col("first_idx"))).alias("exact"), (F.sum(F.col("w") * F.col("v")) / F.sum("w")).alias("mean"), (F.sum(F.col("rw") * F.col("residual_db")) / F.sum("rw")).alias("residual"),
+        F.max(F.when(counts, F.col("falloff"))).alias("near"), F.max("lone").alias("lone"), F.max("radius_m").alias("radius_m"),
+    )
+    measured, said, beyond, sure = F.col("mean"), None, F.col("lone.rssi"), F.col("lone.confidence")
+    if ap is not None:
+        offset = small(points.groupBy(*by).agg(clamp(F.avg("residual_db"), -28.0, 28.0).alias("offset")))
+        rays = out.select(*cell, "radius_m").join(grid.select("gx", "gy", "tx", "ty"), ["gx", "gy"]).join(F.broadcast(ap.withColumnsRenamed({"ax": "x", "ay": "y"})))  # one row
+        heard = _with_walls(rays, walls, cell).withColumn("ap_m", F.hypot(F.col("tx") - F.col("x"), F.col("ty") - F.col("y")) / px_per_m)
+        said = rf.predicted_rssi(F.col("ap_m"), F.col("band"), F.col("signal"), F.col("gain"), F.col("radius_m"), F.col("wall_db"), F.lit(0.0))
+        out = out.join(heard.select(*cell, "ap_m", F.col("wall_db").alias("ap_wall"), said.alias("said")), cell).join(offset, by)
+        r = F.col("radius_m") * px_per_m
+        blend = clamp(F.lit(0.26) + smoothstep(r * 0.16, r * 0.96, F.col("lone.d")) * 0.38 + smoothstep(6.0, 28.0, F.col("ap_wall")) * 0.14, 0.18, 0.72)
+        measured = measured * (F.lit(1.0) - blend) + (F.col("said") + F.col("residual")) * blend
+        beyond = clamp(F.col("said") + F.col("offset"), -96.0, -24.0)
+        sure = clamp(F.lit(0.12) + (F.lit(1.0) - smoothstep(F.col("radius_m") * 0.9, F.col("radius_m") * 1.35, F.col("ap_m"))) * 0.34, 0.08, 0.46)
+    rssi = F.coalesce("exact", clamp(measured, -96.0, -24.0), beyond)
+    confidence = F.when(F.col("exact").isNotNull(), 1.0).when(F.col("near").isNotNull(), clamp(F.col("near") * 0.82 + 0.18, 0.0, 1.0)).otherwise(sure)
+    return out.select(*cell, rssi.alias("rssi"), confidence.alias("confidence"))
 
 
 def derive_6ghz(layer: DataFrame) -> DataFrame:

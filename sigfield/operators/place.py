@@ -59,6 +59,25 @@ def place_fit(v: Column, lo: Column, hi: Column, size: float) -> Column:
     return round_half_up(F.coalesce(fit, F.lit(size / 2)), 2)
 
 
+def prepare(rows: DataFrame, width: float, height: float, px_per_m: float | None, by: list[str]) -> DataFrame:
+    """Survey rows (x, y in metres or degrees) on the plan: by its scale from the least coordinate of the
+    group, sentinels without a place; or, without a scale, stretched over the plan between the group's 1 %
+    and 99 % ranks where those differ, else its ends, with whatever lies beyond, sentinels too, at its edge."""
+    if px_per_m:
+        rows = reject_sentinels(rows, by)
+        ends = rows.groupBy(*by).agg(*(F.min(c).alias(f"{c}_lo") for c in "xy"))
+        at = {c: place_metric(F.col(c), F.col(f"{c}_lo"), px_per_m) for c in "xy"}
+    else:
+        ends = None
+        for c in "xy":
+            q = nearest_rank(rows, c, {f"{c}_q0": 0.01, f"{c}_q1": 0.99, f"{c}_min": 0.0, f"{c}_max": 1.0}, by).drop("n")
+            good = F.col(f"{c}_q1") > F.col(f"{c}_q0")
+            q = q.select(*by, F.when(good, F.col(f"{c}_q0")).otherwise(F.col(f"{c}_min")).alias(f"{c}_lo"), F.when(good, F.col(f"{c}_q1")).otherwise(F.col(f"{c}_max")).alias(f"{c}_hi"))
+            ends = q if ends is None else ends.join(q, by)
+        at = {c: F.when(F.col(c).isNotNull(), place_fit(F.col(c), F.col(f"{c}_lo"), F.col(f"{c}_hi"), size)) for c, size in (("x", width), ("y", height))}
+    return rows.join(ends, by, "left").withColumns(at).select(rows.columns)
+
+
 def bin_size(width: float, height: float, bins: int) -> int:
     return max(8, math.ceil(math.sqrt(width * height / bins)))
 
