@@ -20,6 +20,7 @@ import re
 import sys
 from array import array
 from collections.abc import Iterator
+from functools import cached_property
 from itertools import chain
 
 import pyarrow as pa
@@ -33,7 +34,7 @@ from sigfield.runtime import ship
 
 SHORT = 96  # symbols up to which the rank array is scanned
 NONE = sys.maxsize
-CACHE = 600_000  # pieces that a Python worker remembers
+CACHE = 250_000  # pieces that a Python worker remembers
 
 # fixed values: the pre-token pattern that the tokenizer file names
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -88,10 +89,14 @@ class Bpe:
         self._pattern = regex.compile(PATTERN, regex.V0)
         self._latin = re.compile("[\x00-\u024f]*")  # code points that no composition and no new table touches
         self._byte = {c: b for b, c in alphabet.items()}
-        self._library = Tokenizer.from_file(path)
+        self._path = path
         self._odd = re.compile("[\x1c-\x1f]")  # str.split() takes these for white space, the tokenizer doesn't
         self.cache = Memo(self.piece)
 
+    @cached_property
+    def _library(self) -> Tokenizer:
+        return Tokenizer.from_file(self._path)  # only workers that meet such a piece hold it
+
     def merge(self, ids: list[int]) -> list[int]:
         """Apply the merges to one pre-token's symbols."""
         if len(ids) > SHORT:
