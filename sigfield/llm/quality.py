@@ -4,8 +4,8 @@ Features of a text are its words, the character n-grams of each word with its ed
 for each word that repeats the one before. A feature is hashed to a row of an embedding table; a
 document's vector is the mean of its features' rows, weighted by their counts; a softmax layer gives the
 class probabilities. Table and layer are trained together by stochastic gradient descent in numpy, on
-at most ``most`` labelled rows: those with the least hashes of id and text, a bounded sample that doesn't
-depend on partitions. Averaging and the layer's first product are linear, so a scorer remembers each
+at most ``most`` labels: those with the least hashes of id and label, a bounded sample that doesn't depend
+on partitions; of ids that several rows have, at most as many rows are read as labels. Averaging and the layer's first product are linear, so a scorer remembers each
 word's summed logits instead of its rows.
 
 Scoring covers whole texts. A null or empty text has no features and gets the layer's bias alone, a
@@ -34,7 +34,7 @@ from sigfield.runtime import ship
 BUCKETS, DIM = 1 << 16, 8
 SIZES = (2, 3, 4)  # of character n-grams
 REPEAT = 0  # the bucket of "same word as before"
-WORDS = 400_000  # whose logits a scorer remembers
+WORDS = 200_000  # whose logits a scorer remembers
 
 
 def word_features(word: str) -> list[int]:
@@ -107,7 +107,8 @@ def fit(docs: DataFrame, labels: DataFrame, use: Column | None = None, most: int
     if use is not None:
         marks = marks.where(use)
     marks = marks.withColumn("h", F.xxhash64("id", "y")).orderBy("h", "id", "y").limit(most)
-    rows = texts.join(F.broadcast(marks), "id").select("text", "y").collect()  # at most ``most`` marks are broadcast
+    found = texts.join(F.broadcast(marks), "id").select("h", "y", "text").orderBy("h", "y", F.xxhash64("text")).limit(most)  # at most ``most`` marks are broadcast
+    rows = found.select("text", "y").collect()
     return train(sorted((r.text, r.y) for r in rows))
 
 
