@@ -124,11 +124,11 @@ def issue_caps(spark, d):
     return rules.capped(rules.point_issues(V.points(spark, d), 900, 500), 160, ["code"], "point_id")
 
 
-@query(with_views("readings", "bins") + """, p AS (SELECT first_idx AS row_idx, x, y FROM bins WHERE band='5ghz')
-SELECT a.row_idx AS i, b.row_idx AS j, round(sqrt((a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y)), 6) AS distance_px FROM p a JOIN p b ON a.row_idx < b.row_idx AND sqrt((a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y)) < 30""")
+@query(with_views("readings", "bins") + """, p AS (SELECT band, first_idx AS row_idx, x, y FROM bins)
+SELECT a.band, a.row_idx AS i, b.row_idx AS j, round(sqrt((a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y)), 6) AS distance_px FROM p a JOIN p b ON a.band = b.band AND a.row_idx < b.row_idx AND sqrt((a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y)) < 30""")
 def proximity_pairs(spark, d):
-    points = _bins(spark, d).where("band = '5ghz'").select(F.col("first_idx").alias("row_idx"), "x", "y")
-    return spatial.proximity_pairs(points, 30.0).withColumn("distance_px", F.round("distance_px", 6))
+    points = _bins(spark, d).select("band", F.col("first_idx").alias("row_idx"), "x", "y")
+    return spatial.proximity_pairs(points, 30.0, by=("band",)).withColumn("distance_px", F.round("distance_px", 6))
 
 
 @query(with_views("readings", "rooms") + """, r AS (SELECT row_idx, band, x, y, rssi, min(room_id) AS room_id FROM readings JOIN rooms ON (ry0 > y) <> (ry1 > y) AND x < rx1 AND NOT x < rx0 GROUP BY ALL)
@@ -207,14 +207,14 @@ _SEG = """, s AS (SELECT row_idx, wall_id, (x-500)*(y0-300)-(y-300)*(x0-500) AS
 
 @query(with_views("readings", "walls") + _SEG + " SELECT row_idx, CAST(count(*) FILTER (sign(CASE WHEN abs(a)<1e-9 THEN 0 ELSE a END)*sign(CASE WHEN abs(b)<1e-9 THEN 0 ELSE b END) < 0 AND sign(CASE WHEN abs(c)<1e-9 THEN 0 ELSE c END)*sign(CASE WHEN abs(e)<1e-9 THEN 0 ELSE e END) < 0) AS INT) AS n_proper FROM s GROUP BY row_idx")
 def wall_crossings(spark, d):
-    listed = V.walls(spark, d).agg(F.collect_list(F.struct("x0", "y0", "x1", "y1")).alias("walls"))
+    lists, _ = spatial.listed(V.walls(spark, d), "wall_id", ["x0", "y0", "x1", "y1"], "walls")
     ray = (F.col("x"), F.col("y"), F.col("tx"), F.col("ty"))
 
     def proper(w):
         a, b, c, e = ((w["x0"], w["y0"]), (w["x1"], w["y1"]), ray[:2], ray[2:])
         return (G.orientation(*c, *e, *a) * G.orientation(*c, *e, *b) < 0) & (G.orientation(*a, *b, *c) * G.orientation(*a, *b, *e) < 0)
 
-    return _rays(spark, d).join(F.broadcast(listed)).select("row_idx", F.size(F.filter("walls", proper)).alias("n_proper"))
+    return _rays(spark, d).join(spatial.small(lists)).groupBy("row_idx").agg(F.sum(F.size(F.filter("walls", proper))).cast("int").alias("n_proper"))
 
 
 @query(with_views("rooms") + "SELECT room_id, (rx1-rx0)*(ry1-ry0) AS area_px, (rx0+rx1)/2 AS cx, (ry0+ry1)/2 AS cy FROM rooms")
@@ -293,7 +293,7 @@ def scanline_runs(spark, d):
 def summed_area(spark, d):
     r = V.readings(spark, d)
     counts = r.groupBy("band", F.floor(F.col("x") / 20).cast("int").alias("gx"), F.floor(F.col("y") / 20).cast("int").alias("gy")).agg(F.count(F.lit(1)).alias("value"))
-    full = V.grid(spark).select("gx", "gy").join(F.broadcast(r.select("band").distinct()))
+    full = V.grid(spark).select("gx", "gy").join(F.broadcast(r.select("band").distinct()))  # one row to a band
     return raster.summed_area(full.join(counts, ["band", "gx", "gy"], "left").select("band", "gx", "gy", F.coalesce("value", F.lit(0)).alias("value")), ["band"])
 
 

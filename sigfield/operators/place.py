@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sigfield.functions.scalars import clamp, exact_mean, is_finite, round_half_up
+from sigfield.operators.spatial import small
 
 CONSOLIDATE_BINS, GENERATION_BINS = 900, 600
 
@@ -27,7 +28,7 @@ def nearest_rank(df: DataFrame, value: str, qs: dict[str, float], by: list[str]
 def median_and_mad(df: DataFrame, value: str, by: list[str]) -> DataFrame:
     """Median and median absolute deviation of each group."""
     middle = nearest_rank(df, value, {"median": 0.5}, by).drop("n")
-    off = df.join(F.broadcast(middle), by).withColumn("off", F.abs(F.col(value) - F.col("median")))
+    off = df.join(small(middle), by).withColumn("off", F.abs(F.col(value) - F.col("median")))
     return middle.join(nearest_rank(off, "off", {"mad": 0.5}, by), by)
 
 
@@ -43,7 +44,7 @@ def reject_sentinels(rows: DataFrame, by: list[str]) -> DataFrame:
         s = median_and_mad(rows, c, by).select(*by, F.col("median").alias(f"median_{c}"), F.col("mad").alias(f"mad_{c}"))
         stats = s if stats is None else stats.join(s, by)
     bad = is_sentinel(F.col("x"), F.col("median_x"), F.col("mad_x")) | is_sentinel(F.col("y"), F.col("median_y"), F.col("mad_y"))
-    joined = rows.join(F.broadcast(stats), by, "left").withColumn("bad", F.coalesce(bad, F.lit(False)))
+    joined = rows.join(small(stats), by, "left").withColumn("bad", F.coalesce(bad, F.lit(False)))
     return joined.withColumns({c: F.when(~F.col("bad"), F.col(c)) for c in ("x", "y")}).select(rows.columns)
 
 

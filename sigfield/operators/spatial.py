@@ -1,5 +1,5 @@
-"""Spatial joins. Access points, walls and rooms of a plan are few; they are broadcast only up to
-BROADCAST rows, and joined by shuffle beyond."""
+"""Spatial joins. Access points, walls and rooms of a plan are few; they travel as lists of at most BLOCK,
+which are broadcast only up to BROADCAST lists, and joined by shuffle beyond."""
 
 from __future__ import annotations
 
@@ -10,7 +10,7 @@ from sigfield.functions import geometry as G
 from sigfield.functions import rf
 from sigfield.functions.scalars import smoothstep
 
-BROADCAST = 100_000
+BROADCAST, BLOCK = 100_000, 1000
 
 
 def small(df: DataFrame) -> DataFrame:
@@ -18,6 +18,14 @@ def small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.limit(BROADCAST + 1).count() <= BROADCAST else df
 
 
+def listed(df: DataFrame, key: str, columns: list[str], name: str) -> tuple[DataFrame, bool]:
+    """Rows of lists of about BLOCK entries each, in the order of ``columns``, and whether there is only one."""
+    n, entries = df.count(), F.array_sort(F.collect_list(F.struct(*columns))).alias(name)
+    if n <= BLOCK:
+        return df.agg(entries), True
+    return df.groupBy(F.pmod(F.xxhash64(key), F.lit(-(-n // BLOCK))).alias("block_")).agg(entries).drop("block_"), False
+
+
 def nearest_ap(points: DataFrame, aps: DataFrame, px_per_m: float, key: str = "row_idx") -> DataFrame:
     """Distance in metres to the nearest access point, the first of equally near ones.
 
@@ -31,33 +39,36 @@ def nearest_ap(points: DataFrame, aps: DataFrame, px_per_m: float, key: str = "r
     return best.select(key, F.col("best.ap_id").alias("ap_id"), F.round(F.col("best.d") / px_per_m, 2).alias("distance_m"))
 
 
-def proximity_pairs(points: DataFrame, within: float, key: str = "row_idx") -> DataFrame:
-    """Pairs i < j closer than ``within``: an equi-join on grid squares of that size and their neighbours."""
-    square = points.select(key, "x", "y", F.floor(F.col("x") / within).alias("cx"), F.floor(F.col("y") / within).alias("cy"))
+def proximity_pairs(points: DataFrame, within: float, key: str = "row_idx", by: tuple[str, ...] = ()) -> DataFrame:
+    """Pairs i < j of a group closer than ``within``: an equi-join on grid squares of that size and their
+    neighbours."""
+    square = points.select(*by, key, "x", "y", F.floor(F.col("x") / within).alias("cx"), F.floor(F.col("y") / within).alias("cy"))
     near = F.explode(F.expr("flatten(transform(array(-1,0,1), dx -> transform(array(-1,0,1), dy -> struct(cx+dx as cx, cy+dy as cy))))"))
-    left = square.select(F.col(key).alias("i"), F.col("x").alias("xi"), F.col("y").alias("yi"), near.alias("c")).select("i", "xi", "yi", "c.cx", "c.cy")
-    right = square.select(F.col(key).alias("j"), F.col("x").alias("xj"), F.col("y").alias("yj"), "cx", "cy")
+    left = square.select(*by, F.col(key).alias("i"), F.col("x").alias("xi"), F.col("y").alias("yi"), near.alias("c")).select(*by, "i", "xi", "yi", "c.cx", "c.cy")
+    right = square.select(*by, F.col(key).alias("j"), F.col("x").alias("xj"), F.col("y").alias("yj"), "cx", "cy")
     d = F.hypot(F.col("xi") - F.col("xj"), F.col("yi") - F.col("yj"))
-    return left.join(right, ["cx", "cy"]).where((F.col("i") < F.col("j")) & (d < within)).select("i", "j", d.alias("distance_px"))
+    return left.join(right, [*by, "cx", "cy"]).where((F.col("i") < F.col("j")) & (d < within)).select(*by, "i", "j", d.alias("distance_px"))
 
 
 def wall_loss(rays: DataFrame, walls: DataFrame, key: list[str], thickness_m: float = 0.12) -> DataFrame:
     """Number of crossed walls and their loss for rays (x, y) to (tx, ty) of a band; walls are a bounded
     list per plan, folded where the ray is."""
-    listed = walls.agg(F.array_sort(F.collect_list(F.struct("wall_id", "x0", "y0", "x1", "y1", "material"))).alias("walls"))
+    lists, one = listed(walls, "wall_id", ["wall_id", "x0", "y0", "x1", "y1", "material"], "walls")
     ray = (F.col("x"), F.col("y"), F.col("tx"), F.col("ty"))
     hit = F.filter("walls", lambda w: G.segments_intersect(ray, (w["x0"], w["y0"], w["x1"], w["y1"])))
     path = F.atan2(F.col("ty") - F.col("y"), F.col("tx") - F.col("x"))
     loss = lambda w: rf.crossing_loss_db(w["material"], F.col("band"), F.lit(thickness_m), path, F.atan2(w["y1"] - w["y0"], w["x1"] - w["x0"]))
-    found = rays.join(F.broadcast(listed)).withColumn("hit", hit)  # one row
-    return found.select(*key, F.size("hit").alias("n_walls"), F.aggregate("hit", F.lit(0.0), lambda s, w: s + loss(w)).alias("wall_db"))
+    found = rays.join(small(lists)).withColumn("hit", hit)
+    out = found.select(*key, F.size("hit").alias("n_walls"), F.aggregate("hit", F.lit(0.0), lambda s, w: s + loss(w)).alias("wall_db"))
+    return out if one else out.groupBy(*key).agg(F.sum("n_walls").cast("int").alias("n_walls"), F.sum("wall_db").alias("wall_db"))
 
 
 def rooms_of_points(points: DataFrame, rooms: DataFrame, key: str = "row_idx") -> DataFrame:
     """The first room, by id, whose polygon holds each point; points in none are left out."""
-    listed = rooms.agg(F.array_sort(F.collect_list(F.struct("room_id", "polygon"))).alias("rooms"))
+    lists, one = listed(rooms, "room_id", ["room_id", "polygon"], "rooms")
     inside = F.filter("rooms", lambda r: G.point_in_polygon(F.col("x"), F.col("y"), r["polygon"]))
-    return points.join(F.broadcast(listed)).select(*points.columns, F.get(inside, F.lit(0))["room_id"].alias("room_id")).where("room_id is not null")
+    found = points.join(small(lists)).select(*points.columns, F.get(inside, F.lit(0))["room_id"].alias("room_id")).where("room_id is not null")
+    return found if one else found.groupBy(*points.columns).agg(F.min("room_id").alias("room_id"))
 
 
 def nearest_points(targets: DataFrame, points: DataFrame, k: int, radius: float, by: list[str]) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 import zipfile
@@ -13,13 +14,16 @@ from pyspark.sql import DataFrame, SparkSession
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A fresh path below the folder that driver and executors share.
 
-    The folder is the session's ``spark.checkpoint.dir``. Where that is unset (tests, one
-    machine) a temporary folder is set as the checkpoint folder first.
+    The folder is the session's ``spark.checkpoint.dir``. Where that is unset and Spark runs in this one
+    process (tests) a temporary folder is set as the checkpoint folder first; a cluster without one is an
+    error, since its machines share no temporary folder.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         found = spark.sparkContext.getCheckpointDir()
         if found is None:
+            if not re.fullmatch(r"local(\[[0-9*,]+\])?", spark.sparkContext.master):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
             spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="sigfield-"))
             found = spark.sparkContext.getCheckpointDir()
         base = found
