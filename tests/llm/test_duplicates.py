@@ -125,3 +125,18 @@ def test_components_of_a_bucket_whose_largest_changes(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     got = [(r.doc_id, r.n_shingles, r.component_id) for r in near_duplicates(df, k=1).collect()]
     assert sorted(got) == sorted(components(rows, k=1)) == [(i, 400, 0) for i in range(len(rows))]
+
+
+@pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
+def test_sql(spark, name):
+    """Operators whose whole result SQL can express, against DuckDB."""
+    import duckdb
+
+    where = "/root/testdata/sf0.01"
+    duck = duckdb.connect()
+    duck.execute(f"create view documents as select * from '{where}/documents.parquet'")
+    found = duck.execute(queries.ORACLE_SQL[name])
+    columns = [d[0] for d in found.description]
+    got = queries.QUERIES[name](spark, where)
+    assert sorted(got.columns) == sorted(columns)
+    assert sorted(map(tuple, got.select(columns).collect())) == sorted(found.fetchall())
