@@ -9,7 +9,8 @@ from sigfield.functions import geometry as G
 from sigfield.functions import rf, scores
 from sigfield.functions import scalars as S
 from sigfield.operators import coverage, ingest, interpolate, place, raster, rules, spatial
-from sigfield.plans import points as _points  # noqa: F401  registers its queries
+from sigfield.plans import drawings as _drawings  # noqa: F401  registers its queries
+from sigfield.plans import points as _points  # noqa: F401
 from sigfield.plans import radio as _radio  # noqa: F401
 from sigfield.plans import rasters as _rasters  # noqa: F401
 from sigfield.plans import surveys as _surveys  # noqa: F401

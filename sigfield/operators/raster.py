@@ -1,8 +1,8 @@
 """Raster operators on sparse cells (layer, gx, gy, value): a missing row is an inactive cell.
 
 Kernels, dilation, difference and prefix sums are equi-joins on offsets, aggregates and windows. Labels
-of connected cells come from the links between neighbours, whatever the raster's size. Hulls and greedy
-suppression take one layer's few candidates at a time.
+of connected cells come from the links between neighbours, whatever the raster's size, and suppression goes in
+rounds of local winners. Hulls take one layer's few candidates at a time.
 """
 
 from __future__ import annotations
@@ -167,14 +167,12 @@ def convex_hull(points: DataFrame, by: str) -> DataFrame:
 
 
 def suppress(candidates: DataFrame, by: str, least: float, most: int) -> DataFrame:
-    """Greedy non-maximum suppression: best score first, none nearer than ``least``, at most ``most``."""
-
-    def pick(t: pd.DataFrame) -> pd.DataFrame:
-        kept: list[int] = []
-        t = t.sort_values(["score", "y", "x"], ascending=[False, True, True]).reset_index(drop=True)
-        for i, (x, y) in enumerate(zip(t["x"], t["y"])):
-            if len(kept) < most and all(math.hypot(x - t["x"][k], y - t["y"][k]) >= least for k in kept):
-                kept.append(i)
-        return t.loc[kept]
-
-    return candidates.groupBy(by).applyInPandas(pick, candidates.schema)
+    """Greedy non-maximum suppression of rows (by, x, y, score): best score first, then by y and x, none nearer than
+    ``least``, at most ``most`` of a group. ``place`` numbers those of a group in reading order, by y, then x."""
+    from sigfield.operators.graph import greedy
+
+    near = lambda a, b: F.hypot(a("x") - b("x"), a("y") - b("y")) < least
+    kept = greedy(candidates, [by], {"x": least, "y": least}, [-F.col("score"), F.col("y"), F.col("x")], near)
+    best = Window.partitionBy(by).orderBy(F.desc("score"), "y", "x")
+    top = kept.withColumn("place", F.row_number().over(best)).where(F.col("place") <= most)
+    return top.withColumn("place", F.row_number().over(Window.partitionBy(by).orderBy("y", "x")))

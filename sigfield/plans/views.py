@@ -54,6 +54,29 @@ def pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _table(spark, sf_dir, "part").selectExpr("cast(p_partkey%40 as int) gx", "cast(p_partkey div 40 as int) gy", "cast(p_partkey*37%256 as int) r", "cast(p_partkey*p_size%256 as int) g", "cast((p_partkey div 40)*11%256 as int) b")
 
 
+#: Size of a drawn plan, and its strokes: twenty parts draw one plan, later ones over earlier ones.
+DRAWN = (160, 120)
+_STROKES = """s AS (SELECT k, plan, n, d, CASE n WHEN 0 THEN 4 WHEN 1 THEN 4 WHEN 2 THEN 4 WHEN 3 THEN 156-2-plan%3 WHEN 19 THEN 0 ELSE 6+k*37%130 END AS x0, CASE n WHEN 0 THEN 6 WHEN 1 THEN 112-plan%3 WHEN 2 THEN 6 WHEN 3 THEN 6 WHEN 19 THEN 0 ELSE 8+k*53%96 END AS y0,
+ CASE WHEN n=19 THEN CASE WHEN plan%3=0 THEN 160 ELSE 0 END WHEN n<2 THEN 152 WHEN n<4 THEN 2+plan%3 WHEN n<10 THEN CASE WHEN n%2=0 THEN 40+d*2 ELSE 2+d%5 END WHEN n<16 THEN CASE WHEN n%2=0 THEN 18+d%14 ELSE 2 END ELSE 1 END AS w,
+ CASE WHEN n=19 THEN 1 WHEN n<2 THEN 2+plan%3 WHEN n<4 THEN 108 WHEN n<10 THEN CASE WHEN n%2=0 THEN 2+d%5 ELSE 30+d*2 END WHEN n<16 THEN CASE WHEN n%2=0 THEN 2 ELSE 18+d%14 END ELSE 1 END AS h FROM k)"""
+_PAINT = """CASE WHEN n=19 THEN 235 WHEN n<4 OR d%4=0 THEN 40 WHEN d%4=1 THEN 60 WHEN d%4=2 THEN 200 ELSE 150 END AS r, CASE WHEN n=19 THEN 240 WHEN n<4 OR d%4=0 THEN 40 WHEN d%4=1 THEN 120 WHEN d%4=2 THEN 80 ELSE 100 END AS g, CASE WHEN n=19 THEN 250 WHEN n<4 OR d%4=0 THEN 40 WHEN d%4=1 THEN 220 WHEN d%4=2 THEN 40 ELSE 60 END AS b, CASE WHEN d%10=0 AND n>9 THEN 20 ELSE 255 END AS a"""
+
+
+def drawings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Images of plans, as opaque or nearly transparent pixels (plan, gx, gy, r, g, b, a): outer and inner walls,
+    shorter strokes and dots."""
+    _table(spark, sf_dir, "part").selectExpr("p_partkey k", "(p_partkey-1) div 20 plan", "(p_partkey-1)%20 n", "p_size d").createOrReplaceTempView("sigfield_strokes")
+    strokes = spark.sql("WITH k AS (SELECT * FROM sigfield_strokes), " + _STROKES + " SELECT *, " + _PAINT + " FROM s WHERE w > 0")
+    span = lambda a, n, most: F.explode(F.sequence(F.col(a), F.least(F.lit(most - 1).cast("long"), F.col(a) + F.col(n) - 1)))
+    each = strokes.withColumn("gx", span("x0", "w", DRAWN[0])).withColumn("gy", span("y0", "h", DRAWN[1]))
+    top = each.groupBy("plan", "gx", "gy").agg(F.max(F.struct("k", "r", "g", "b", "a")).alias("p"))
+    return top.select("plan", F.col("gx").cast("int").alias("gx"), F.col("gy").cast("int").alias("gy"), "p.r", "p.g", "p.b", "p.a")
+
+
+def drawn_plans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "part").selectExpr("(p_partkey-1) div 20 plan", f"{DRAWN[0]} width", f"{DRAWN[1]} height").distinct()
+
+
 def rooms(spark: SparkSession, sf_dir: str) -> DataFrame:
     corner = lambda x, y: f"named_struct('x', cast(r_regionkey*200+{x} as double), 'y', cast({y} as double))"
     return _table(spark, sf_dir, "region").selectExpr("r_regionkey room_id", "r_name name", f"array({corner(5, 40)}, {corner(195, 40)}, {corner(195, 560)}, {corner(5, 560)}) polygon")
@@ -83,6 +106,8 @@ SQL = {
  CASE WHEN p_partkey%4<>0 THEN CAST(10+p_size AS DOUBLE) END AS width_m, CASE WHEN p_partkey%5<>0 THEN CAST(8+p_partkey%40 AS DOUBLE) END AS height_m,
  CAST(p_partkey%60*1000000 AS BIGINT) AS length, (['image/png','image/jpeg','application/pdf','image/webp','image/svg+xml',NULL])[p_partkey%6+1] AS mime, p_name AS name FROM part)""",
     "pixels": """pixels AS (SELECT CAST(p_partkey%40 AS INT) AS gx, CAST(p_partkey//40 AS INT) AS gy, CAST(p_partkey*37%256 AS INT) AS r, CAST(p_partkey*p_size%256 AS INT) AS g, CAST(p_partkey//40*11%256 AS INT) AS b FROM part)""",
+    "drawings": f"""k AS (SELECT p_partkey AS k, (p_partkey-1)//20 AS plan, (p_partkey-1)%20 AS n, p_size AS d FROM part), {_STROKES},
+drawings AS (SELECT plan, CAST(gx AS INT) AS gx, CAST(gy AS INT) AS gy, arg_max(r, k) AS r, arg_max(g, k) AS g, arg_max(b, k) AS b, arg_max(a, k) AS a FROM (SELECT k, plan, x.i AS gx, y.i AS gy, {_PAINT} FROM s, range({DRAWN[0]}) x(i), range({DRAWN[1]}) y(i) WHERE w > 0 AND x.i >= x0 AND x.i < x0+w AND y.i >= y0 AND y.i < y0+h) GROUP BY plan, gx, gy)""",
     "bins": """bins AS (SELECT CAST(floor(x/32+0.5) AS BIGINT) AS bx, CAST(floor(y/32+0.5) AS BIGINT) AS by_, band, min(row_idx) AS first_idx, count(*) AS n,
  floor(CAST(sum(CAST(x AS DECIMAL(28,6))) AS DOUBLE)/count(x)*100+0.5)/100 AS x, floor(CAST(sum(CAST(y AS DECIMAL(28,6))) AS DOUBLE)/count(y)*100+0.5)/100 AS y, max(rssi) AS rssi FROM readings GROUP BY ALL)""",
 }
