@@ -84,8 +84,9 @@ DIGITS = (
     "zero|oh|null|zéro|cero", "one|eins|un|une|uno|una", "two|zwei|zwo|deux|dos", "three|drei|trois|tres", "four|vier|quatre|cuatro",
     "five|fünf|fuenf|cinq|cinco", "six|sechs|seis", "seven|sieben|sept|siete", "eight|acht|huit|ocho", "nine|neun|neuf|nueve",
 )
-# fixed values: words about mail in the four languages
-_CUE = re.compile(r"\b(?:e-?mails?|mail|mailto|contact|write|reach|address|kontakt|schreib\w*|adresse|courriel|écri\w*|correo|escrib\w*|contacto)\b", re.I)
+# fixed values: words about mail in the four languages, what may stand between them and a mailbox, and words that are none
+_CUE = re.compile(r"\b(?:e-?mails?|mail|mailto|contact|write|reach|address|kontakt|schreib\w*|adresse|courriel|écri\w*|correo|escrib\w*|contacto)\b[^\w.!?]*(?:(?:to|me|us|is|for|an|unter|ist|à|est|a|en|es)\b[^\w.!?]+){0,2}$", re.I)
+NO_MAILBOX = frozenset("me us him her them it you one here there now back down up in out again directly mich uns ihn sie ihm dir euch hier dort nous moi lui leur ici là nos ella ellos aquí to is".split())
 ENDINGS = "com|org|net|edu|gov|io|co|info"
 
 
@@ -186,13 +187,17 @@ def normalise(text: str) -> Mapped | None:
 
 
 def _named(text: str, at: int) -> bool:
-    """Whether the word before a bare "at" reads as a mailbox although the host is plain: it has a digit or a
-    mark inside, or a word about mail comes shortly before it."""
+    """Whether the word before a bare "at" reads as a mailbox although the host is plain: it has letters, and a digit or
+    mark inside too; or a word about mail comes right before it, but for small words, and it is no pronoun or adverb."""
     start = at
     while start > 0 and text[start - 1] in _LOCAL:
         start -= 1
     local = text[start:at]
-    return bool(re.search(r"[0-9._%+]", local)) or bool(_CUE.search(text, max(0, start - 40), start))
+    if not any(c.isalpha() for c in local):
+        return False
+    if re.search(r"[A-Za-z][0-9._%+]|[0-9._%+][A-Za-z]", local):
+        return True
+    return local.lower() not in NO_MAILBOX and bool(_CUE.search(text[max(0, start - 60) : start]))
 
 
 def _said(m: Mapped, at: int) -> bool:

@@ -45,14 +45,15 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Quality scores of all documents; only rows outside the held-out fifth are learned from."""
+    """Quality scores of all documents; only rows outside the held-out fifth are learned from. Rows without an id are not
+    learned from either and count as held out."""
     from sigfield.llm.quality import fit, score
 
     docs = _table(spark, sf_dir, "documents")
     fifth = lambda c: F.crc32(F.col(c).cast("string").cast("binary")) % 5
     model = fit(docs, _table(spark, sf_dir, "labels"), fifth("id") != 0)
     scored = score(docs, model)
-    return scored.select("doc_id", (fifth("doc_id") == 0).alias("held_out"), "score", F.when(F.col("score") >= 0.3, 1).otherwise(0).alias("predicted"))
+    return scored.select("doc_id", F.coalesce(fifth("doc_id") == 0, F.lit(True)).alias("held_out"), "score", F.when(F.col("score") >= 0.3, 1).otherwise(0).alias("predicted"))
 
 
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

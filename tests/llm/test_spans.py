@@ -102,6 +102,17 @@ def test_ownership(spark):
     assert out[21] == out[22] == []
 
 
+def test_repositories_decide(spark):
+    """Enough owners, but too few repositories: the value stays live until one more repository has it."""
+    text = "token = sharedvalue99"
+    rows = [(i, text, f"owner{i % 4}", f"repo{i % 5}") for i in range(20)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, source string, repo string")
+    live = lambda t: {(s.live, s.n_owners, s.n_repos) for r in scan_secrets(t, most_owners=3, most_repos=20, repo_col="repo").collect() for s in r.secrets}
+    assert live(table) == {(True, 4, 20)}
+    more = table.unionByName(spark.createDataFrame([(99, text, "owner0", "another")], table.schema))
+    assert live(more) == {(False, 4, 21)}
+
+
 @pytest.mark.parametrize(("text", "whole", "tail"), [
     ("to j\u043ehn@example.org now", "j\u043ehn@example.org", "hn@example.org"),
     ("to jo\u200bhn@example.org now", "jo\u200bhn@example.org", "hn@example.org"),
@@ -172,6 +183,8 @@ def planted():
 CLEAN = (
     "I was at google.com yesterday", "meet at noon at example.com", "look at this. one two many", "un dos tres, dijo", "he arrived at 10.30 and left at 11.45", "prices: one, two or three euro",
     "the dot on the map is at home", "version 1.2.3 was better than 1.2", "une des deux maisons", "Er kam um acht, nicht um neun", "call me at five", "α + β = γ in 2020", "see [at] the end", "a – b – c", "naïve café at the corner",
+    "room 4.2 at example.com", "version 2 at google.com is out", "open at 9.30 at cafe.com", "write it down at example.com", "contact us at example.com", "reach me at example.com", "we met. Mail arrived late at example.com",
+    "the address is here at example.com", "schreib uns at example.com", "chapter 12 at books.org", "a mail from the shop at example.com", "1.5 at stats.net or 20% at shop.com",
 )
 
 
