@@ -13,6 +13,7 @@ from sigfield.plans import drawings as _drawings  # noqa: F401  registers its qu
 from sigfield.plans import points as _points  # noqa: F401
 from sigfield.plans import radio as _radio  # noqa: F401
 from sigfield.plans import rasters as _rasters  # noqa: F401
+from sigfield.plans import regions as _regions  # noqa: F401
 from sigfield.plans import surveys as _surveys  # noqa: F401
 from sigfield.plans import views as V
 from sigfield.plans.registry import ORACLE_SQL, QUERIES, query  # noqa: F401
@@ -107,9 +108,9 @@ def place_metric(spark, d):
     return V.readings(spark, d).select("row_idx", S.round_half_up(pad, 2).alias("px"), S.clamp(F.col("x") / 1000 * (600 - 48) + 24, 24, 576).alias("fx"), F.lit(0.0).alias("lo"))
 
 
-@query(with_views("readings") + "SELECT band, CAST(floor(avg(CASE WHEN x BETWEEN 0 AND 900 AND y BETWEEN 0 AND 500 THEN 0 ELSE 1 END)*100+0.5) AS BIGINT) AS pct, avg(CASE WHEN x BETWEEN 0 AND 900 AND y BETWEEN 0 AND 500 THEN 0 ELSE 1 END) > 0.1 AS warn FROM readings GROUP BY band")
+@query(with_views("readings") + ", b AS (SELECT band, round(x, -1) AS x, y FROM readings) SELECT band, CAST(floor(avg(CASE WHEN x < 0 OR y < 0 OR x >= 900 OR y >= 500 THEN 1 ELSE 0 END)*100+0.5) AS BIGINT) AS pct, avg(CASE WHEN x < 0 OR y < 0 OR x >= 900 OR y >= 500 THEN 1 ELSE 0 END) > 0.1 AS warn FROM b GROUP BY band")
 def out_of_bounds(spark, d):
-    return place.out_of_bounds_pct(V.readings(spark, d), 900, 500, ["band"])
+    return place.out_of_bounds_pct(V.readings(spark, d).withColumn("x", F.round("x", -1)), 900, 500, ["band"])  # some lie on the edge
 
 
 _OUTSIDE = """, i AS (SELECT row_idx AS point_id, CASE WHEN NOT coalesce(isfinite(x) AND isfinite(y), FALSE) THEN 'point_coordinates' WHEN x < 0 OR y < 0 OR x >= 900 OR y >= 500 THEN 'point_inside' END AS code FROM points)"""

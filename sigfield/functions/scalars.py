@@ -120,7 +120,8 @@ def band_from_ssid(ssid: Column) -> Column:
 
 
 def coordinate_key(x: Column, y: Column) -> Column:
-    return F.format_string("coord:%.6f:%.6f", x, y)
+    """A name of the place to six digits; null if a coordinate is."""
+    return F.when(x.isNotNull() & y.isNotNull(), F.format_string("coord:%.6f:%.6f", x, y))
 
 
 def csv_value(v: Column) -> Column:

@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sigfield.functions import scores
-from sigfield.functions.scalars import exact_mean, round_half_up
+from sigfield.functions.scalars import ACCENTED, PLAIN, exact_mean, round_half_up
+from sigfield.operators.ranks import running
 
 CLASSES = ("excellent", "good", "fair", "weak", "dead")
 
@@ -66,7 +67,16 @@ def largest(stats: DataFrame, by: list[str]) -> DataFrame:
     return stats.groupBy(*by).agg(F.max_by("label", F.struct("area", -F.col("label"))).alias("label"), F.max("area").alias("area"))
 
 
+def natural_key(name: Column) -> Column:
+    """A text that sorts as people expect: letters by their base form, each number in it by its value."""
+    parts = F.regexp_extract_all(F.translate(name, ACCENTED, PLAIN), F.lit("[0-9]+|[^0-9]+"), F.lit(0))
+    digits = lambda p: F.regexp_replace(p, "^0+(?=[0-9])", "")
+    # a number is preceded by its number of digits, so that longer ones come later
+    shown = lambda p: F.when(p.rlike("^[0-9]"), F.concat(F.lpad(F.length(digits(p)).cast("string"), 6, "0"), digits(p))).otherwise(F.lower(p))
+    return F.array_join(F.transform(parts, shown), "")
+
+
 def natural_order(rooms: DataFrame, name: str, key: str) -> DataFrame:
-    """Places of rooms by name, numbers in names by their value: a report's few rows, in one order."""
-    word, number = F.lower(F.trim(F.regexp_replace(name, "[0-9]+$", ""))), F.regexp_extract(name, "([0-9]+)$", 1).try_cast("long")
-    return rooms.withColumn("place", F.row_number().over(Window.orderBy(word, F.asc_nulls_first(number), key)))
+    """Places of rooms by name in natural order, then by key. Null names come first."""
+    known = rooms.withColumn("_natural", natural_key(F.col(name)))
+    return running(known, ["_natural", key]).withColumn("place", F.col("upto").cast("int")).drop("_natural", "upto", "total")

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from sigfield.functions import rf
 from sigfield.functions.scalars import clamp, smoothstep
-from sigfield.operators.spatial import small, wall_loss
+from sigfield.operators.spatial import nearest_site, points_in_reach, small, wall_loss
+from sigfield.runtime import cut
 
 
 def idw_grid(points: DataFrame, grid: DataFrame, by: list[str], power: float = 2.2) -> DataFrame:
@@ -25,7 +26,7 @@ def _with_walls(rays: DataFrame, walls: DataFrame | None, keys: list[str]) -> Da
     """Rays (x, y) to (tx, ty) of a band with ``wall_db``."""
     if walls is None:
         return rays.withColumn("wall_db", F.lit(0.0))
-    return rays.join(wall_loss(rays, walls, keys).select(*keys, "wall_db"), keys)
+    return wall_loss(rays, walls, keys, keep=True)
 
 
 def residuals(points: DataFrame, ap: DataFrame, walls: DataFrame | None, px_per_m: float, keys: list[str]) -> DataFrame:
@@ -34,7 +35,8 @@ def residuals(points: DataFrame, ap: DataFrame, walls: DataFrame | None, px_per_
     rays = points.join(F.broadcast(ap)).withColumnsRenamed({"x": "tx", "y": "ty", "ax": "x", "ay": "y"})  # one row
     heard = _with_walls(rays, walls, keys).withColumn("far", F.hypot(F.col("tx") - F.col("x"), F.col("ty") - F.col("y")) / px_per_m)
     said = rf.predicted_rssi(F.col("far"), F.col("band"), F.col("signal"), F.col("gain"), F.col("radius_m"), F.col("wall_db"), F.lit(0.0))
-    return points.join(heard.select(*keys, clamp(F.col("rssi") - said, -32.0, 32.0).alias("residual_db")), keys)
+    places = [F.col({"x": "tx", "y": "ty"}.get(c, c)).alias(c) for c in points.columns]
+    return heard.select(*places, clamp(F.col("rssi") - said, -32.0, 32.0).alias("residual_db"))
 
 
 def rf_grid(points: DataFrame, grid: DataFrame, walls: DataFrame | None, ap: DataFrame | None, px_per_m: float, by: list[str], radius_m: float | None = None, power: float = 2.2) -> DataFrame:
@@ -44,18 +46,21 @@ def rf_grid(points: DataFrame, grid: DataFrame, walls: DataFrame | None, ap: Dat
     residuals is blended in, more so far from points and behind walls; a cell out of all points' reach takes
     the prediction, or without an access point the nearest point. A point on the cell decides it.
 
-    Points are consolidated, so that cells times points are bounded by the plan; the pairs that matter are
-    cut to the nearest before walls are looked at."""
+    Cells meet points in squares of the radius' size and keep the nearest before walls are looked at; only cells out
+    of all points' reach look for their nearest point."""
     radius = F.lit(radius_m) if radius_m else rf.of_band(F.col("band"), 2)
     sized = points.groupBy(*by).agg(F.count(F.lit(1)).alias("n_points"))
     points = points.join(small(sized), by).withColumn("radius_m", radius).withColumn("residual_db", F.lit(0.0))
     if ap is not None:
         points = residuals(points.drop("residual_db"), ap, walls, px_per_m, [*by, "first_idx"])
-    reach, cell = F.col("radius_m") * px_per_m, [*by, "gx", "gy"]
-    d = F.hypot(F.col("x") - F.col("tx"), F.col("y") - F.col("ty"))
-    pairs = points.join(small(grid)).withColumn("d", d).withColumn("falloff", F.lit(1.0) - smoothstep(reach * 0.74, reach, d))
-    rank = F.row_number().over(Window.partitionBy(*cell).orderBy("d", "first_idx"))
-    near = pairs.withColumn("rank", rank).where((F.col("rank") == 1) | ((F.col("falloff") > 0.002) & (F.col("rank") <= neighbours(F.col("n_points")))))
+    points = cut(points.withColumn("reach", F.col("radius_m") * px_per_m), "points")
+    reach, cell = F.col("reach"), [*by, "gx", "gy"]
+    cells = grid.select("gx", "gy", "tx", "ty").join(small(points.select(*by).distinct()))  # the cells of each layer
+    near = points_in_reach(cells, points, "reach", by, 64).where(F.col("rank") <= neighbours(F.col("n_points")))
+    near = cut(near, "near")
+    alone = nearest_site(cells.join(near.select(*cell).distinct(), cell, "left_anti"), points, "first_idx", by)
+    alone = alone.select(*cell, "tx", "ty", *(F.col(f"site.{c}").alias(c) for c in points.columns if c not in by), "d", F.lit(0.0).alias("falloff"), F.lit(1).alias("rank"))
+    near = near.unionByName(alone)
     lossy = _with_walls(near, walls, [*cell, "first_idx"])
     wall, far, counts = F.col("wall_db"), F.col("d"), F.col("falloff") > 0.002
     total = rf.propagation_loss_db(far / px_per_m, wall, F.col("band"))
@@ -72,10 +77,10 @@ def rf_grid(points: DataFrame, grid: DataFrame, walls: DataFrame | None, ap: Dat
     measured, said, beyond, sure = F.col("mean"), None, F.col("lone.rssi"), F.col("lone.confidence")
     if ap is not None:
         offset = small(points.groupBy(*by).agg(clamp(F.avg("residual_db"), -28.0, 28.0).alias("offset")))
-        rays = out.select(*cell, "radius_m").join(grid.select("gx", "gy", "tx", "ty"), ["gx", "gy"]).join(F.broadcast(ap.withColumnsRenamed({"ax": "x", "ay": "y"})))  # one row
+        rays = out.join(grid.select("gx", "gy", "tx", "ty"), ["gx", "gy"]).join(F.broadcast(ap.withColumnsRenamed({"ax": "x", "ay": "y"})))  # one row
         heard = _with_walls(rays, walls, cell).withColumn("ap_m", F.hypot(F.col("tx") - F.col("x"), F.col("ty") - F.col("y")) / px_per_m)
         said = rf.predicted_rssi(F.col("ap_m"), F.col("band"), F.col("signal"), F.col("gain"), F.col("radius_m"), F.col("wall_db"), F.lit(0.0))
-        out = out.join(heard.select(*cell, "ap_m", F.col("wall_db").alias("ap_wall"), said.alias("said")), cell).join(offset, by)
+        out = heard.select(*out.columns, "ap_m", F.col("wall_db").alias("ap_wall"), said.alias("said")).join(offset, by)
         r = F.col("radius_m") * px_per_m
         blend = clamp(F.lit(0.26) + smoothstep(r * 0.16, r * 0.96, F.col("lone.d")) * 0.38 + smoothstep(6.0, 28.0, F.col("ap_wall")) * 0.14, 0.18, 0.72)
         measured = measured * (F.lit(1.0) - blend) + (F.col("said") + F.col("residual")) * blend

@@ -184,3 +184,16 @@ def edge_background(pixels: DataFrame, width: int, height: int) -> DataFrame:
     times = (x % sx == 0).cast("int") * ((y == 0).cast("int") + (y == height - 1).cast("int")) + (y % sy == 0).cast("int") * ((x == 0).cast("int") + (x == width - 1).cast("int"))
     counted = pixels.withColumn("n", times).where("n > 0")
     return counted.agg(*((F.sum(F.col(c) * F.col("n")) / F.sum("n")).alias(c) for c in "rgb"))
+
+
+def measured_rooms(rooms: DataFrame, points: DataFrame, plans: DataFrame) -> DataFrame:
+    """Runs (plan, gy, x0, x1) of regions with a point in them, or within 3 pixels of a point that lies in none, and
+    of all pixels of no region. ``rooms`` are runs with their region, ``points`` pixels (plan, gx, gy)."""
+    from sigfield.operators.regions import complement
+
+    at = rooms.select("plan", "gy", "x0", "x1", "region")
+    own = points.select("plan", "gx", "gy").distinct().join(at, ["plan", "gy"]).where("gx between x0 and x1").select("plan", "gx", "gy", "region")
+    lost = points.select("plan", "gx", "gy").distinct().join(own, ["plan", "gx", "gy"], "left_anti")
+    near = lost.withColumn("gy", F.explode(F.sequence(F.col("gy") - 3, F.col("gy") + 3))).join(at, ["plan", "gy"]).where("x1 >= gx - 3 and x0 <= gx + 3")
+    hit = own.select("plan", "region").union(near.select("plan", "region")).distinct()
+    return at.join(hit, ["plan", "region"], "left_semi").select("plan", "gy", "x0", "x1").unionByName(complement(at, plans))

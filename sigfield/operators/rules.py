@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sigfield.functions.scalars import is_finite
+from sigfield.operators.spatial import proximity_pairs
 
 # fixed values: limits of reports and of the search for points that lie close
 COORDINATE_CAP, RSSI_CAP, CLOSE_CAP, CLOSE_POINTS = 160, 160, 40, 1200
@@ -44,6 +45,21 @@ def close_points(pairs: DataFrame, n_points: int) -> DataFrame:
     return found if n_points <= CLOSE_POINTS else found.where("false")
 
 
+def close_reports(points: DataFrame, by: list[str], within: float = 8.0) -> DataFrame:
+    """For each survey of at most CLOSE_POINTS points (row_idx, x, y, source), a warning for each of the first CLOSE_CAP
+    pairs of points closer than ``within`` pixels, and one with the number of the others (``omitted``). Imported points
+    are not looked at, but count for the survey's size."""
+    few = points.groupBy(*by).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") <= CLOSE_POINTS).select(*by)
+    marked = points.where("source is null or source <> 'csv'").join(few, by, "left_semi")
+    pairs = proximity_pairs(marked, within, by=tuple(by)).select(*by, F.col("i").alias("point_id"), F.col("j").alias("other_id"))
+    group = Window.partitionBy(*by)  # of a survey's few points
+    ranked = pairs.withColumn("k", F.row_number().over(group.orderBy("point_id", "other_id")))
+    said = lambda code: (F.lit("warning").alias("severity"), F.lit(code).alias("code"))
+    first = ranked.where(F.col("k") <= CLOSE_CAP).select(*by, *said("point_duplicate"), "point_id", "other_id", F.lit(None).cast("long").alias("omitted"))
+    rest = ranked.groupBy(*by).agg((F.count(F.lit(1)) - CLOSE_CAP).alias("omitted")).where("omitted > 0")
+    return first.unionByName(rest.select(*by, *said("point_duplicate_truncated"), "omitted"), allowMissingColumns=True)
+
+
 def rssi_issues(points: DataFrame, bands: tuple[str, ...] = ("24ghz", "5ghz"), key: str = "row_idx") -> DataFrame:
     """Signals outside -100 to -10 dBm, points without any of the bands, stated distances that are off."""
     values = {b: F.col(f"rssi_{b}") for b in bands}

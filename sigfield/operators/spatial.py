@@ -3,12 +3,15 @@ which are broadcast only up to BROADCAST lists, and joined by shuffle beyond."""
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sigfield.functions import geometry as G
 from sigfield.functions import rf
-from sigfield.functions.scalars import smoothstep
+from sigfield.functions.scalars import is_finite, smoothstep
+from sigfield.runtime import cut
 
 BROADCAST, BLOCK = 100_000, 1000
 
@@ -26,17 +29,53 @@ def listed(df: DataFrame, key: str, columns: list[str], name: str) -> tuple[Data
     return df.groupBy(F.pmod(F.xxhash64(key), F.lit(-(-n // BLOCK))).alias("block_")).agg(entries).drop("block_"), False
 
 
-def nearest_ap(points: DataFrame, aps: DataFrame, px_per_m: float, key: str = "row_idx") -> DataFrame:
-    """Distance in metres to the nearest access point, the first of equally near ones.
+def nearest_site(targets: DataFrame, sites: DataFrame, site_id: str, by: list[str] | None = None) -> DataFrame:
+    """Targets (tx, ty) with ``site``, a struct of the nearest site's columns (x, y and others), and its distance ``d``; of
+    equally near ones the first by ``site_id``. A target without a finite place, or without any site in its group, has nulls.
+
+    Sites are sent to the nine squares around their own, targets only to theirs. A site found no farther than the side of
+    a square is the nearest of all; targets without one look again in squares of twice the side, until none is left. So
+    the rows that are compared follow from how dense the sites are, not from their number."""
+    by = by or []
+    names = [c for c in sites.columns if c not in by]
+    placed = is_finite(F.col("tx")) & is_finite(F.col("ty"))
+    known = cut(sites.where(is_finite(F.col("x")) & is_finite(F.col("y"))), "sites")
+    box = known.agg(F.count(F.lit(1)).alias("n"), *(f(c).alias(f"{k}{c}") for c in "xy" for k, f in (("lo", F.min), ("hi", F.max)))).first()
+    if not box["n"]:
+        return targets.select("*", F.lit(None).cast(known.select(F.struct(*names)).schema[0].dataType).alias("site"), F.lit(None).cast("double").alias("d"))
+    groups = known.select(*by).distinct().count() if by else 1
+    side = max(math.sqrt(max(box["hix"] - box["lox"], 1.0) * max(box["hiy"] - box["loy"], 1.0) * groups / box["n"]), 1e-6)
+    has_sites = known.select(*by).distinct() if by else None
+    looking = targets.where(placed) if has_sites is None else targets.where(placed).join(small(has_sites), by, "left_semi")
+    lost = targets.where(~placed) if has_sites is None else targets.where(~placed).unionByName(targets.where(placed).join(small(has_sites), by, "left_anti"))
+    square = lambda c: F.floor(F.col(c) / side).cast("long")
+    steps = F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)))
+    nothing = F.lit(None)
+    done, kind = [], known.select(F.struct(*names)).schema[0].dataType
+    rows = cut(looking.withColumn("_row", F.monotonically_increasing_id()), "targets")
+    while True:
+        around = known.select(*by, F.struct(*names).alias("_site"), square("x").alias("_cx"), square("y").alias("_cy"), F.explode(steps).alias("_o"))
+        around = around.select(*by, "_site", (F.col("_cx") + F.col("_o.i")).alias("_cx"), (F.col("_cy") + F.col("_o.j")).alias("_cy"))
+        d = F.hypot(F.col("_site.x") - F.col("tx"), F.col("_site.y") - F.col("ty"))
+        pairs = rows.select(*by, "_row", "tx", "ty", square("tx").alias("_cx"), square("ty").alias("_cy")).join(small(around), [*by, "_cx", "_cy"])
+        best = pairs.groupBy("_row").agg(F.min(F.struct(d.alias("d"), F.col(f"_site.{site_id}").alias("id"), F.col("_site").alias("site"))).alias("b")).where(F.col("b.d") <= side)
+        found = cut(rows.join(best, "_row", "left"), "nearest")
+        done.append(found.where("b is not null").select(*targets.columns, F.col("b.site").alias("site"), F.col("b.d").alias("d")))
+        rows = found.where("b is null").drop("b")
+        if not rows.limit(1).count():
+            break
+        side *= 2
+    out = lost.select("*", nothing.cast(kind).alias("site"), nothing.cast("double").alias("d"))
+    for t in done:
+        out = out.unionByName(t)
+    return out
 
-    The plan's access points travel as one array per block, so each point is folded over the array
-    where it is read, without a pair table."""
-    listed = F.array_sort(F.collect_list(F.struct("ap_id", "ax", "ay")))
-    blocks = aps.withColumn("block", F.pmod(F.xxhash64("ap_id"), F.lit(max(1, -(-aps.count() // 1000))))).groupBy("block").agg(listed.alias("aps"))
-    pairs = points.select(key, "x", "y").join(small(blocks))
-    measured = F.transform("aps", lambda a: F.struct(F.hypot(a["ax"] - F.col("x"), a["ay"] - F.col("y")).alias("d"), a["ap_id"].alias("ap_id")))
-    best = pairs.select(key, F.array_min(measured).alias("best")).groupBy(key).agg(F.min("best").alias("best"))
-    return best.select(key, F.col("best.ap_id").alias("ap_id"), F.round(F.col("best.d") / px_per_m, 2).alias("distance_m"))
+
+def nearest_ap(points: DataFrame, aps: DataFrame, px_per_m: float, key: str = "row_idx") -> DataFrame:
+    """Distance in metres to the nearest access point, the first of equally near ones."""
+    sites = aps.select("ap_id", F.col("ax").alias("x"), F.col("ay").alias("y"))
+    found = nearest_site(points.select(key, F.col("x").alias("tx"), F.col("y").alias("ty")), sites, "ap_id")
+    return found.select(key, F.col("site.ap_id").alias("ap_id"), F.round(F.col("d") / px_per_m, 2).alias("distance_m"))
 
 
 def proximity_pairs(points: DataFrame, within: float, key: str = "row_idx", by: tuple[str, ...] = ()) -> DataFrame:
@@ -50,17 +89,24 @@ def proximity_pairs(points: DataFrame, within: float, key: str = "row_idx", by:
     return left.join(right, [*by, "cx", "cy"]).where((F.col("i") < F.col("j")) & (d < within)).select(*by, "i", "j", d.alias("distance_px"))
 
 
-def wall_loss(rays: DataFrame, walls: DataFrame, key: list[str], thickness_m: float = 0.12) -> DataFrame:
+def wall_loss(rays: DataFrame, walls: DataFrame, key: list[str], thickness_m: float = 0.12, keep: bool = False) -> DataFrame:
     """Number of crossed walls and their loss for rays (x, y) to (tx, ty) of a band; walls are a bounded
-    list per plan, folded where the ray is."""
+    list per plan, folded where the ray is. Walls whose box lies beside the ray's are passed over first. With ``keep``, all
+    columns of the rays stay."""
     lists, one = listed(walls, "wall_id", ["wall_id", "x0", "y0", "x1", "y1", "material"], "walls")
     ray = (F.col("x"), F.col("y"), F.col("tx"), F.col("ty"))
-    hit = F.filter("walls", lambda w: G.segments_intersect(ray, (w["x0"], w["y0"], w["x1"], w["y1"])))
+    apart = lambda a, b, c, d: (F.greatest(a, b) < F.least(c, d) - 1) | (F.least(a, b) > F.greatest(c, d) + 1)
+    beside = lambda w: apart(ray[0], ray[2], w["x0"], w["x1"]) | apart(ray[1], ray[3], w["y0"], w["y1"])
+    hit = F.filter("walls", lambda w: ~beside(w) & G.segments_intersect(ray, (w["x0"], w["y0"], w["x1"], w["y1"])))
     path = F.atan2(F.col("ty") - F.col("y"), F.col("tx") - F.col("x"))
     loss = lambda w: rf.crossing_loss_db(w["material"], F.col("band"), F.lit(thickness_m), path, F.atan2(w["y1"] - w["y0"], w["x1"] - w["x0"]))
     found = rays.join(small(lists)).withColumn("hit", hit)
-    out = found.select(*key, F.size("hit").alias("n_walls"), F.aggregate("hit", F.lit(0.0), lambda s, w: s + loss(w)).alias("wall_db"))
-    return out if one else out.groupBy(*key).agg(F.sum("n_walls").cast("int").alias("n_walls"), F.sum("wall_db").alias("wall_db"))
+    kept = rays.columns if keep and one else key
+    out = found.select(*kept, F.size("hit").alias("n_walls"), F.aggregate("hit", F.lit(0.0), lambda s, w: s + loss(w)).alias("wall_db"))
+    if one:
+        return out
+    summed = out.groupBy(*key).agg(F.sum("n_walls").cast("int").alias("n_walls"), F.sum("wall_db").alias("wall_db"))
+    return rays.join(summed, key) if keep else summed
 
 
 def rooms_of_points(points: DataFrame, rooms: DataFrame, key: str = "row_idx") -> DataFrame:
@@ -71,19 +117,20 @@ def rooms_of_points(points: DataFrame, rooms: DataFrame, key: str = "row_idx") -
     return found if one else found.groupBy(*points.columns).agg(F.min("room_id").alias("room_id"))
 
 
-def nearest_points(targets: DataFrame, points: DataFrame, k: int, radius: float, by: list[str]) -> DataFrame:
-    """The k nearest points within a radius of each target, with falloff: an equi-join on squares of the
-    radius' size and their neighbours, then the k nearest by a window that Spark limits early."""
-    square = lambda c: F.floor(F.col(c) / radius)
-    near = F.explode(F.expr("flatten(transform(array(-1,0,1), dx -> transform(array(-1,0,1), dy -> struct(cx+dx as cx, cy+dy as cy))))"))
-    left = targets.withColumn("cx", square("tx")).withColumn("cy", square("ty")).withColumn("c", near).drop("cx", "cy").select("*", "c.cx", "c.cy").drop("c")
-    right = points.withColumn("cx", square("x")).withColumn("cy", square("y"))
+def points_in_reach(targets: DataFrame, points: DataFrame, reach: str, by: list[str], most: int) -> DataFrame:
+    """Pairs of targets (by, gx, gy, tx, ty) and points (by, x, y, first_idx, ``reach`` in pixels) that are near enough to count,
+    with their distance ``d``, ``falloff`` and ``rank`` by distance, at most ``most`` for a target: an equi-join on squares of the
+    reach's size around each point, then a window that Spark limits before it sorts."""
+    square = lambda c: F.floor(F.col(c) / F.col(reach)).cast("long")
+    steps = F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)))
+    sizes = points.select(*by, reach).distinct()
+    left = targets.join(small(sizes), by).select(*by, "gx", "gy", "tx", "ty", reach, square("tx").alias("_cx"), square("ty").alias("_cy"))
+    right = points.withColumns({"_x": square("x"), "_y": square("y"), "_o": F.explode(steps)}).withColumns({"_cx": F.col("_x") + F.col("_o.i"), "_cy": F.col("_y") + F.col("_o.j")}).drop("_x", "_y", "_o")
     d = F.hypot(F.col("x") - F.col("tx"), F.col("y") - F.col("ty"))
-    pairs = left.join(right, ["cx", "cy"]).drop("cx", "cy").withColumn("d", d).where(F.col("d") < radius)
-    falloff = F.lit(1.0) - smoothstep(radius * 0.74, radius, F.col("d"))
-    pairs = pairs.withColumn("falloff", falloff).where("falloff > 0.002")
-    rank = F.row_number().over(Window.partitionBy("gx", "gy", *by).orderBy("d", "first_idx"))
-    return pairs.withColumn("rank", rank).where(F.col("rank") <= k)
+    pairs = left.join(small(right), [*by, reach, "_cx", "_cy"]).drop("_cx", "_cy").withColumn("d", d)
+    pairs = pairs.withColumn("falloff", F.lit(1.0) - smoothstep(F.col(reach) * 0.74, F.col(reach), F.col("d"))).where("falloff > 0.002")
+    rank = F.row_number().over(Window.partitionBy(*by, "gx", "gy").orderBy("d", "first_idx"))
+    return pairs.withColumn("rank", rank).where(F.col("rank") <= most)
 
 
 def alias_join(points: DataFrame, rows: DataFrame, aliases, key: str, row_key: str) -> DataFrame:

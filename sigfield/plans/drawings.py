@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from sigfield.operators import walls
+from sigfield.operators import crop, walls
 from sigfield.plans import views as V
 from sigfield.plans.registry import query
 from sigfield.runtime import cut
@@ -134,3 +134,15 @@ SELECT cv.plan, coalesce(h, 0) AS horizontal, coalesce(v, 0) AS vertical, floor(
 def wall_summary(spark, d):
     pixels, plans = _drawn(spark, d)
     return walls.wall_summary(walls.detect_walls(pixels, plans), walls.trace_mask(pixels, plans), plans)
+
+
+@query()
+def plan_crops(spark, d):
+    """Crops of the drawn plans; the steps depend on one another, so a plain scan stands in for SQL in the tests."""
+    return crop.crops(*_drawn(spark, d))
+
+
+@query(V.with_views("plans") + """, k AS (SELECT site, width, height, width/height AS raw, width_m/height_m AS target, width_m > 0 AND height_m > 0 AS known FROM plans), a AS (SELECT *, coalesce(known AND abs(raw-target)/target > 0.02, false) AS applied FROM k)
+SELECT site, CAST(CASE WHEN applied AND NOT raw > target THEN floor(height*target+0.5) ELSE width END AS INT) AS out_w, CAST(CASE WHEN applied AND raw > target THEN floor(width/target+0.5) ELSE height END AS INT) AS out_h, applied FROM a""")
+def corrected_sizes(spark, d):
+    return crop.corrected_sizes(V.plans(spark, d)).select("site", "out_w", "out_h", "applied")

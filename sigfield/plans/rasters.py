@@ -112,9 +112,12 @@ def largest_component(spark, d):
     return coverage.largest(raster.component_stats(raster.connected(_coarse(spark, d), 25, "layer"), "layer"), ["layer"])
 
 
-@query("SELECT c_custkey, name, row_number() OVER (ORDER BY k, c_custkey) AS place FROM (SELECT c_custkey, CASE WHEN c_custkey%4=0 THEN 'Hall' ELSE 'Room ' || c_custkey END AS name, CASE WHEN c_custkey%4=0 THEN -1 ELSE c_custkey END AS k FROM customer)")
+_ROOM_NAMES = "CASE c_custkey%5 WHEN 0 THEN 'Hall' WHEN 1 THEN 'Room ' || c_custkey WHEN 2 THEN 'room 0' || c_custkey || 'a' WHEN 3 THEN 'Wing ' || c_custkey%13 || ' Room ' || c_custkey ELSE 'Ático ' || c_custkey END"
+
+
+@query(f"""SELECT c_custkey, name, CAST(row_number() OVER (ORDER BY array_to_string(list_transform(regexp_extract_all(strip_accents(name), '[0-9]+|[^0-9]+'), lambda p: CASE WHEN regexp_matches(p, '^[0-9]') THEN lpad(CAST(length(CAST(CAST(p AS BIGINT) AS VARCHAR)) AS VARCHAR), 6, '0') || CAST(CAST(p AS BIGINT) AS VARCHAR) ELSE lower(p) END), ''), c_custkey) AS INT) AS place FROM (SELECT c_custkey, {_ROOM_NAMES} AS name FROM customer)""")
 def room_order(spark, d):
-    rows = V._table(spark, d, "customer").selectExpr("c_custkey", "case when c_custkey%4=0 then 'Hall' else concat('Room ', c_custkey) end name")
+    rows = V._table(spark, d, "customer").selectExpr("c_custkey", f"{_ROOM_NAMES} name")
     return coverage.natural_order(rows, "name", "c_custkey")
 
 

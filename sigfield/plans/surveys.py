@@ -15,28 +15,28 @@ READINGS = with_views("readings")
 _PARSED = """, r AS (SELECT row_idx, x, y, rssi, mac, ssid, CASE WHEN band='24ghz' THEN '24ghz' ELSE '5ghz' END AS band FROM readings),
 dom AS (SELECT band, mac FROM (SELECT band, mac, count(*) AS n, max(ssid <> '') AS named, min(row_idx) AS f FROM r GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY band ORDER BY named DESC, n DESC, f) = 1),
 k AS (SELECT printf('coord:%.6f:%.6f', x, y) AS key, r.row_idx, x, y, CASE WHEN r.mac=dom.mac THEN rssi END AS rssi, r.band FROM r JOIN dom USING (band)),
-parsed AS (SELECT key, min_by(x, row_idx) AS x, min_by(y, row_idx) AS y, max(rssi) FILTER (band='24ghz') AS rssi_24ghz, max(rssi) FILTER (band='5ghz') AS rssi_5ghz FROM k GROUP BY key)"""
+parsed AS (SELECT key, min_by(x, row_idx) AS x, min_by(y, row_idx) AS y, max(rssi) FILTER (band='24ghz') AS rssi_24ghz, max(rssi) FILTER (band='5ghz') AS rssi_5ghz, 'P' || row_number() OVER (ORDER BY min(row_idx)) AS point_id FROM k GROUP BY key)"""
 
 
 def _csv(spark, d, sep: str = ";") -> str:
-    """A survey export with the columns, accents and quoting of such exports: one file, as a device writes."""
+    """Survey exports with the columns, accents and quoting of such exports, in files that follow one another."""
     path = shared_dir(spark, "survey")
     rows = V.readings(spark, d).orderBy("row_idx").select(
         F.lit("2026-01-14T13:07:31").alias("Timestamp"), F.col("x").cast("string").alias("X(Lat)"), F.col("y").cast("string").alias("Y(Lon)"), F.concat(F.col("rssi").cast("string"), F.lit(" dBm")).alias("Sinal"),
         F.lit("-92").alias("Noise"), F.when(F.col("band") == "24ghz", "6").otherwise("36").alias("Ch"), F.lower("mac").alias("MAC"), F.when(F.col("ssid") != "", F.concat(F.col("ssid"), F.lit(';"x"'))).otherwise("").alias("SSID"),
     )
-    rows.coalesce(1).write.csv(path, header=True, sep=sep, quote='"', escape='"', emptyValue="", nullValue="")
+    rows.write.csv(path, header=True, sep=sep, quote='"', escape='"', emptyValue="", nullValue="")
     return path
 
 
-@query(READINGS + _PARSED + " SELECT key, x, y, rssi_24ghz, rssi_5ghz FROM parsed")
+@query(READINGS + _PARSED + " SELECT point_id, x, y, rssi_24ghz, rssi_5ghz FROM parsed")
 def survey_csv(spark, d):
-    return ingest.read_survey_csv(spark, _csv(spark, d)).rows.select(F.col("point_id").alias("key"), "x", "y", "rssi_24ghz", "rssi_5ghz")
+    return ingest.read_survey_csv(spark, _csv(spark, d)).rows.select("point_id", "x", "y", "rssi_24ghz", "rssi_5ghz")
 
 
-@query(READINGS + _PARSED + " SELECT key, x, y, rssi_24ghz, rssi_5ghz FROM parsed")
+@query(READINGS + _PARSED + " SELECT point_id, x, y, rssi_24ghz, rssi_5ghz FROM parsed")
 def survey_tsv(spark, d):
-    return ingest.read_survey_csv(spark, _csv(spark, d, "\t")).rows.select(F.col("point_id").alias("key"), "x", "y", "rssi_24ghz", "rssi_5ghz")
+    return ingest.read_survey_csv(spark, _csv(spark, d, "\t")).rows.select("point_id", "x", "y", "rssi_24ghz", "rssi_5ghz")
 
 
 _SENTINEL = """, t AS (SELECT row_idx, band, CASE WHEN row_idx%500=7 THEN 36600000 ELSE x END AS x, y FROM readings), m AS (SELECT band, list_sort(list(x)) AS lx, list_sort(list(y)) AS ly, count(*) AS n FROM t GROUP BY band),
@@ -54,16 +54,16 @@ def sentinels(spark, d):
     return place.reject_sentinels(_with_sentinels(spark, d), ["band"]).select("row_idx", "x", "y")
 
 
-@query(READINGS + _SENTINEL + ", l AS (SELECT band, min(x) AS x0, min(y) AS y0 FROM p GROUP BY band) SELECT row_idx, round(24+(x-x0)*0.5, 6) AS px, round(24+(y-y0)*0.5, 6) AS py FROM p JOIN l USING (band)")
+@query(READINGS + _SENTINEL + ", l AS (SELECT band, min(x) AS x0, min(y) AS y0 FROM p GROUP BY band) SELECT row_idx, floor((24+(x-x0)*CAST(0.5 AS DOUBLE))*100+0.5)/100 AS px, floor((24+(y-y0)*CAST(0.5 AS DOUBLE))*100+0.5)/100 AS py FROM p JOIN l USING (band)")
 def placed_metric(spark, d):
     out = place.prepare(_with_sentinels(spark, d), 600.0, 400.0, 0.5, ["band"])
-    return out.select("row_idx", F.round("x", 6).alias("px"), F.round("y", 6).alias("py"))
+    return out.select("row_idx", F.col("x").alias("px"), F.col("y").alias("py"))
 
 
-_FIT = "floor(least(greatest({pad}+({v}-{lo})/({hi}-{lo})*({size}-2*{pad}), {pad}), {size}-{pad})*100+0.5)/100"
+_FIT = "floor(({pad}+(least(greatest({v}, {lo}), {hi})-{lo})/({hi}-{lo})*({size}-2*{pad}-1))*100+0.5)/100"
 
 
-@query(READINGS + _SENTINEL + """, l AS (SELECT band, list_sort(list(x)) AS lx, list_sort(list(y)) AS ly, count(*) AS n FROM t GROUP BY band),
+@query(READINGS + _SENTINEL + """, l AS (SELECT band, list_sort(list(x)) AS lx, list_sort(list(y)) AS ly, count(*) AS n FROM p WHERE x IS NOT NULL GROUP BY band),
 q AS (SELECT band, lx[CAST(floor((n-1)*0.01+0.5) AS INT)+1] AS x0, lx[CAST(floor((n-1)*0.99+0.5) AS INT)+1] AS x1, ly[CAST(floor((n-1)*0.01+0.5) AS INT)+1] AS y0, ly[CAST(floor((n-1)*0.99+0.5) AS INT)+1] AS y1 FROM l)
 SELECT row_idx, """ + _FIT.format(pad="24.0::DOUBLE", v="x", lo="x0", hi="x1", size="600") + " AS px, " + _FIT.format(pad="16.0::DOUBLE", v="y", lo="y0", hi="y1", size="400") + " AS py FROM t JOIN q USING (band)")
 def placed_fit(spark, d):

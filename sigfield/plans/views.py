@@ -65,18 +65,41 @@ _PAINT = """CASE WHEN n=19 THEN 235 WHEN n<4 OR d%4=0 THEN 40 WHEN d%4=1 THEN 60
 def drawings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Images of plans, as opaque or nearly transparent pixels (plan, gx, gy, r, g, b, a): outer and inner walls,
     shorter strokes and dots."""
-    _table(spark, sf_dir, "part").selectExpr("p_partkey k", "(p_partkey-1) div 20 plan", "(p_partkey-1)%20 n", "p_size d").createOrReplaceTempView("sigfield_strokes")
-    strokes = spark.sql("WITH k AS (SELECT * FROM sigfield_strokes), " + _STROKES + " SELECT *, " + _PAINT + " FROM s WHERE w > 0")
-    span = lambda a, n, most: F.explode(F.sequence(F.col(a), F.least(F.lit(most - 1).cast("long"), F.col(a) + F.col(n) - 1)))
-    each = strokes.withColumn("gx", span("x0", "w", DRAWN[0])).withColumn("gy", span("y0", "h", DRAWN[1]))
-    top = each.groupBy("plan", "gx", "gy").agg(F.max(F.struct("k", "r", "g", "b", "a")).alias("p"))
-    return top.select("plan", F.col("gx").cast("int").alias("gx"), F.col("gy").cast("int").alias("gy"), "p.r", "p.g", "p.b", "p.a")
+    return _rasterised(spark, sf_dir, 20, _STROKES, _PAINT)
 
 
 def drawn_plans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _table(spark, sf_dir, "part").selectExpr("(p_partkey-1) div 20 plan", f"{DRAWN[0]} width", f"{DRAWN[1]} height").distinct()
 
 
+#: Rectangles of a painted plan: rooms of colour, white pockets in them, walls (closed, too wide or open), red and
+#: blue marks. Later ones lie over earlier ones.
+_RECTANGLES = """s AS (SELECT k, plan, n, d, CASE WHEN n<4 THEN 10+n%2*56+plan%5 WHEN n<8 THEN 20+n%2*56+d%20 WHEN n=11 THEN CASE plan%3 WHEN 0 THEN 154-plan%2 ELSE 110 END WHEN n<12 THEN CASE plan%3 WHEN 0 THEN 3 ELSE 6 END WHEN n=12 THEN 40+d%30 WHEN n=13 THEN 6 WHEN n<17 THEN 16+(n-14)*34+d%9 WHEN n=17 THEN 12 WHEN n=18 THEN 120+d%20 ELSE 20+d END AS x0,
+ CASE WHEN n<4 THEN 10+n//2*48 WHEN n<8 THEN 18+(n-4)//2*48+d%16 WHEN n=9 THEN CASE plan%3 WHEN 0 THEN 114 ELSE 104 END WHEN n<12 THEN CASE plan%3 WHEN 0 THEN 3 ELSE 6 END WHEN n=12 THEN 6 WHEN n=13 THEN 40+d%25 WHEN n<17 THEN 20+d%60 WHEN n=17 THEN 30 WHEN n=18 THEN 112 ELSE 70 END AS y0,
+ CASE WHEN n<4 THEN 52 WHEN n<8 THEN 3+d%9 WHEN n<10 THEN CASE plan%3 WHEN 0 THEN 154 ELSE 108 END WHEN n<12 THEN 2+plan%2*2 WHEN n=12 THEN 3 WHEN n=13 THEN 100 WHEN n<17 THEN 7+d%3 WHEN n=17 THEN 90 WHEN n=18 THEN 2+d%3 ELSE 12 END AS w,
+ CASE WHEN n<4 THEN 44 WHEN n<8 THEN 3+d%7 WHEN n<10 THEN 2+plan%2*2 WHEN n=11 AND plan%3=2 THEN 60 WHEN n<12 THEN CASE plan%3 WHEN 0 THEN 114 ELSE 100 END WHEN n=12 THEN 98 WHEN n=13 THEN 3 WHEN n<17 THEN 7+d%2 WHEN n=17 THEN 2 WHEN n=18 THEN 2 ELSE 14 END AS h FROM k WHERE n < 20)"""
+_COLOURS = """CASE WHEN n<4 THEN CASE plan%2 WHEN 1 THEN 242 ELSE 180+d%4*15 END WHEN n<8 THEN 250 WHEN n<14 THEN 30 WHEN n<18 THEN 220 WHEN n=18 THEN 40 ELSE 60 END AS r, CASE WHEN n<4 THEN CASE plan%2 WHEN 1 THEN 228 ELSE 160+n*20 END WHEN n<8 THEN 250 WHEN n<14 THEN 30 WHEN n<18 THEN 30 WHEN n=18 THEN 40 ELSE 100 END AS g, CASE WHEN n<4 THEN CASE plan%2 WHEN 1 THEN 234 ELSE 140 END WHEN n<8 THEN 250 WHEN n<14 THEN 30 WHEN n<18 THEN 40 WHEN n=18 THEN 40 ELSE 210 END AS b, 255 AS a"""
+
+
+def _rasterised(spark: SparkSession, sf_dir: str, each: int, shapes: str, colours: str) -> DataFrame:
+    """The pixels that parts paint, ``each`` of them on one plan."""
+    parts = _table(spark, sf_dir, "part").selectExpr("p_partkey k", f"(p_partkey-1) div {each} plan", f"(p_partkey-1)%{each} n", "p_size d")
+    strokes = spark.sql("WITH k AS (SELECT * FROM {parts}), " + shapes.replace("//", " div ") + " SELECT *, " + colours + " FROM s WHERE w > 0", parts=parts)
+    span = lambda a, n, most: F.explode(F.sequence(F.col(a).cast("int"), F.least(F.lit(most - 1), (F.col(a) + F.col(n) - 1).cast("int"))))
+    placed = strokes.withColumn("gx", span("x0", "w", DRAWN[0])).withColumn("gy", span("y0", "h", DRAWN[1]))
+    top = placed.groupBy("plan", "gx", "gy").agg(F.max(F.struct("k", "r", "g", "b", "a")).alias("p"))
+    return top.select("plan", "gx", "gy", "p.r", "p.g", "p.b", "p.a")
+
+
+def paintings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Images of plans with coloured rooms and marks (plan, gx, gy, r, g, b, a)."""
+    return _rasterised(spark, sf_dir, 40, _RECTANGLES, _COLOURS)
+
+
+def painted_plans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "part").selectExpr("(p_partkey-1) div 40 plan", f"{DRAWN[0]} width", f"{DRAWN[1]} height").distinct()
+
+
 def rooms(spark: SparkSession, sf_dir: str) -> DataFrame:
     corner = lambda x, y: f"named_struct('x', cast(r_regionkey*200+{x} as double), 'y', cast({y} as double))"
     return _table(spark, sf_dir, "region").selectExpr("r_regionkey room_id", "r_name name", f"array({corner(5, 40)}, {corner(195, 40)}, {corner(195, 560)}, {corner(5, 560)}) polygon")
@@ -108,6 +131,8 @@ SQL = {
     "pixels": """pixels AS (SELECT CAST(p_partkey%40 AS INT) AS gx, CAST(p_partkey//40 AS INT) AS gy, CAST(p_partkey*37%256 AS INT) AS r, CAST(p_partkey*p_size%256 AS INT) AS g, CAST(p_partkey//40*11%256 AS INT) AS b FROM part)""",
     "drawings": f"""k AS (SELECT p_partkey AS k, (p_partkey-1)//20 AS plan, (p_partkey-1)%20 AS n, p_size AS d FROM part), {_STROKES},
 drawings AS (SELECT plan, CAST(gx AS INT) AS gx, CAST(gy AS INT) AS gy, arg_max(r, k) AS r, arg_max(g, k) AS g, arg_max(b, k) AS b, arg_max(a, k) AS a FROM (SELECT k, plan, x.i AS gx, y.i AS gy, {_PAINT} FROM s, range({DRAWN[0]}) x(i), range({DRAWN[1]}) y(i) WHERE w > 0 AND x.i >= x0 AND x.i < x0+w AND y.i >= y0 AND y.i < y0+h) GROUP BY plan, gx, gy)""",
+    "paintings": f"""k AS (SELECT p_partkey AS k, (p_partkey-1)//40 AS plan, (p_partkey-1)%40 AS n, p_size AS d FROM part), {_RECTANGLES},
+paintings AS (SELECT plan, CAST(gx AS INT) AS gx, CAST(gy AS INT) AS gy, arg_max(r, k) AS r, arg_max(g, k) AS g, arg_max(b, k) AS b, arg_max(a, k) AS a FROM (SELECT k, plan, x.i AS gx, y.i AS gy, {_COLOURS} FROM s, range({DRAWN[0]}) x(i), range({DRAWN[1]}) y(i) WHERE x.i >= x0 AND x.i < x0+w AND y.i >= y0 AND y.i < y0+h) GROUP BY plan, gx, gy)""",
     "bins": """bins AS (SELECT CAST(floor(x/32+0.5) AS BIGINT) AS bx, CAST(floor(y/32+0.5) AS BIGINT) AS by_, band, min(row_idx) AS first_idx, count(*) AS n,
  floor(CAST(sum(CAST(x AS DECIMAL(28,6))) AS DOUBLE)/count(x)*100+0.5)/100 AS x, floor(CAST(sum(CAST(y AS DECIMAL(28,6))) AS DOUBLE)/count(y)*100+0.5)/100 AS y, max(rssi) AS rssi FROM readings GROUP BY ALL)""",
 }
