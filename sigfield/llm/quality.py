@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import operator
 import zlib
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -48,14 +49,20 @@ def repeats(words: list[str]) -> int:
     return sum(map(operator.eq, words, words[1:]))
 
 
-def text_features(text: str) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct buckets of a text and their shares."""
+def text_counts(text: str) -> Counter:
+    """How often a text has each bucket."""
     words, total = text.split(), Counter()
     for w, n in Counter(words).items():
         for f in word_features(w):
             total[f] += n
     if r := repeats(words):
         total[REPEAT] += r * 10  # about as much as the n-grams of a word
+    return total
+
+
+def text_features(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct buckets of a text and their shares."""
+    total = text_counts(text)
     keys = np.fromiter(total.keys(), np.int64, len(total))
     values = np.fromiter(total.values(), np.float64, len(total))
     return keys, values / max(1.0, values.sum())
@@ -74,18 +81,26 @@ class Model:
 
 
 def train(rows: list[tuple[str, int]], epochs: int = 6, rate: float = 0.5, seed: int = 7) -> Model:
-    """Fit embeddings and softmax layer by SGD, one document at a time in a shuffled order."""
+    """Fit embeddings and softmax layer by SGD, one document at a time in a shuffled order. The rows' buckets and counts lie
+    one after another in two arrays of 2 and 4 bytes an entry."""
     rng = np.random.default_rng(seed)
     table = rng.uniform(-1 / DIM, 1 / DIM, (BUCKETS, DIM))
     layer, bias = np.zeros((DIM, 2)), np.zeros(2)
-    made = [(*text_features(t), y) for t, y in rows]
-    if made:
-        share = min(max(np.mean([y for *_, y in made]), 0.01), 0.99)
+    buckets, counts, ends = array("H"), array("I"), [0]
+    for t, _ in rows:
+        total = text_counts(t)
+        buckets.extend(total.keys())
+        counts.extend(total.values())
+        ends.append(len(buckets))
+    buckets, counts = np.array(buckets, np.uint16), np.array(counts, np.uint32)
+    if rows:
+        share = min(max(np.mean([y for _, y in rows]), 0.01), 0.99)
         bias[1] = np.log(share / (1 - share))
-    steps, step = max(1, epochs * len(made)), 0
+    steps, step = max(1, epochs * len(rows)), 0
     for _ in range(epochs):
-        for i in rng.permutation(len(made)):
-            keys, shares, y = made[i]
+        for i in rng.permutation(len(rows)):
+            keys, values, y = buckets[ends[i] : ends[i + 1]], counts[ends[i] : ends[i + 1]].astype(np.float64), rows[i][1]
+            shares = values / max(1.0, values.sum())
             lr = rate * (1 - step / steps)
             step += 1
             mean = shares @ table[keys]
