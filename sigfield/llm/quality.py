@@ -17,11 +17,13 @@ for one id each is a training row. Nothing but the text enters a score.
 from __future__ import annotations
 
 import operator
+import re
 import zlib
 from array import array
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -29,17 +31,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sigfield.llm.words import slabs, text_of
+from sigfield.llm.words import Words, slabs, text_of, words_of
 from sigfield.runtime import ship
 
 BUCKETS, DIM = 1 << 16, 8
 SIZES = (2, 3, 4)  # of character n-grams
 REPEAT = 0  # the bucket of "same word as before"
-WORDS = 200_000  # whose logits a scorer remembers
+WORDS = 400_000  # whose logits a Python worker remembers
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
 def word_features(word: str) -> list[int]:
-    """Buckets of a word and its character n-grams."""
+    """Buckets of a word and its distinct character n-grams."""
     marked = f"<{word}>".encode()
     grams = {marked[i : i + n] for n in SIZES for i in range(len(marked) - n + 1)}
     return [1 + zlib.crc32(marked) % (BUCKETS - 1), *(1 + zlib.crc32(g, 77) % (BUCKETS - 1) for g in grams)]
@@ -51,7 +54,7 @@ def repeats(words: list[str]) -> int:
 
 def text_counts(text: str) -> Counter:
     """How often a text has each bucket."""
-    words, total = text.split(), Counter()
+    words, total = WORD.findall(text), Counter()
     for w, n in Counter(words).items():
         for f in word_features(w):
             total[f] += n
@@ -75,11 +78,100 @@ class Model:
     logit: np.ndarray
     bias: float
 
+    def equals(self, other: Model) -> bool:
+        return self.bias == other.bias and np.array_equal(self.logit, other.logit)
+
     def score(self, text: str) -> float:
         keys, shares = text_features(text)
         return float(1 / (1 + np.exp(-(self.bias + shares @ self.logit[keys]))))
 
 
+@cache
+def _crc_table() -> np.ndarray:
+    """The steps of zlib's CRC-32 for each byte."""
+    table = np.arange(256, dtype=np.uint32)
+    for _ in range(8):
+        table = np.where(table & 1, (table >> 1) ^ np.uint32(0xEDB88320), table >> 1)
+    return table
+
+
+def summed_features(logit: np.ndarray, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sum of logits and number of the features (see ``word_features``) of each word data[start:end], all at once."""
+    size = end - start + 2
+    last = np.cumsum(size)
+    begin, word = last - size, np.repeat(np.arange(len(size)), size)
+    at = np.arange(last[-1])
+    inner = at - begin[word] - 1
+    marked = data[np.clip(start[word] + inner, 0, len(data) - 1)]
+    marked[begin], marked[last - 1] = ord("<"), ord(">")
+    keys = []
+    for n in SIZES:
+        here = at[at + n <= last[word]]
+        code = sum(marked[here + k].astype(np.int64) << (8 * k) for k in range(n))
+        keys.append((word[here] << 34) | ((n - 2) << 32) | code)
+    grams = np.sort(np.concatenate(keys))
+    grams = grams[np.concatenate([[True], grams[1:] != grams[:-1]])]  # a word has each one once
+    owner, long, code = grams >> 34, ((grams >> 32) & 3) + 2, (grams & 0xFFFFFFFF).astype(np.uint32)
+    table, crc = _crc_table(), np.full(len(grams), 77 ^ 0xFFFFFFFF, np.uint32)
+    for k in range(max(SIZES)):
+        step = table[(crc ^ (code >> np.uint32(8 * k))) & 255] ^ (crc >> np.uint32(8))
+        crc = np.where(long > k, step, crc)
+    bucket = 1 + (crc ^ np.uint32(0xFFFFFFFF)).astype(np.int64) % (BUCKETS - 1)
+    raw = marked.tobytes()
+    whole = 1 + np.fromiter((zlib.crc32(raw[a:b]) for a, b in zip(begin.tolist(), last.tolist())), np.int64, len(size)) % (BUCKETS - 1)
+    total = np.bincount(owner, weights=logit[bucket], minlength=len(size)) + logit[whole]
+    return total, np.bincount(owner, minlength=len(size)).astype(np.int64) + 1
+
+
+class Scorer:
+    """Logits of whole Arrow arrays: words are told apart by their hashes, and each distinct word of a slab is looked up
+    once, or worked out if the worker has not met it."""
+
+    def __init__(self, model: Model):
+        self.model, self.place, self.total, self.size = model, {}, array("d"), array("q")
+
+    def _look_up(self, hashes: np.ndarray, words: Words, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Sum of logits and number of features of distinct words; ``first`` is where each one occurs."""
+        if len(self.place) + len(hashes) > WORDS:
+            self.place, self.total, self.size = {}, array("d"), array("q")
+        keys = hashes.tolist()
+        fresh = np.fromiter((k not in self.place for k in keys), bool, len(keys))
+        if fresh.any():
+            self.place |= zip(hashes[fresh].tolist(), range(len(self.total), len(self.total) + int(fresh.sum())))
+            total, size = summed_features(self.model.logit, words.data, words.start[first[fresh]], words.end[first[fresh]])
+            self.total.frombytes(total.tobytes())
+            self.size.frombytes(size.tobytes())
+        at = np.fromiter(map(self.place.__getitem__, keys), np.int64, len(keys))
+        return np.array(self.total)[at], np.array(self.size)[at]
+
+    def logits(self, texts: pa.Array) -> np.ndarray:
+        w = words_of(texts)
+        z = np.full(len(texts), self.model.bias)
+        if not len(w.hash):
+            return z
+        hashes, first, inverse = np.unique(w.hash, return_index=True, return_inverse=True)
+        total, size = self._look_up(hashes, w, first)
+        same = np.zeros(len(w.hash), bool)  # whether the next word of the text is the same
+        same[:-1] = w.hash[1:] == w.hash[:-1]
+        some = w.counts() > 0
+        same[w.first[1:][some] - 1] = False
+        sums = lambda v: np.diff(np.concatenate([[0], np.cumsum(v)])[w.first])
+        again = 10 * sums(same.astype(np.int64))
+        n = sums(size[inverse]) + again
+        z[some] += (sums(total[inverse])[some] + again[some] * self.model.logit[REPEAT]) / n[some]
+        return z
+
+
+_SCORERS: list[tuple[Model, Scorer]] = []
+
+
+def _scorer(model: Model) -> Scorer:
+    """The worker's scorer of the model, kept from task to task."""
+    if not _SCORERS or _SCORERS[0][0] is not model and not _SCORERS[0][0].equals(model):
+        _SCORERS[:] = [(model, Scorer(model))]
+    return _SCORERS[0][1]
+
+
 def train(rows: list[tuple[str, int]], epochs: int = 6, rate: float = 0.5, seed: int = 7) -> Model:
     """Fit embeddings and softmax layer by SGD, one document at a time in a shuffled order. The rows' buckets and counts lie
     one after another in two arrays of 2 and 4 bytes an entry."""
@@ -138,32 +230,11 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
         name += "_"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = sent.value
-        known: dict[str, tuple[float, int]] = {}
-
-        def terms(word: str) -> tuple[float, int]:
-            if (out := known.get(word)) is None:
-                f = word_features(word)
-                out = float(model.logit[f].sum()), len(f)
-                if len(known) >= WORDS:
-                    known.clear()
-                known[word] = out
-            return out
-
+        scorer = _scorer(sent.value)
         for b in batches:
             for t in slabs(b, name):
-                z = np.full(t.num_rows, model.bias)
-                for i, text in enumerate(text_of(t, name).to_pylist()):
-                    words = (text or "").split()
-                    if words:
-                        r = 10 * repeats(words)
-                        total, n = r * model.logit[REPEAT], r
-                        for x, m in map(terms, words):
-                            total += x
-                            n += m
-                        z[i] += total / n
-                out = [text_of(t, c) for c in columns] + [pa.array(1 / (1 + np.exp(-z)))]
-                yield pa.RecordBatch.from_arrays(out, [*columns, "score"])
+                scores = 1 / (1 + np.exp(-scorer.logits(text_of(t, name))))
+                yield pa.RecordBatch.from_arrays([text_of(t, c) for c in columns] + [pa.array(scores)], [*columns, "score"])
 
     kept = docs.select(*columns, F.col(text_col).cast("string").alias(name))
     fields = [kept.schema[c] for c in columns]

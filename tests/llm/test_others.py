@@ -230,3 +230,25 @@ def test_pipeline_decides_by_row(spark, tmp_path):
     assert len(found) == 8
     left = corpus_pipeline.decontamination(spark, docs, str(tmp_path)).collect()
     assert sorted(map(str, ((x.doc_id, x.text) for x in left))) == sorted(str(x) for x in rows if item not in (x[1] or ""))
+
+
+def test_quality_features_at_once():
+    """Slab-wise scores equal those of single texts, for awkward words, repeats and words met before."""
+    import numpy as np
+    import pyarrow as pa
+
+    from sigfield.llm.quality import BUCKETS, Model, Scorer, summed_features, word_features
+
+    model = Model(np.random.default_rng(3).normal(size=BUCKETS), 0.3)
+    texts = ["a", "aaaa aaaa", "é 漢字 😀", " x\ty\n", None, "", "word " * 50, "nbsp joined", "x" * 3000, "the the cat the", "\x00 \x1c"] * 2
+    scorer = Scorer(model)
+    want = [model.score(t or "") for t in texts]
+    for _ in range(2):
+        got = 1 / (1 + np.exp(-scorer.logits(pa.array(texts, pa.string()))))
+        assert np.allclose(got, want, atol=1e-12)
+    assert not len(scorer.logits(pa.array([], pa.string())))
+    raw = np.frombuffer("abab naïve b".encode(), np.uint8)
+    total, size = summed_features(model.logit, raw, np.array([0, 5, 12]), np.array([4, 11, 13]))
+    for t, n, w in zip(total, size, ("abab", "naïve", "b")):
+        f = word_features(w)
+        assert n == len(f) and abs(t - model.logit[f].sum()) < 1e-9
