@@ -126,7 +126,7 @@ def test_survey_fitted_without_scale(spark):
 
 def test_survey_fitted_by_scale(spark):
     walk = [(i, i * 24 / 39, i * 18 / 39, "survey", -50.0, None) for i in range(40)]
-    rows = _surveyed(spark, [*walk, (40, 36600000.123456, 36600000.123456, "survey", -50.0, None), (41, 25.0, 26.0, "pixel", None, -60.0), (42, None, 1.0, "survey", -61.0, None)])
+    rows = _surveyed(spark, [*walk, (40, 36600000.123456, 36600000.123456, "survey", -50.0, None), (41, 25.0, 25.0, "pixel", None, -60.0), (42, None, 1.0, "survey", -61.0, None)])
     out, issues = place.fit_survey(rows, 560.0, 420.0, 20.0, ["g"])
     got = sorted(out.collect(), key=lambda r: r.row_idx)
     assert issues.count() == 0
@@ -134,7 +134,7 @@ def test_survey_fitted_by_scale(spark):
     assert math.isclose(max(r.x for r in placed) - min(r.x for r in placed), 480, abs_tol=5) and math.isclose(max(r.y for r in placed) - min(r.y for r in placed), 360, abs_tol=5)
     assert [(r.point_id, r.x, r.y, r.coordinate_kind) for r in got if r.row_idx >= 40] == [("S40", None, None, None), ("S42", None, 1.0, "survey")]
     first = got[0]  # the pixel row falls into the first cell
-    assert (first.point_id, first.x, first.y, first.rssi_24ghz, first.rssi_5ghz) == ("P1", 24.5, 25.0, -50.0, -60.0)
+    assert (first.point_id, first.x, first.y, first.rssi_24ghz, first.rssi_5ghz) == ("P1", 24.5, 24.5, -50.0, -60.0)
     _, issues = place.fit_survey(_surveyed(spark, walk[::2]), 100.0, 100.0, 20.0, ["g"])
     assert [r.code for r in issues.collect()] == ["csv_survey_out_of_bounds"]
     plain = _surveyed(spark, [(1, 5.0, 6.0, "pixel", None, None)])
