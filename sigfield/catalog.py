@@ -304,11 +304,27 @@ def connected_regions(spark, d):
     return raster.component_stats(raster.connected(_mask(spark, d), 125, "layer"), "layer")
 
 
-@query()
+# a stack of corners for each band and half, that pops while the turn is not to the left
+_HULL = with_views("readings", "bins").replace("WITH ", "WITH RECURSIVE ", 1)[:-1] + """, hp AS (SELECT band, 1 AS side, x, y, row_number() OVER (PARTITION BY band ORDER BY x, y) AS k, count(*) OVER (PARTITION BY band) AS n FROM bins UNION ALL SELECT band, 2, x, y, row_number() OVER (PARTITION BY band ORDER BY x DESC, y DESC), count(*) OVER (PARTITION BY band) FROM bins),
+hs AS (SELECT band, side, k, n, [{'x': x, 'y': y}] AS m FROM hp WHERE k = 1 UNION ALL SELECT band, side, CASE WHEN pop THEN k ELSE k+1 END, n, CASE WHEN pop THEN m[:len(m)-1] ELSE list_append(m, p) END
+FROM (SELECT s.band, s.side, s.k, s.n, s.m, {'x': q.x, 'y': q.y} AS p, len(m) > 1 AND (m[-1].x-m[-2].x)*(q.y-m[-2].y)-(m[-1].y-m[-2].y)*(q.x-m[-2].x) <= 0 AS pop FROM hs s JOIN hp q ON q.band=s.band AND q.side=s.side AND q.k=s.k+1)),
+ht AS (SELECT band, side, m FROM hs WHERE k = n QUALIFY row_number() OVER (PARTITION BY band, side ORDER BY len(m)) = 1),
+hull AS MATERIALIZED (SELECT band, row_number() OVER (PARTITION BY band ORDER BY side, j)-1 AS i, c.x AS x, c.y AS y FROM (SELECT band, side, unnest(m[:len(m)-1]) AS c, generate_subscripts(m[:len(m)-1], 1) AS j FROM ht))"""
+
+
+@query(_HULL + " SELECT band, CAST(i AS INT) AS i, x, y FROM hull")
 def survey_hull(spark, d):
     return raster.convex_hull(_bins(spark, d).select("band", "x", "y"), "band")
 
 
+@query(_HULL + """, hc AS (SELECT band, count(*) AS n, avg(x) AS mx, avg(y) AS my FROM hull GROUP BY band), he AS (SELECT band, i, n, mx+(x-mx)*(1+60/sqrt((x-mx)**2+(y-my)**2)) AS x, my+(y-my)*(1+60/sqrt((x-mx)**2+(y-my)**2)) AS y FROM hull JOIN hc USING (band)),
+cr AS (SELECT a.band, g.i AS gy, a.x+(g.i-a.y)/(b.y-a.y)*(b.x-a.x) AS at_x FROM he a JOIN he b ON a.band=b.band AND b.i=(a.i+1)%a.n, range(600) g(i) WHERE (a.y <= g.i AND b.y > g.i) OR (b.y <= g.i AND a.y > g.i))
+SELECT band, CAST(gy AS INT) AS gy, CAST(greatest(0, floor(min(at_x))) AS INT) AS x0, CAST(least(999, ceil(max(at_x))) AS INT) AS x1 FROM cr GROUP BY band, gy""")
+def survey_hull_mask(spark, d):
+    inner = _bins(spark, d).select("band", "x", "y")
+    return raster.hull_mask(raster.convex_hull(inner, "band"), "band", 1000, 600, 60.0)
+
+
 @query()
 def non_max_suppression(spark, d):
     return raster.suppress(_bins(spark, d).select("band", "x", "y", F.col("rssi").alias("score")), "band", 60.0, 40)

@@ -2,7 +2,7 @@
 
 Kernels, dilation, difference and prefix sums are equi-joins on offsets, aggregates and windows. Labels
 of connected cells come from the links between neighbours, whatever the raster's size, and suppression goes in
-rounds of local winners. Hulls take one layer's few candidates at a time.
+rounds of local winners. Hulls are taken of shares of a layer's points first, then of their corners.
 """
 
 from __future__ import annotations
@@ -142,28 +142,58 @@ def runs(cells: DataFrame, by: list[str], gap: int = 1) -> DataFrame:
     return numbered.groupBy(*by, "gy", "run").agg(F.min("gx").alias("x0"), F.max("gx").alias("x1"), F.count(F.lit(1)).alias("n"))
 
 
-def convex_hull(points: DataFrame, by: str) -> DataFrame:
-    """Corners of each group's hull, counter-clockwise from the leftmost. Only the lowest and highest
-    point of each x go into a group."""
-    top = points.groupBy(by, "x").agg(F.min("y").alias("lo"), F.max("y").alias("hi"))
-    flat = top.select(by, "x", F.explode(F.array_distinct(F.array("lo", "hi"))).alias("y"))
+HULL_SHARES = 64
 
-    def hull(t: pd.DataFrame) -> pd.DataFrame:
-        p = sorted(set(zip(t["x"], t["y"])))
 
-        def half(points):
-            out = []
-            for q in points:
-                while len(out) > 1 and (out[-1][0] - out[-2][0]) * (q[1] - out[-2][1]) - (out[-1][1] - out[-2][1]) * (q[0] - out[-2][0]) <= 0:
-                    out.pop()
-                out.append(q)
-            return out
+def convex_hull(points: DataFrame, by: str) -> DataFrame:
+    """Corners (by, i, x, y) of each group's hull, counter-clockwise from the leftmost, then lowest; fewer than three points are
+    given as they are.
 
-        ring = half(p)[:-1] + half(p[::-1])[:-1] if len(p) > 2 else p
-        return pd.DataFrame({by: [t[by].iloc[0]] * len(ring), "i": range(len(ring)), "x": [q[0] for q in ring], "y": [q[1] for q in ring]})
+    Only the lowest and highest point of each x matter. They are dealt into shares of a group, and each share's hull is
+    taken by itself; the last step sees the corners of HULL_SHARES hulls, however many points there are."""
+    from sigfield.runtime import ship
 
+    ship(points.sparkSession)
+    top = points.groupBy(by, "x").agg(F.min("y").alias("lo"), F.max("y").alias("hi"))
+    flat = top.select(by, "x", F.explode(F.array_distinct(F.array("lo", "hi"))).alias("y"), F.pmod(F.xxhash64("x"), F.lit(HULL_SHARES)).alias("share"))
     kind = points.schema[by].dataType.simpleString()
-    return flat.groupBy(by).applyInPandas(hull, f"{by} {kind}, i int, x double, y double")
+    shares = flat.groupBy(by, "share").applyInPandas(lambda t: _hull_of(t, by), f"{by} {kind}, i int, x double, y double")
+    return shares.groupBy(by).applyInPandas(lambda t: _hull_of(t, by), f"{by} {kind}, i int, x double, y double")
+
+
+def _hull_of(t: pd.DataFrame, by: str) -> pd.DataFrame:
+    p = sorted(set(zip(t["x"], t["y"])))
+
+    def half(points):
+        out = []
+        for q in points:
+            while len(out) > 1 and (out[-1][0] - out[-2][0]) * (q[1] - out[-2][1]) - (out[-1][1] - out[-2][1]) * (q[0] - out[-2][0]) <= 0:
+                out.pop()
+            out.append(q)
+        return out
+
+    ring = half(p)[:-1] + half(p[::-1])[:-1] if len(p) > 2 else p
+    return pd.DataFrame({by: [t[by].iloc[0]] * len(ring), "i": range(len(ring)), "x": [q[0] for q in ring], "y": [q[1] for q in ring]})
+
+
+def hull_mask(hull: DataFrame, by: str, width: int, height: int, margin: float) -> DataFrame:
+    """Runs (by, gy, x0, x1) of the pixels within each hull of three corners or more, whose corners are moved away from their
+    mean by the margin: every scanline is filled between its crossings with the outline."""
+    centre = hull.groupBy(by).agg(F.count(F.lit(1)).alias("n"), F.avg("x").alias("mx"), F.avg("y").alias("my")).where("n > 2")
+    t = hull.join(centre, by)
+    d = F.hypot(F.col("x") - F.col("mx"), F.col("y") - F.col("my"))
+    f = F.when(d < 1, 1.0).otherwise(F.lit(1.0) + F.lit(float(margin)) / F.nullif(d, F.lit(0.0)))
+    moved = t.select(by, "i", "n", (F.col("mx") + (F.col("x") - F.col("mx")) * f).alias("x"), (F.col("my") + (F.col("y") - F.col("my")) * f).alias("y"))
+    after = moved.select(by, F.pmod(F.col("i") - 1, F.col("n")).cast("int").alias("i"), F.col("x").alias("x2"), F.col("y").alias("y2"))
+    sides = moved.join(after, [by, "i"])
+    low, high = F.least("y", "y2"), F.greatest("y", "y2")
+    line = F.explode(F.sequence(F.greatest(F.lit(0), F.ceil(low)).cast("int"), F.least(F.lit(height - 1), F.ceil(high) - 1).cast("int")))
+    crossed = sides.where((F.greatest(F.lit(0), F.ceil(low)) <= F.least(F.lit(height - 1), F.ceil(high) - 1))).withColumn("gy", line)
+    at = crossed.select(by, "gy", (F.col("x") + (F.col("gy") - F.col("y")) / (F.col("y2") - F.col("y")) * (F.col("x2") - F.col("x"))).alias("at"))
+    lines = at.groupBy(by, "gy").agg(F.array_sort(F.collect_list("at")).alias("at"))  # a few crossings of one line
+    pairs = lines.select(by, "gy", F.explode(F.transform(F.sequence(F.lit(0), F.floor(F.size("at") / 2) - 1), lambda k: F.struct(F.get("at", (k * 2).cast("int")).alias("a"), F.get("at", (k * 2 + 1).cast("int")).alias("b")))).alias("p"))
+    cut_to = pairs.select(by, "gy", F.greatest(F.lit(0), F.floor("p.a")).cast("int").alias("x0"), F.least(F.lit(width - 1), F.ceil("p.b")).cast("int").alias("x1"))
+    return cut_to.where("x0 <= x1")
 
 
 def suppress(candidates: DataFrame, by: str, least: float, most: int) -> DataFrame:

@@ -200,3 +200,32 @@ def test_house_falls_back_to_the_footprint(spark):
     assert not house[3].any()
     none = regions.obstacle_masks(pixels.where("plan = 3"), plans, regions.house_masks(pixels, plans))
     assert none.count() == 0
+
+
+def test_hull_and_mask(spark):
+    from sigfield.operators import raster
+
+    rng = np.random.default_rng(8)
+    points = [(g, float(x), float(y)) for g in (1, 2) for x, y in rng.integers(10, 50, (200, 2))] + [(3, 1.0, 1.0), (3, 5.0, 5.0), (4, 0.0, 0.0), (4, 4.0, 0.0), (4, 8.0, 0.0), (4, 0.0, 9.0), (4, 1.0, 2.0)]
+    hull = raster.convex_hull(spark.createDataFrame(points, "g int, x double, y double").repartition(4), "g")
+    got = {}
+    for r in hull.orderBy("g", "i").collect():
+        got.setdefault(r.g, []).append((r.x, r.y))
+    assert got[4] == [(0.0, 0.0), (8.0, 0.0), (0.0, 9.0)] and got[3] == [(1.0, 1.0), (5.0, 5.0)]
+    turn = lambda a, b, c: (b[0] - a[0]) * (c[1] - a[1]) - (b[1] - a[1]) * (c[0] - a[0])
+    for g in (1, 2):
+        ring = got[g]
+        assert ring[0] == min(ring) and all(turn(ring[i - 2], ring[i - 1], ring[i]) > 0 for i in range(len(ring)))
+        assert all(turn(ring[i - 1], ring[i], (x, y)) >= 0 for i in range(len(ring)) for k, x, y in points if k == g)
+    mask = {}
+    for r in raster.hull_mask(hull, "g", 60, 40, 3.0).collect():
+        mask.setdefault(r.g, {})[r.gy] = (r.x0, r.x1)
+    assert set(mask) == {1, 2, 4} and max(mask[1]) == 39
+    for g in (1, 2, 4):
+        ring = got[g]
+        cx, cy = sum(p[0] for p in ring) / len(ring), sum(p[1] for p in ring) / len(ring)
+        wide = [(cx + (x - cx) * f, cy + (y - cy) * f) for x, y in ring for f in [1 + 3 / np.hypot(x - cx, y - cy)]]
+        for y in range(40):
+            xs = [a[0] + (y - a[1]) / (b[1] - a[1]) * (b[0] - a[0]) for a, b in zip(wide, wide[1:] + wide[:1]) if (a[1] <= y < b[1]) or (b[1] <= y < a[1])]
+            want = (max(0, int(np.floor(min(xs)))), min(59, int(np.ceil(max(xs))))) if xs else None
+            assert mask[g].get(y) == want
