@@ -262,9 +262,18 @@ def alias_merge(spark, d):
     return spatial.alias_join(points, rows, S.point_id_aliases, "key", "name")
 
 
-@query("SELECT doc_id, CASE WHEN TRY_CAST(nullif(regexp_extract(text, '1\\s*[:/]\\s*([0-9]{1,5})', 1), '') AS INT) BETWEEN 1 AND 10000 THEN TRY_CAST(nullif(regexp_extract(text, '1\\s*[:/]\\s*([0-9]{1,5})', 1), '') AS INT) END AS scale FROM documents")
+#: Texts of plans: a name, a scale, an area and a size, each in some of them
+_PLAN_TEXT = "concat('Planta ', p_name, CASE WHEN p_partkey%3<>0 THEN concat(' escala 1 : ', CAST(p_size*25 AS VARCHAR(9))) ELSE '' END, CASE WHEN p_partkey%4<>0 THEN concat(' area ', CAST(p_size AS VARCHAR(9)), CASE WHEN p_partkey%2=0 THEN ',5' ELSE '' END, ' M2') ELSE '' END, CASE WHEN p_partkey%5<>0 THEN concat(' ', CAST(p_partkey%1200 AS VARCHAR(9)), ',25 X 8.5 m') ELSE '' END, CASE p_partkey%6 WHEN 0 THEN ' SALA DE ESTAR, Quarto 2' WHEN 1 THEN ' Suíte; bwc' WHEN 2 THEN ' área de serviço' ELSE ' Hall' END)"
+_ROOM_SQL = ", ".join(f"CASE WHEN contains(lower(t), '{w}') THEN '{w[0].upper() + w[1:]}' END" for w in S.ROOM_WORDS)
+_NUMBER_SQL = "TRY_CAST(replace(nullif({}, ''), ',', '.') AS DOUBLE)"
+_SIDE_SQL = [_NUMBER_SQL.format(f"regexp_extract(t, '([0-9]+[,.][0-9]+)\\s*[xX×]\\s*([0-9]+[,.][0-9]+)', {k})") for k in (1, 2)]
+
+
+@query(f"""WITH p AS (SELECT p_partkey, {_PLAN_TEXT} AS t FROM part), m AS (SELECT p_partkey, '1:' || nullif(regexp_extract(t, '1\\s*[:/]\\s*([0-9]+)', 1), '') AS scale, {_NUMBER_SQL.format("regexp_extract(t, '([0-9]+[,.]?[0-9]*)\\s*[mM][²2]', 1)")} AS area, {_SIDE_SQL[0]} AS w, {_SIDE_SQL[1]} AS h,
+array_to_string(list_filter([{_ROOM_SQL}], lambda r: r IS NOT NULL), ', ') AS rooms FROM p) SELECT p_partkey, scale, CASE WHEN area > 0 THEN area END AS area_m2, CASE WHEN w > 0 AND h > 0 AND w < 1000 AND h < 1000 THEN w END AS width_m, CASE WHEN w > 0 AND h > 0 AND w < 1000 AND h < 1000 THEN h END AS height_m, rooms FROM m""")
 def text_measurements(spark, d):
-    return _table(spark, d, "documents").select("doc_id", S.plan_scale(F.col("text")).alias("scale"))
+    said = _table(spark, d, "part").select("p_partkey", S.text_measures(F.expr(_PLAN_TEXT)).alias("m"))
+    return said.select("p_partkey", "m.scale", "m.area_m2", "m.width_m", "m.height_m", F.array_join("m.rooms", ", ").alias("rooms"))
 
 
 def _mask(spark: SparkSession, d: str) -> DataFrame:
@@ -330,9 +339,19 @@ def non_max_suppression(spark, d):
     return raster.suppress(_bins(spark, d).select("band", "x", "y", F.col("rssi").alias("score")), "band", 60.0, 40)
 
 
-@query("SELECT n_nationkey || ',' || n_name || ',' || n_regionkey AS line FROM nation")
+_EXPORT = "CASE row_idx%4 WHEN 0 THEN concat('P', CAST(row_idx AS VARCHAR(20))) WHEN 1 THEN concat('sala \"', CAST(row_idx AS VARCHAR(20)), '\"') WHEN 2 THEN concat('a,', CAST(row_idx AS VARCHAR(20)), ';b') ELSE concat('two', chr(10), 'lines') END AS point_id, CASE WHEN row_idx%5=0 THEN NULL ELSE x+CAST(0.004 AS DOUBLE) END AS x_px, y AS y_px, CASE WHEN band='24ghz' THEN floor(rssi)*CAST(1 AS DOUBLE) END AS rssi_24ghz, CASE WHEN band='5ghz' THEN floor(rssi*2)/2 END AS rssi_5ghz, CAST(NULL AS DOUBLE) AS rssi_6ghz, CAST(row_idx%7 AS DOUBLE) AS distance_m, ssid AS timestamp"
+
+
+def _cell_sql(c: str, number: bool) -> str:
+    if number:
+        return f"coalesce(CASE WHEN {c} = floor({c}) THEN CAST(CAST({c} AS BIGINT) AS VARCHAR) ELSE CAST({c} AS VARCHAR) END, '')"
+    return f"""CASE WHEN regexp_matches({c}, '[",\n;]') THEN '"' || replace({c}, '"', '""') || '"' ELSE coalesce({c}, '') END"""
+
+
+@query(with_views("readings") + f", e AS (SELECT row_idx, {_EXPORT} FROM readings), q AS (SELECT * REPLACE (floor(x_px*100+0.5)/100 AS x_px, floor(y_px*100+0.5)/100 AS y_px) FROM e) SELECT row_idx, " + " || ',' || ".join(_cell_sql(c, c not in ("point_id", "timestamp")) for c in sinks.CSV_COLUMNS) + " AS line FROM q")
 def export_csv_rows(spark, d):
-    return sinks.csv_lines(_table(spark, d, "nation"), ("n_nationkey", "n_name", "n_regionkey"))
+    points = spark.sql("SELECT row_idx, " + _EXPORT + " FROM {readings}", readings=V.readings(spark, d))
+    return sinks.csv_lines(points, key="row_idx")
 
 
 @query("""SELECT '{"r_regionkey":' || r_regionkey || ',"r_name":"' || r_name || '"}' AS json FROM region""")

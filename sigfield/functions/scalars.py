@@ -124,12 +124,38 @@ def coordinate_key(x: Column, y: Column) -> Column:
     return F.when(x.isNotNull() & y.isNotNull(), F.format_string("coord:%.6f:%.6f", x, y))
 
 
+def plain_number(v: Column) -> Column:
+    """A number as text, whole ones without a fraction; null if it is null."""
+    whole = (v == F.floor(v)) & (F.abs(v) < 1e15)
+    return F.when(whole, v.cast("long").cast("string")).otherwise(v.cast("string"))
+
+
 def csv_value(v: Column) -> Column:
     """A CSV cell, quoted where it needs to be; null is empty."""
     s = F.coalesce(v.cast("string"), F.lit(""))
     return F.when(s.rlike('[",\\n;]'), F.concat(F.lit('"'), F.replace(s, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(s)
 
 
+# fixed values: words for rooms, in the order in which a plan's text is searched
+ROOM_WORDS = (
+    "sala de estar", "sala de jantar", "sala", "quarto", "dormitório", "dormitorio", "suíte", "suite", "banheiro", "lavabo", "wc", "bwc", "cozinha", "copa", "despensa",
+    "lavanderia", "área de serviço", "area de servico", "garagem", "varanda", "sacada", "corredor", "hall", "circulação", "circulacao", "escritório", "escritorio", "closet",
+)
+
+
+def text_measures(text: Column) -> Column:
+    """What a plan's text states: scale (1:N as it stands), area_m2, width_m and height_m of the first size below 1000 m a side,
+    and the rooms that it names, each with a capital. What is not stated is null; rooms may be empty."""
+    n = F.nullif(F.regexp_extract(text, r"1\s*[:/]\s*(\d+)", 1), F.lit(""))
+    size = r"(\d+[,.]\d+)\s*[xX×]\s*(\d+[,.]\d+)"
+    wide, high = (parse_positive(F.regexp_extract(text, size, k)) for k in (1, 2))
+    fits = (wide < 1000) & (high < 1000)
+    low = F.lower(text)
+    rooms = F.array_compact(F.array(*(F.when(low.contains(r), r[0].upper() + r[1:]) for r in ROOM_WORDS)))
+    area = parse_positive(F.regexp_extract(text, r"(?i)(\d+[,.]?\d*)\s*m[²2]", 1))
+    return F.struct(F.concat(F.lit("1:"), n).alias("scale"), area.alias("area_m2"), F.when(fits, wide).alias("width_m"), F.when(fits, high).alias("height_m"), rooms.alias("rooms"))
+
+
 def plan_scale(text: Column) -> Column:
     """N of a drawing scale 1:N, from 1 to 10000."""
     n = F.regexp_extract(text, r"1\s*[:/]\s*([0-9]{1,5})", 1).try_cast("int")
@@ -145,6 +171,7 @@ def plan_area(text: Column) -> Column:
     return parse_positive(F.regexp_extract(text, r"([0-9]+(?:[.,][0-9]+)?)\s*m(?:²|2)", 1))
 
 
+# fixed values: names of wall materials
 MATERIALS = ("drywall", "glass", "wood", "brick", "concrete", "reinforced_concrete", "stone", "metal")
 
 
