@@ -10,6 +10,7 @@ from sigfield.functions import rf, scores
 from sigfield.functions import scalars as S
 from sigfield.operators import coverage, ingest, interpolate, place, raster, rules, spatial
 from sigfield.plans import drawings as _drawings  # noqa: F401  registers its queries
+from sigfield.plans import layers as _layers  # noqa: F401
 from sigfield.plans import points as _points  # noqa: F401
 from sigfield.plans import radio as _radio  # noqa: F401
 from sigfield.plans import rasters as _rasters  # noqa: F401
@@ -153,10 +154,10 @@ _SHARE = lambda c: f"count(*) FILTER ({c})*CAST(100 AS DOUBLE)/count(*)"  # noqa
 
 
 @query(with_views("readings", "rooms") + f""", r AS (SELECT row_idx, band, x, y, rssi, {_CLASS} AS c, min(room_id) AS room_id FROM readings JOIN rooms ON (ry0 > y) <> (ry1 > y) AND x < rx1 AND NOT x < rx0 GROUP BY ALL),
-a AS (SELECT room_id, band, count(*) AS n, min(rssi) AS lo, max(rssi) AS hi, {_half(_mean('rssi'), 1)} AS avg_rssi, {_half(_mean('x'), 1)} AS cx, {_half(_mean('y'), 1)} AS cy, {_SHARE('rssi >= -67')} AS cov, {_SHARE('rssi < -75')} AS wk, {_SHARE('rssi <= -85')} AS dd,
+a AS (SELECT room_id, band, count(*) AS n, min(rssi) AS lo, max(rssi) AS hi, {_half(_mean('rssi'), 1)} AS avg_rssi, {_half(_mean('x'), 1)} AS cx, {_half(_mean('y'), 1)} AS cy, {_half(_SHARE('rssi >= -67'), 1)} AS cov, {_half(_SHARE('rssi < -75'), 1)} AS wk, {_half(_SHARE('rssi <= -85'), 1)} AS dd,
 {', '.join(_half(_SHARE(f"c = '{k}'"), 1) + f' AS {k}_pct' for k in coverage.CLASSES)} FROM r GROUP BY room_id, band),
 b AS (SELECT *, {_half("least(greatest((avg_rssi+90)/60*100,0),100)*CAST(0.46 AS DOUBLE)+cov*CAST(0.42 AS DOUBLE)+(100-dd)*CAST(0.12 AS DOUBLE)", 1)} AS channel_quality FROM a)
-SELECT room_id, band, n, {_half("n*CAST(1 AS DOUBLE)", 2)} AS area_m2, {_half('lo', 1)} AS min_rssi, {_half('hi', 1)} AS max_rssi, avg_rssi, cx, cy, {_half('cov', 1)} AS coverage_pct, {_half('dd', 1)} AS dead_pct, excellent_pct, good_pct, fair_pct, weak_pct, b.dead_pct AS dead_class_pct,
+SELECT room_id, band, n, {_half("n*CAST(1 AS DOUBLE)", 2)} AS area_m2, {_half('lo', 1)} AS min_rssi, {_half('hi', 1)} AS max_rssi, avg_rssi, cx, cy, cov AS coverage_pct, dd AS dead_pct, excellent_pct, good_pct, fair_pct, weak_pct, b.dead_pct AS dead_class_pct,
 CASE WHEN avg_rssi >= -45 THEN 940 WHEN avg_rssi >= -55 THEN 720 WHEN avg_rssi >= -65 THEN 420 WHEN avg_rssi >= -72 THEN 190 WHEN avg_rssi >= -80 THEN 55 ELSE 8 END AS throughput_mbps,
 {_half("least(80, CASE WHEN avg_rssi >= -55 THEN 0 ELSE abs(avg_rssi+55)*CAST(0.28 AS DOUBLE) END+CAST(4.2 AS DOUBLE)+wk*CAST(0.05 AS DOUBLE)+dd*CAST(0.14 AS DOUBLE))", 1)} AS latency_ms, channel_quality,
 {_half("least(100, cov*CAST(0.72 AS DOUBLE)+channel_quality*CAST(0.28 AS DOUBLE))", 1)} AS roaming FROM b""")
@@ -313,12 +314,7 @@ def connected_regions(spark, d):
     return raster.component_stats(raster.connected(_mask(spark, d), 125, "layer"), "layer")
 
 
-# a stack of corners for each band and half, that pops while the turn is not to the left
-_HULL = with_views("readings", "bins").replace("WITH ", "WITH RECURSIVE ", 1)[:-1] + """, hp AS (SELECT band, 1 AS side, x, y, row_number() OVER (PARTITION BY band ORDER BY x, y) AS k, count(*) OVER (PARTITION BY band) AS n FROM bins UNION ALL SELECT band, 2, x, y, row_number() OVER (PARTITION BY band ORDER BY x DESC, y DESC), count(*) OVER (PARTITION BY band) FROM bins),
-hs AS (SELECT band, side, k, n, [{'x': x, 'y': y}] AS m FROM hp WHERE k = 1 UNION ALL SELECT band, side, CASE WHEN pop THEN k ELSE k+1 END, n, CASE WHEN pop THEN m[:len(m)-1] ELSE list_append(m, p) END
-FROM (SELECT s.band, s.side, s.k, s.n, s.m, {'x': q.x, 'y': q.y} AS p, len(m) > 1 AND (m[-1].x-m[-2].x)*(q.y-m[-2].y)-(m[-1].y-m[-2].y)*(q.x-m[-2].x) <= 0 AS pop FROM hs s JOIN hp q ON q.band=s.band AND q.side=s.side AND q.k=s.k+1)),
-ht AS (SELECT band, side, m FROM hs WHERE k = n QUALIFY row_number() OVER (PARTITION BY band, side ORDER BY len(m)) = 1),
-hull AS MATERIALIZED (SELECT band, row_number() OVER (PARTITION BY band ORDER BY side, j)-1 AS i, c.x AS x, c.y AS y FROM (SELECT band, side, unnest(m[:len(m)-1]) AS c, generate_subscripts(m[:len(m)-1], 1) AS j FROM ht))"""
+_HULL = with_views("readings", "bins").replace("WITH ", "WITH RECURSIVE ", 1)[:-1] + ", " + V.HULL_SQL
 
 
 @query(_HULL + " SELECT band, CAST(i AS INT) AS i, x, y FROM hull")

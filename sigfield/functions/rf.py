@@ -64,9 +64,15 @@ def obstacle_loss_db(material: Column, band: Column, runs: Column, blocked: Colu
     return runs * base * (F.lit(0.44) + of_material(material, 2) * 0.22) + F.least(F.lit(12.0), blocked / F.greatest(px_per_m, F.lit(1.0)) * base * (F.lit(0.28) + of_material(material, 1) * 0.18))
 
 
+def shadow_db(wall_db: Column, band: Column) -> Column:
+    """Shadow behind walls of a loss."""
+    wall = F.greatest(wall_db, F.lit(0.0))
+    return F.least(F.lit(18.0), wall * 0.18 * of_band(band, 3) + F.sqrt(wall) * 0.45)
+
+
 def propagation_loss_db(d_m: Column, wall_db: Column, band: Column) -> Column:
     wall = F.greatest(wall_db, F.lit(0.0))
-    shadow = F.least(F.lit(18.0), wall * 0.18 * of_band(band, 3) + F.sqrt(wall) * 0.45)
+    shadow = shadow_db(wall, band)
     credit = F.when(wall > 0, F.least(wall * 0.18, of_band(band, 4) * F.sqrt(d_m + 1))).otherwise(F.lit(0.0))
     return distance_decay_db(d_m, band) + wall + shadow - credit
 
@@ -88,7 +94,7 @@ def predicted_rssi(d_m: Column, band: Column, signal_dbm: Column, gain_db: Colum
     gain = clamp(gain_db, 0.0, 12.0)
     reach = clamp(radius_m, 4.0, 120.0)
     wall = F.greatest(wall_db, F.lit(0.0))
-    shadow = F.least(F.lit(18.0), wall * 0.18 * of_band(band, 3) + F.sqrt(wall) * 0.45)
+    shadow = shadow_db(wall, band)
     credit = F.when(wall > 0, F.least(wall * 0.18, of_band(band, 4) * F.sqrt(d_m + 1))).otherwise(F.lit(0.0))
     log_loss = of_band(band, 5) + of_band(band, 6) * 10 * F.log10(F.greatest(d_m, F.lit(1.0)))
     beyond = smoothstep(reach * 0.82, reach * 1.35, d_m) * 18

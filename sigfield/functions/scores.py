@@ -69,10 +69,10 @@ def rssi_color(rssi: Column) -> Column:
     return F.struct(*(mixed(k).alias(n) for k, n in enumerate("rgb")))
 
 
-def painted(cells: DataFrame) -> DataFrame:
+def painted(cells: DataFrame, dead: float = -85) -> DataFrame:
     """Colour and opacity (r, g, b, a) of a layer's visible cells (rssi, alpha, shadow)."""
     v = F.col("rssi")
-    lift = F.when(v <= -85, 0.06).otherwise(0.0) + F.when(v <= -82, 0.08).otherwise(0.0)
+    lift = F.when(v <= dead, 0.06).otherwise(0.0) + F.when(v <= -82, 0.08).otherwise(0.0)
     opacity = clamp(F.lit(0.74) + F.col("alpha") * 0.22 + lift - F.col("shadow") * 0.04, 0.0, 0.98)
     shown = cells.where("alpha > 0.025").withColumn("c", rssi_color(contour_rssi(v)))
     # rounded to nine digits first, so that the last bit doesn't decide a half

@@ -27,23 +27,23 @@ def region_stats(cells: DataFrame, by: list[str], cell_px: float, px_per_m: floa
     v, kind = F.col("rssi"), scores.quality_class(F.col("rssi"), coverage, weak, dead)
     out = cells.groupBy(*by).agg(
         F.count(F.lit(1)).alias("n"), F.min(v).alias("lo"), F.max(v).alias("hi"), exact_mean(v).alias("mean"), round_half_up(exact_mean(F.col("x")), 1).alias("cx"), round_half_up(exact_mean(F.col("y")), 1).alias("cy"),
-        _pct(v >= coverage).alias("cov"), _pct(v < weak).alias("wk"), _pct(v <= dead).alias("dd"), *(round_half_up(_pct(kind == c), 1).alias(f"{c}_pct") for c in CLASSES),
+        *(round_half_up(_pct(c), 1).alias(n) for n, c in (("cov", v >= coverage), ("wk", v < weak), ("dd", v <= dead))), *(round_half_up(_pct(kind == c), 1).alias(f"{c}_pct") for c in CLASSES),
     )
     avg = round_half_up(F.col("mean"), 1)
     channel = scores.channel_quality(avg, F.col("cov"), F.col("dd"))
     return out.select(
         *by, "n", round_half_up(F.col("n") * (cell_px / px_per_m) ** 2, 2).alias("area_m2"), round_half_up(F.col("lo"), 1).alias("min_rssi"), round_half_up(F.col("hi"), 1).alias("max_rssi"), avg.alias("avg_rssi"), "cx", "cy",
-        round_half_up(F.col("cov"), 1).alias("coverage_pct"), round_half_up(F.col("dd"), 1).alias("dead_pct"), *(f"{c}_pct" for c in CLASSES), scores.throughput_mbps(avg).alias("throughput_mbps"),
+        F.col("cov").alias("coverage_pct"), F.col("dd").alias("dead_pct"), *(f"{c}_pct" for c in CLASSES), scores.throughput_mbps(avg).alias("throughput_mbps"),
         scores.latency_ms(avg, F.col("wk"), F.col("dd")).alias("latency_ms"), channel.alias("channel_quality"), scores.roaming_score(F.col("cov"), channel).alias("roaming"),
     )
 
 
-def point_table(points: DataFrame, keys: list[str]) -> DataFrame:
+def point_table(points: DataFrame, keys: list[str], coverage: float = -67, weak: float = -75, dead: float = -85) -> DataFrame:
     """Class and scores of each point's own signal."""
     v = F.col("rssi")
-    covered, deadly = (F.when(c, 100.0).otherwise(0.0) for c in (v >= -67, v <= -85))
+    covered, deadly = (F.when(c, 100.0).otherwise(0.0) for c in (v >= coverage, v <= dead))
     channel = scores.channel_quality(v, covered, deadly)
-    return points.select(*keys, v.alias("rssi"), scores.quality_class(v).alias("class"), scores.throughput_mbps(v).alias("throughput_mbps"), scores.latency_ms(v, F.when(v < -75, 100.0).otherwise(0.0), deadly).alias("latency_ms"), channel.alias("channel_quality"), scores.roaming_score(covered, channel).alias("roaming"))
+    return points.select(*keys, v.alias("rssi"), scores.quality_class(v, coverage, weak, dead).alias("class"), scores.throughput_mbps(v).alias("throughput_mbps"), scores.latency_ms(v, F.when(v < weak, 100.0).otherwise(0.0), deadly).alias("latency_ms"), channel.alias("channel_quality"), scores.roaming_score(covered, channel).alias("roaming"))
 
 
 def best_and_worst(points: DataFrame, by: list[str], key: str = "row_idx") -> DataFrame:

@@ -16,6 +16,7 @@ from sigfield.functions import geometry as G
 from sigfield.functions import rf
 from sigfield.functions.scalars import clamp, smoothstep
 from sigfield.operators.raster import blur_axis, dilate
+from sigfield.operators.spatial import small
 
 
 def _rounded(v: Column) -> Column:
@@ -43,14 +44,26 @@ def barriers(walls: DataFrame, width: int, height: int, px_per_m: float, thickne
     return dilate(sampled(walls, [], 1.0).select("gx", "gy").distinct(), radius, width, height, [])
 
 
+def obstacle_runs(rays: DataFrame, obstacles: DataFrame, keys: list[str]) -> DataFrame:
+    """Runs of blocked samples, and their number, of rays (x, y) to (tx, ty) that meet obstacle pixels: samples lie at most
+    2.5 pixels apart, and only blocked ones are ordered. Rays that meet none have no row."""
+    n = F.greatest(F.lit(1), F.ceil(F.sqrt((F.col("tx") - F.col("x")) * (F.col("tx") - F.col("x")) + (F.col("ty") - F.col("y")) * (F.col("ty") - F.col("y"))) / 2.5).cast("int"))
+    at = lambda a, b: _rounded(F.col(a) + (F.col(b) - F.col(a)) * (F.col("_i") / F.col("_n")))
+    samples = rays.select(*keys, "x", "y", "tx", "ty", n.alias("_n")).withColumn("_i", F.explode(F.sequence(F.lit(0), F.col("_n"))))
+    blocked = samples.select(*keys, "_i", at("x", "tx").alias("_px"), at("y", "ty").alias("_py"))
+    blocked = blocked.join(small(obstacles.select(F.col("gx").alias("_px"), F.col("gy").alias("_py")).distinct()), ["_px", "_py"])
+    before = F.lag("_i").over(Window.partitionBy(*keys).orderBy("_i"))
+    starts = blocked.withColumn("_starts", before.isNull() | (before < F.col("_i") - 1))
+    return starts.groupBy(*keys).agg(F.count_if("_starts").alias("runs"), F.count(F.lit(1)).alias("blocked"))
+
+
 def obstacle_loss(rays: DataFrame, obstacles: DataFrame, keys: list[str], px_per_m: float, material: str = "drywall") -> DataFrame:
-    """Loss of rays (x0, y0) to (x1, y1) of a band through obstacle pixels: samples 2.5 pixels apart, runs of
-    blocked ones, and their length."""
-    hit = sampled(rays, keys, 2.5).join(obstacles.select("gx", "gy").withColumn("blocked", F.lit(1)), ["gx", "gy"], "left")
-    before = F.lag("blocked").over(Window.partitionBy(*keys).orderBy("i"))
-    counted = hit.withColumn("starts", (F.col("blocked").isNotNull() & before.isNull()).cast("int")).groupBy(*keys).agg(F.sum("starts").alias("runs"), F.count("blocked").alias("blocked"))
-    loss = rf.obstacle_loss_db(F.lit(material), F.col("band"), F.col("runs"), F.col("blocked"), F.lit(px_per_m))
-    return counted.select(*keys, "runs", "blocked", F.when(F.col("runs") > 0, loss).otherwise(F.lit(0.0)).alias("obstacle_db"))
+    """Rays (x, y) to (tx, ty) of a band with ``runs`` and ``blocked`` samples in obstacle pixels and their loss, ``obstacle_db``; 0
+    where they meet none. The keys tell rays apart; all columns stay."""
+    met = rays.join(obstacle_runs(rays, obstacles, keys), keys, "left")
+    runs, blocked = F.coalesce("runs", F.lit(0)), F.coalesce("blocked", F.lit(0))
+    loss = rf.obstacle_loss_db(F.lit(material), F.col("band"), runs, blocked, F.lit(float(px_per_m)))
+    return met.withColumns({"runs": runs, "blocked": blocked, "obstacle_db": F.when(F.col("runs") > 0, loss).otherwise(F.lit(0.0))})
 
 
 def inward_alpha(mask: DataFrame, radius: int, by: list[str]) -> DataFrame:

@@ -33,9 +33,9 @@ _SHADOW = "least(18, wall_db*0.18*shm+sqrt(wall_db)*0.45)"
 _CREDIT = "CASE WHEN wall_db > 0 THEN least(wall_db*0.18, diff*sqrt({m}+1)) ELSE 0 END"
 
 
-def _said(m: str) -> str:
+def _said(m: str, less: str = "") -> str:
     gain = "least(greatest(gain,0),12)"
-    return f"least(greatest(least(greatest(signal+loss1-{gain},0),30)+{gain}-(loss1+expo2*10*log10(greatest({m},1)))-wall_db-{_SHADOW}+{_CREDIT.format(m=m)}-{_smooth('radius_m*0.82', 'radius_m*1.35', m)}*18, -96), -24)"
+    return f"least(greatest(least(greatest(signal+loss1-{gain},0),30)+{gain}-(loss1+expo2*10*log10(greatest({m},1)))-wall_db-{_SHADOW}+{_CREDIT.format(m=m)}-{_smooth('radius_m*0.82', 'radius_m*1.35', m)}*18{less}, -96), -24)"
 
 
 _AP = """, ap AS (SELECT ax, ay, gain, signal FROM aps ORDER BY ap_id LIMIT 1)"""
@@ -58,22 +58,33 @@ def _ap(spark, d):
     return V.aps(spark, d).orderBy("ap_id").limit(1).select("ax", "ay", "gain", "signal")
 
 
-def _grid_sql(radius: str, points: str) -> str:
+def _obstacle_sql(rays: str, out: str, keys: str, ppm: int) -> str:
+    """CTE ``out``: as _walls_sql, with the loss of drywall pixels of ``obst`` on the way added to ``wall_db``."""
+    base = "4*wmul*(CAST(0.1 AS DOUBLE)/0.12)"
+    on = lambda a, b: f"CAST(floor({a}+({b}-{a})*(i/CAST(n AS DOUBLE))+0.5) AS INT)"
+    return _walls_sql(rays, f"{out}w", keys) + f""", {out}s AS (SELECT *, unnest(generate_series(0, n)) AS i FROM (SELECT {keys}, x, y, tx, ty, greatest(1, CAST(ceil(sqrt((tx-x)*(tx-x)+(ty-y)*(ty-y))/2.5) AS INT)) AS n FROM {rays})),
+{out}i AS (SELECT {keys}, i, lag(i) OVER (PARTITION BY {keys} ORDER BY i) AS before FROM (SELECT {', '.join(f's.{k} AS {k}' for k in keys.split(', '))}, i FROM {out}s s JOIN obst o ON o.gx={on('s.x', 's.tx')} AND o.gy={on('s.y', 's.ty')})),
+{out}o AS (SELECT {keys}, count(*) FILTER (before IS NULL OR before < i-1) AS runs, count(*) AS blocked FROM {out}i GROUP BY {keys}),
+{out} AS (SELECT {keys}, n_walls, wall_db+coalesce(runs*{base}*(0.44+0.22*0.22)+least(12, blocked/CAST({ppm} AS DOUBLE)*{base}*(0.28+0.08*0.18)), 0) AS wall_db FROM {out}w LEFT JOIN {out}o USING ({keys}) JOIN prof USING (band))"""
+
+
+def _grid_sql(points: str, cells: str = "CROSS JOIN grid", ppm: int = 20, losses=_walls_sql) -> str:
     """CTE ``cell``: per band and cell what its nearest points say."""
-    total = f"(CASE WHEN d > 0 THEN expo*10*log10(d/20+1) ELSE 0 END+wall_db+{_SHADOW}-{_CREDIT.format(m='d/20')})"
-    weight = lambda p, a: f"1/pow(greatest(d+wall_db*20*0.09, 0.1)+{a}, {p})*falloff"
-    power = f"least(greatest(2.2+{_smooth('radius_m*20*0.2', 'radius_m*20', 'd+wall_db*20*0.09')}*0.36, 1.35), 4.4)"
-    return f""", pd AS (SELECT e.band, first_idx, e.x, e.y, rssi, residual_db, radius_m, n_points, gx, gy, tx, ty, sqrt((e.x-tx)*(e.x-tx)+(e.y-ty)*(e.y-ty)) AS d FROM {points} e CROSS JOIN grid), pf AS (SELECT *, 1-{_smooth('radius_m*20*0.74', 'radius_m*20', 'd')} AS falloff, row_number() OVER (PARTITION BY band, gx, gy ORDER BY d, first_idx) AS k FROM pd),
-pn AS (SELECT * FROM pf WHERE k = 1 OR (falloff > 0.002 AND k <= CASE WHEN n_points > 120 THEN 24 WHEN n_points > 64 THEN 48 ELSE n_points END))""" + _walls_sql("pn", "nw", "band, gx, gy, first_idx") + f""",
-po AS (SELECT pn.*, wall_db, expo, shm, diff FROM pn JOIN nw USING (band, gx, gy, first_idx) JOIN prof USING (band)), px AS (SELECT *, {total} AS total, CASE WHEN falloff > 0.002 THEN {weight(power, '20*0.16')} END AS w, CASE WHEN falloff > 0.002 THEN {weight('2.2', '20*0.1')} END AS rw FROM po),
-cell AS (SELECT band, gx, gy, any_value(tx) AS tx, any_value(ty) AS ty, any_value(radius_m) AS radius_m, min_by(rssi, first_idx) FILTER (d <= 1e-9) AS exact, sum(w*(rssi-total*0.34-wall_db*0.42))/sum(w) AS mean, sum(rw*residual_db)/sum(rw) AS residual, max(falloff) FILTER (falloff > 0.002) AS near, min(d) AS d,
- min_by(rssi-total*0.42-wall_db*0.28, k) AS lone, min_by(least(greatest((1-{_smooth('radius_m*20', 'radius_m*20*1.45', 'd')})*0.22,0),0.22), k) AS lone_sure FROM px GROUP BY ALL)"""
+    total = f"(CASE WHEN d > 0 THEN expo*10*log10(d/{ppm}+1) ELSE 0 END+wall_db+{_SHADOW}-{_CREDIT.format(m=f'd/{ppm}')})"
+    weight = lambda p, a: f"1/pow(greatest(d+wall_db*{ppm}*0.09, 0.1)+{a}, {p})*falloff"
+    r = f"radius_m*{ppm}"
+    power = f"least(greatest(2.2+{_smooth(f'{r}*0.2', r, f'd+wall_db*{ppm}*0.09')}*0.36, 1.35), 4.4)"
+    return f""", pd AS (SELECT e.band AS band, first_idx, e.x, e.y, rssi, residual_db, radius_m, n_points, gx, gy, tx, ty, sqrt((e.x-tx)*(e.x-tx)+(e.y-ty)*(e.y-ty)) AS d FROM {points} e {cells}), pf AS (SELECT *, 1-{_smooth(f'{r}*0.74', r, 'd')} AS falloff, row_number() OVER (PARTITION BY band, gx, gy ORDER BY d, first_idx) AS k FROM pd),
+pn AS MATERIALIZED (SELECT * FROM pf WHERE k = 1 OR (falloff > 0.002 AND k <= CASE WHEN n_points > 120 THEN 24 WHEN n_points > 64 THEN 48 ELSE n_points END))""" + losses("pn", "nw", "band, gx, gy, first_idx") + f""",
+po AS (SELECT pn.*, wall_db, expo, shm, diff FROM pn JOIN nw USING (band, gx, gy, first_idx) JOIN prof USING (band)), px AS (SELECT *, {total} AS total, {_SHADOW} AS shade, CASE WHEN falloff > 0.002 THEN {weight(power, f'{ppm}*0.16')} END AS w, CASE WHEN falloff > 0.002 THEN {weight('2.2', f'{ppm}*0.1')} END AS rw FROM po),
+cell AS (SELECT band, gx, gy, any_value(tx) AS tx, any_value(ty) AS ty, any_value(radius_m) AS radius_m, min_by(rssi, first_idx) FILTER (d <= 1e-9) AS exact, sum(w*(rssi-total*0.34-wall_db*0.42))/sum(w) AS mean, sum(rw*residual_db)/sum(rw) AS residual, sum(w*wall_db)/sum(w) AS walls, sum(w*shade)/sum(w) AS shades, max(falloff) FILTER (falloff > 0.002) AS near, min(d) AS d,
+ min_by(rssi-total*0.42-wall_db*0.28, k) AS lone, min_by(least(greatest((1-{_smooth(r, f'{r}*1.45', 'd')})*0.22,0),0.22), k) AS lone_sure FROM px GROUP BY ALL)"""
 
 
 _VIEWS = with_views("readings", "bins", "walls", "aps", "grid")[:-1]
 
 
-@query(_VIEWS + _TABLES + _AP + _RESIDUALS.format(radius="rad") + _grid_sql("rad", "pe") + ", cr AS (SELECT band, gx, gy, ax AS x, ay AS y, tx, ty FROM cell, ap)" + _walls_sql("cr", "cw", "band, gx, gy") + f""", of AS (SELECT band, least(greatest(avg(residual_db), -28), 28) AS off FROM pe GROUP BY band),
+@query(_VIEWS + _TABLES + _AP + _RESIDUALS.format(radius="rad") + _grid_sql("pe") + ", cr AS (SELECT band, gx, gy, ax AS x, ay AS y, tx, ty FROM cell, ap)" + _walls_sql("cr", "cw", "band, gx, gy") + f""", of AS (SELECT band, least(greatest(avg(residual_db), -28), 28) AS off FROM pe GROUP BY band),
 cs AS (SELECT cell.*, wall_db, sqrt((tx-ax)*(tx-ax)+(ty-ay)*(ty-ay))/20 AS far, gain, signal, shm, diff, loss1, expo2, off FROM cell JOIN cw USING (band, gx, gy) JOIN prof USING (band) JOIN of USING (band), ap), ct AS (SELECT *, {_said('far')} AS said, least(greatest(0.26+{_smooth('radius_m*20*0.16', 'radius_m*20*0.96', 'd')}*0.38+{_smooth('6', '28', 'wall_db')}*0.14, 0.18), 0.72) AS blend FROM cs)
 SELECT band, gx, gy, round(CASE WHEN exact IS NOT NULL THEN exact WHEN near IS NOT NULL THEN least(greatest(mean*(1-blend)+(said+residual)*blend, -96), -24) ELSE least(greatest(said+off, -96), -24) END, 5) AS rssi,
 round(CASE WHEN exact IS NOT NULL THEN 1 WHEN near IS NOT NULL THEN least(greatest(near*0.82+0.18, 0), 1) ELSE least(greatest(0.12+(1-{_smooth('radius_m*0.9', 'radius_m*1.35', 'far')})*0.34, 0.08), 0.46) END, 5) AS confidence FROM ct""")
@@ -82,7 +93,7 @@ def rf_interpolate(spark, d):
     return out.select("band", "gx", "gy", F.round("rssi", 5).alias("rssi"), F.round("confidence", 5).alias("confidence"))
 
 
-@query(_VIEWS + _TABLES + ", pe AS (SELECT *, CAST(0.8 AS DOUBLE) AS radius_m, CAST(0 AS DOUBLE) AS residual_db, count(*) OVER (PARTITION BY band) AS n_points FROM bins)" + _grid_sql("0.8", "pe") + """ SELECT band, gx, gy, round(CASE WHEN exact IS NOT NULL THEN exact WHEN near IS NOT NULL THEN least(greatest(mean, -96), -24) ELSE lone END, 5) AS rssi,
+@query(_VIEWS + _TABLES + ", pe AS (SELECT *, CAST(0.8 AS DOUBLE) AS radius_m, CAST(0 AS DOUBLE) AS residual_db, count(*) OVER (PARTITION BY band) AS n_points FROM bins)" + _grid_sql("pe") + """ SELECT band, gx, gy, round(CASE WHEN exact IS NOT NULL THEN exact WHEN near IS NOT NULL THEN least(greatest(mean, -96), -24) ELSE lone END, 5) AS rssi,
 round(CASE WHEN exact IS NOT NULL THEN 1 WHEN near IS NOT NULL THEN least(greatest(near*0.82+0.18, 0), 1) ELSE lone_sure END, 5) AS confidence FROM cell""")
 def rf_out_of_reach(spark, d):
     out = interpolate.rf_grid(_bins(spark, d), V.grid(spark), V.walls(spark, d), None, V.PX_PER_M, ["band"], radius_m=0.8)

@@ -35,16 +35,16 @@ def _field(spark, d):
     return f.where("(gx+gy)%7 <> 0").withColumn("alpha", F.lit(0.5) + (F.col("gx") % 5) * F.lit(0.1))
 
 
-def _gradient_sql(cells: str, out: str) -> str:
+def _gradient_sql(cells: str, out: str, gw: int = GW, gh: int = GH) -> str:
     near = lambda name, x, y: f"LEFT JOIN {cells} {name} ON {name}.band=c.band AND {name}.gx={x} AND {name}.gy={y}"
-    return f"""{out} AS (SELECT c.*, coalesce(r.value,0)-coalesce(l.value,0) AS dx, coalesce(d.value,0)-coalesce(u.value,0) AS dy FROM {cells} c {near('r', f'least(c.gx+1,{GW - 1})', 'c.gy')} {near('l', 'greatest(c.gx-1,0)', 'c.gy')}
- {near('d', 'c.gx', f'least(c.gy+1,{GH - 1})')} {near('u', 'c.gx', 'greatest(c.gy-1,0)')})"""
+    return f"""{out} AS (SELECT c.*, coalesce(r.value,0)-coalesce(l.value,0) AS dx, coalesce(d.value,0)-coalesce(u.value,0) AS dy FROM {cells} c {near('r', f'least(c.gx+1,{gw - 1})', 'c.gy')} {near('l', 'greatest(c.gx-1,0)', 'c.gy')}
+ {near('d', 'c.gx', f'least(c.gy+1,{gh - 1})')} {near('u', 'c.gx', 'greatest(c.gy-1,0)')})"""
 
 
-def _pass_sql(cells: str, out: str, radius: int) -> str:
+def _pass_sql(cells: str, out: str, radius: int, gw: int = GW, gh: int = GH) -> str:
     kernel = ",".join(f"({k - radius},CAST({w!r} AS DOUBLE))" for k, w in enumerate(raster.gaussian_kernel(radius)))
-    return f""", {out}k(o, w) AS (VALUES {kernel}), {out}h AS (SELECT g.band, g.gx, g.gy, sum(c.value*greatest(c.alpha,0.001)*w) AS t, sum(CASE WHEN c.alpha IS NOT NULL THEN greatest(c.alpha,0.001)*w END) AS b FROM g, {out}k LEFT JOIN {cells} c ON c.band=g.band AND c.gy=g.gy AND c.gx=least(greatest(g.gx+o,0),{GW - 1}) GROUP BY ALL),
-{out}v AS (SELECT g.band, g.gx, g.gy, sum(t*w) AS t, sum(b*w) AS b FROM g, {out}k LEFT JOIN {out}h h ON h.band=g.band AND h.gx=g.gx AND h.gy=least(greatest(g.gy+o,0),{GH - 1}) GROUP BY ALL), {_gradient_sql(cells, out + 'g')},
+    return f""", {out}k(o, w) AS (VALUES {kernel}), {out}h AS (SELECT g.band, g.gx, g.gy, sum(c.value*greatest(c.alpha,0.001)*w) AS t, sum(CASE WHEN c.alpha IS NOT NULL THEN greatest(c.alpha,0.001)*w END) AS b FROM g, {out}k LEFT JOIN {cells} c ON c.band=g.band AND c.gy=g.gy AND c.gx=least(greatest(g.gx+o,0),{gw - 1}) GROUP BY ALL),
+{out}v AS (SELECT g.band, g.gx, g.gy, sum(t*w) AS t, sum(b*w) AS b FROM g, {out}k LEFT JOIN {out}h h ON h.band=g.band AND h.gx=g.gx AND h.gy=least(greatest(g.gy+o,0),{gh - 1}) GROUP BY ALL), {_gradient_sql(cells, out + 'g', gw, gh)},
 {out}p AS (SELECT g.*, v.t, v.b, {_smooth('3.5', '12', 'sqrt(dx*dx+dy*dy)')}*CAST(0.78 AS DOUBLE) AS p FROM {out}g g JOIN {out}v v USING (band, gx, gy)),
 {out} AS (SELECT band, gx, gy, CASE WHEN b > 0.0001 THEN value*p+t/b*(1-p) ELSE value END AS value, CASE WHEN b > 0.0001 THEN least(greatest(b,0),1) ELSE alpha END AS alpha FROM {out}p)"""
 
@@ -141,8 +141,8 @@ h AS (SELECT ap_id, i, CASE WHEN b.gx IS NOT NULL THEN 1 END AS blocked FROM rs
 w AS (SELECT ap_id, blocked, CASE WHEN blocked=1 AND lag(blocked) OVER (PARTITION BY ap_id ORDER BY i) IS NULL THEN 1 ELSE 0 END AS st FROM h), c AS (SELECT ap_id, CAST(sum(st) AS BIGINT) AS runs, count(blocked) AS blocked FROM w GROUP BY ap_id)
 SELECT ap_id, runs, blocked, round(CASE WHEN runs > 0 THEN runs*{_MATERIAL}*(CAST(0.44 AS DOUBLE)+CAST(0.22 AS DOUBLE)*CAST(0.22 AS DOUBLE))+least(12, blocked/CAST(20 AS DOUBLE)*{_MATERIAL}*(CAST(0.28 AS DOUBLE)+CAST(0.08 AS DOUBLE)*CAST(0.18 AS DOUBLE))) ELSE 0 END, 6) AS obstacle_db FROM c""")
 def obstacle_losses(spark, d):
-    rays = V.aps(spark, d).selectExpr("ap_id", "ax x0", "ay y0", "cast(500 as double) x1", "cast(300 as double) y1", "'5ghz' band")
-    out = masks.obstacle_loss(rays, masks.barriers(V.walls(spark, d), 1000, 600, V.PX_PER_M), ["ap_id", "band"], V.PX_PER_M)
+    rays = V.aps(spark, d).selectExpr("ap_id", "ax x", "ay y", "cast(500 as double) tx", "cast(300 as double) ty", "'5ghz' band")
+    out = masks.obstacle_loss(rays, masks.barriers(V.walls(spark, d), 1000, 600, V.PX_PER_M), ["ap_id"], V.PX_PER_M)
     return out.select("ap_id", "runs", "blocked", F.round("obstacle_db", 6).alias("obstacle_db"))
 
 

@@ -141,3 +141,11 @@ paintings AS (SELECT plan, CAST(gx AS INT) AS gx, CAST(gy AS INT) AS gy, arg_max
 def with_views(*names: str) -> str:
     """The WITH clause that defines the named views."""
     return "WITH " + ",\n".join(SQL[n] for n in names) + "\n"
+
+
+#: Corners of the hull of each band's ``bins``: a stack for each half, that pops while the turn is not to the left.
+HULL_SQL = """hp AS (SELECT band, 1 AS side, x, y, row_number() OVER (PARTITION BY band ORDER BY x, y) AS k, count(*) OVER (PARTITION BY band) AS n FROM bins UNION ALL SELECT band, 2, x, y, row_number() OVER (PARTITION BY band ORDER BY x DESC, y DESC), count(*) OVER (PARTITION BY band) FROM bins),
+hs AS (SELECT band, side, k, n, [{'x': x, 'y': y}] AS m FROM hp WHERE k = 1 UNION ALL SELECT band, side, CASE WHEN pop THEN k ELSE k+1 END, n, CASE WHEN pop THEN m[:len(m)-1] ELSE list_append(m, p) END
+FROM (SELECT s.band, s.side, s.k, s.n, s.m, {'x': q.x, 'y': q.y} AS p, len(m) > 1 AND (m[-1].x-m[-2].x)*(q.y-m[-2].y)-(m[-1].y-m[-2].y)*(q.x-m[-2].x) <= 0 AS pop FROM hs s JOIN hp q ON q.band=s.band AND q.side=s.side AND q.k=s.k+1)),
+ht AS (SELECT band, side, m FROM hs WHERE k = n QUALIFY row_number() OVER (PARTITION BY band, side ORDER BY len(m)) = 1),
+hull AS MATERIALIZED (SELECT band, row_number() OVER (PARTITION BY band ORDER BY side, j)-1 AS i, c.x AS x, c.y AS y FROM (SELECT band, side, unnest(m[:len(m)-1]) AS c, generate_subscripts(m[:len(m)-1], 1) AS j FROM ht))"""
