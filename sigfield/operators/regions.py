@@ -12,6 +12,8 @@ transparent; a repeated pixel counts once in masks.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -19,12 +21,13 @@ from pyspark.sql import functions as F
 
 from sigfield.functions.scalars import clamp, round_half_up
 from sigfield.functions.scores import luminance, saturation
-from sigfield.operators.graph import components, greedy
+from sigfield.operators.graph import by_groups, components, greedy, least_linked
+from sigfield.operators.raster import BLOCK, bits_of, words
 from sigfield.operators.walls import OPAQUE, backgrounds
 from sigfield.runtime import cut, ship
 
-BLOCK = 64  # pixels of a line that one join key covers
 TILE = 64
+STRIP = 128  # lines of an image that one task labels at once
 
 
 def _nearest(v: Column) -> Column:
@@ -52,7 +55,11 @@ def joined(intervals: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def runs_of(cells: DataFrame, keys: list[str]) -> DataFrame:
-    return joined(cells.select(*keys, "gy", F.col("gx").alias("x0"), F.col("gx").alias("x1")), keys)
+    """Runs of cells, which may repeat."""
+    w = F.col("bits")
+    starts, ends = w.bitwiseAND(F.bitwise_not(F.shiftleft(w, 1))), w.bitwiseAND(F.bitwise_not(F.shiftrightunsigned(w, 1)))
+    pieces = words(cells, keys).select(*keys, "gy", "bx", F.explode(F.arrays_zip(bits_of(starts).alias("x0"), bits_of(ends).alias("x1"))).alias("p"))
+    return joined(pieces.select(*keys, "gy", (F.col("bx") * BLOCK + F.col("p.x0")).alias("x0"), (F.col("bx") * BLOCK + F.col("p.x1")).alias("x1")), keys)
 
 
 def cells(runs: DataFrame) -> DataFrame:
@@ -104,13 +111,43 @@ def _touching(a: DataFrame, b: DataFrame, keys: list[str], lines: tuple[int, ...
     return t.join(u, [*keys, "gy", "_block"]).where((first <= F.least("hi", "x1")) & (F.col("_block") == F.floor(first / BLOCK))).select(*keys, "a", "b")
 
 
+def _labelled_strips(batches: Iterator[pd.DataFrame], keys: list[str], slack: int) -> Iterator[pd.DataFrame]:
+    """Runs, sorted by keys (the last one is the strip), line and column, with the least ``id`` of those of their strip that they
+    are connected with."""
+    for t in by_groups(batches, keys):
+        group = (t[keys] != t[keys].shift()).any(axis=1).cumsum().to_numpy()
+        gy, x0, x1 = (t[c].to_numpy().astype(np.int64) for c in ("gy", "x0", "x1"))
+        line = group * (gy.max() - gy.min() + 2) + gy - gy.min()  # next to one another only within a group
+        width = x1.max() + 4
+        first, last = line * width + x0 + 1, line * width + x1 + 1
+        lo, hi = np.searchsorted(last, first + width - slack), np.searchsorted(first, last + width + slack, "right")
+        n = np.maximum(hi - lo, 0)
+        a = np.repeat(np.arange(len(t)), n)
+        b = np.arange(len(a)) + np.repeat(lo - np.cumsum(n) + n, n)
+        yield t.assign(label=t["id"].to_numpy()[least_linked(len(t), a, b)]).drop(columns="id")
+
+
 def labelled(runs: DataFrame, plans: DataFrame, diagonal: bool = False, value: str | None = None) -> DataFrame:
     """Runs with ``label``, the number gy * width + x of their component's first pixel in reading order. With
-    ``value``, only runs of an equal value are connected."""
+    ``value``, only runs of an equal value are connected.
+
+    A task labels strips of STRIP lines; then what touches across the strips' borders is joined."""
+    ship(runs.sparkSession)
     keys = ["plan", *([value] if value else [])]
-    t = cut(runs.join(plans.select("plan", "width"), "plan").select(*keys, "gy", "x0", "x1", (F.col("gy").cast("long") * F.col("width") + F.col("x0")).alias("id")), "runs")
-    links = _touching(t, t, keys, (1,), int(diagonal))
-    return t.join(components(t, links, keys), [*keys, "id"]).drop("id")
+    t = runs.join(plans.select("plan", "width"), "plan").select(*keys, F.floor(F.col("gy") / STRIP).cast("int").alias("_strip"), "gy", "x0", "x1", (F.col("gy").cast("long") * F.col("width") + F.col("x0")).alias("id"))
+    by = [*keys, "_strip"]
+    dealt = t.repartition(*by).sortWithinPartitions(*by, "gy", "x0")
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in t.schema if f.name != "id")
+    slack = int(diagonal)
+    t = cut(dealt.mapInPandas(lambda batches: _labelled_strips(batches, by, slack), f"{kinds}, label bigint"), "strips")
+    if not t.where("_strip > 0").limit(1).count():
+        return t.drop("_strip")
+    ends = t.select(*keys, "gy", "x0", "x1", F.col("label").alias("id"))
+    links = _touching(ends.where(F.col("gy") % STRIP == STRIP - 1), ends.where(F.col("gy") % STRIP == 0), keys, (1,), slack)
+    links = cut(links.distinct(), "borders")
+    nodes = links.select(*keys, F.explode(F.array("a", "b")).alias("id")).distinct()
+    whole = components(nodes, links, keys).select(*keys, F.col("id").alias("label"), F.col("label").alias("_least"))
+    return t.join(whole, [*keys, "label"], "left").withColumn("label", F.coalesce("_least", "label")).drop("_least", "_strip")
 
 
 def stats(runs: DataFrame) -> DataFrame:
@@ -170,15 +207,15 @@ def footprints(runs: DataFrame, plans: DataFrame) -> DataFrame:
     rows = _filled(t.groupBy("plan", "width", "height", "gy").agg(F.min("x0").alias("lo"), F.max("x1").alias("hi")), "gy")
     columns = _filled(cells(t).groupBy("plan", "width", "height", "gx").agg(F.min("gy").alias("lo"), F.max("gy").alias("hi")), "gx")
     pad = F.greatest(F.lit(1), _nearest(_side() / 900))
-    each = rows.withColumn("gx", F.explode(F.sequence(F.greatest(F.lit(0), F.col("lo") - pad), F.least(F.col("width") - 1, F.col("hi") + pad)))).select("plan", "gx", "gy")
-    inside = each.join(columns, ["plan", "gx"]).where((F.col("gy") >= F.col("lo") - pad) & (F.col("gy") <= F.col("hi") + pad))
-    return runs_of(inside.select("plan", "gx", "gy"), ["plan"])
+    across = rows.select("plan", "gy", F.greatest(F.lit(0), F.col("lo") - pad).alias("x0"), F.least(F.col("width") - 1, F.col("hi") + pad).alias("x1"))
+    down = columns.withColumn("gy", F.explode(F.sequence(F.greatest(F.lit(0), F.col("lo") - pad), F.least(F.col("height") - 1, F.col("hi") + pad))))
+    return common(across, runs_of(down, ["plan"]))
 
 
 def house_masks(pixels: DataFrame, plans: DataFrame) -> DataFrame:
     """Runs of each plan's house: the area that its thickened drawing encloses, or else the footprint of the main
     component and of the larger ones around its box. Which of the two is decided for each plan by a join."""
-    drawn = runs_of(_colored(pixels, plans).where("far > 42 * 42").select("plan", "gx", "gy").distinct(), ["plan"])
+    drawn = runs_of(_colored(pixels, plans).where("far > 42 * 42"), ["plan"])
     barrier = cut(dilated(drawn, plans, F.greatest(F.lit(2), _nearest(_side() / 450))), "barrier")
     inside = cut(enclosed(barrier, plans), "enclosed")
     open_ = plans.join(inside.select("plan").distinct(), "plan", "left_anti")
@@ -201,7 +238,7 @@ def _in_house(runs: DataFrame, house: DataFrame) -> DataFrame:
 
 
 def _line_mask(pixels: DataFrame, plans: DataFrame, house: DataFrame, contrast: float, dark: float, keep: Column, grow: int, least: Column, most: float) -> DataFrame:
-    raw = _colored(pixels, plans).where((F.col("far") > contrast * contrast) | (F.col("light") < dark)).select("plan", "gx", "gy").distinct()
+    raw = _colored(pixels, plans).where((F.col("far") > contrast * contrast) | (F.col("light") < dark))
     parts = cut(labelled(_in_house(runs_of(raw, ["plan"]), house), plans, diagonal=True), "lines")
     kept = stats(parts).join(plans, "plan").where(keep).select("plan", "label")
     wide = dilated(parts.join(kept, ["plan", "label"], "left_semi").select("plan", "gy", "x0", "x1"), plans, F.greatest(F.lit(1), _nearest(_side() / grow)))
@@ -247,29 +284,40 @@ def median_colors(pixels: DataFrame, plans: DataFrame, radius: int = 2) -> DataF
     ship(pixels.sparkSession)
     tile = lambda c: F.explode(F.sequence(F.floor((F.col(c) - radius) / TILE).cast("int"), F.floor((F.col(c) + radius) / TILE).cast("int")))
     t = pixels.join(plans, "plan").withColumn("tx", tile("gx")).withColumn("ty", tile("gy")).where("tx >= 0 and ty >= 0 and tx * {0} < width and ty * {0} < height".format(TILE))
+    # a pixel's place within the image and its colour travel as one number each
+    place = F.col("gy").cast("long") * F.col("width") + F.col("gx")
+    channel = lambda c: F.coalesce(F.col(c).cast("int"), F.lit(0)).bitwiseAND(255).cast("long")
+    colour = sum((F.shiftleft(channel(c), k) for c, k in (("r", 24), ("g", 16), ("b", 8))), channel("a"))
+    keys = ["plan", "tx", "ty"]
+    dealt = t.select(*keys, "width", "height", place.alias("place"), colour.alias("colour")).repartition(*keys).sortWithinPartitions(*keys)
     side = 2 * radius + 1
 
-    def median(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        width, height = int(rows["width"].iloc[0]), int(rows["height"].iloc[0])
-        x0, y0 = key[1] * TILE, key[2] * TILE
+    def median(key: tuple, width: int, height: int, place: np.ndarray, colour: np.ndarray) -> tuple:
+        x0, y0 = key[0] * TILE, key[1] * TILE
         x1, y1 = min(width, x0 + TILE), min(height, y0 + TILE)
         # the tile and what is around it within the image, then repeated pixels beyond the border
         left, top, right, low = max(0, x0 - radius), max(0, y0 - radius), min(width, x1 + radius), min(height, y1 + radius)
         image = np.zeros((low - top, right - left, 4), np.uint8)
-        at = rows["gy"].to_numpy() - top, rows["gx"].to_numpy() - left
-        inside = (at[0] >= 0) & (at[0] < low - top) & (at[1] >= 0) & (at[1] < right - left)
-        image[at[0][inside], at[1][inside]] = rows[["r", "g", "b", "a"]].fillna(0).to_numpy()[inside]
+        gy, gx = place // width - top, place % width - left
+        inside = (gy >= 0) & (gy < low - top) & (gx >= 0) & (gx < right - left)
+        image[gy[inside], gx[inside]] = colour[inside].astype(">u4").view(np.uint8).reshape(-1, 4)
         beyond = ((radius - (y0 - top), radius - (low - y1)), (radius - (x0 - left), radius - (right - x1)), (0, 0))
         padded = np.pad(image[:, :, :3], beyond, mode="edge")
         windows = np.lib.stride_tricks.sliding_window_view(padded, (side, side), (0, 1)).reshape(y1 - y0, x1 - x0, 3, side * side)
-        middle = np.sort(windows, axis=-1)[..., side * side // 2]
-        opaque = image[y0 - top : y1 - top, x0 - left : x1 - left, 3] > OPAQUE
-        gy, gx = np.nonzero(opaque)
-        out = middle[gy, gx]
-        return pd.DataFrame({"plan": [key[0]] * len(gx), "gx": gx + x0, "gy": gy + y0, "r": out[:, 0], "g": out[:, 1], "b": out[:, 2]})
+        middle = np.partition(windows, side * side // 2, axis=-1)[..., side * side // 2]
+        gy, gx = np.nonzero(image[y0 - top : y1 - top, x0 - left : x1 - left, 3] > OPAQUE)
+        return gx + x0, gy + y0, *middle[gy, gx].T
+
+    def medians(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for t in by_groups(batches, keys):
+            starts = np.append(np.flatnonzero((t[keys] != t[keys].shift()).any(axis=1).to_numpy()), len(t))
+            v = {c: t[c].to_numpy() for c in t.columns}
+            tiles = [median((int(v["tx"][i]), int(v["ty"][i])), int(v["width"][i]), int(v["height"][i]), v["place"][i:j], v["colour"][i:j]) for i, j in zip(starts[:-1], starts[1:])]
+            out = (np.concatenate(c) for c in zip(*tiles))
+            yield pd.DataFrame({"plan": v["plan"][np.repeat(starts[:-1], [len(m[0]) for m in tiles])], **dict(zip(("gx", "gy", "r", "g", "b"), out))})
 
     kind = pixels.schema["plan"].dataType.simpleString()
-    return t.groupBy("plan", "tx", "ty").applyInPandas(median, f"plan {kind}, gx int, gy int, r int, g int, b int")
+    return dealt.mapInPandas(medians, f"plan {kind}, gx int, gy int, r int, g int, b int")
 
 
 def color_regions(pixels: DataFrame, plans: DataFrame, house: DataFrame) -> DataFrame:
@@ -309,7 +357,7 @@ def red_markers(pixels: DataFrame, plans: DataFrame) -> DataFrame:
     shape, best score first, none too near to a better one; numbered by y, then x."""
     whole = lambda v, lo, hi: clamp(v.cast("double"), lo, hi)
     red = (F.col("a") > 80) & (F.col("r") > 155) & (F.col("g") < 150) & (F.col("b") < 140) & (F.col("r") - F.col("g") > 44) & (F.col("r") - F.col("b") > 58) & (saturation(F.col("r"), F.col("g"), F.col("b")) > 0.32)
-    marks = cut(runs_of(pixels.where(red).select("plan", "gx", "gy").distinct(), ["plan"]), "red")
+    marks = cut(runs_of(pixels.where(red), ["plan"]), "red")
     parts = cut(labelled(dilated(marks, plans, whole(_nearest(_side() / 900), 1, 4)), plans, diagonal=True), "marks")
     n = F.col("x1") - F.col("x0") + 1
     own = common(parts, marks).groupBy("plan", "label").agg(F.sum(n).alias("red"), F.sum(n * (F.col("x0") + F.col("x1")) / 2).alias("sx"), F.sum(n * F.col("gy")).alias("sy"))
