@@ -13,13 +13,15 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sigfield.functions.scalars import clamp, round_half_up
 from sigfield.functions.scores import hue_degrees, luminance, saturation
-from sigfield.operators.graph import components, greedy
+from sigfield.operators.graph import by_groups, components, greedy
+from sigfield.operators.raster import BLOCK, bits_of, words
 from sigfield.runtime import cut, ship
 
 # fixed values: thresholds of traced pixels, candidates and structural walls
@@ -71,10 +73,15 @@ def traced(pixels: DataFrame, plans: DataFrame) -> DataFrame:
 def trace_mask(pixels: DataFrame, plans: DataFrame) -> DataFrame:
     """Scaled cells (plan, gx, gy) that hold a traced pixel and have one of the 8 cells around them too."""
     scaled = lambda c: F.floor(F.col(c) / F.col("scale")).cast("int").alias(c)
-    cells = traced(pixels, plans).select("plan", scaled("gx"), scaled("gy")).distinct()
-    sent = F.array(*(F.struct(F.lit(x).alias("x"), F.lit(y).alias("y")) for x in (-1, 0, 1) for y in (-1, 0, 1)))
-    moved = cells.withColumn("o", F.explode(sent)).select("plan", (F.col("gx") + F.col("o.x")).alias("gx"), (F.col("gy") + F.col("o.y")).alias("gy"), ((F.col("o.x") == 0) & (F.col("o.y") == 0)).alias("own"))
-    return moved.groupBy("plan", "gx", "gy").agg(F.count(F.lit(1)).alias("n"), F.bool_or("own").alias("own")).where("own and n > 1").select("plan", "gx", "gy")
+    w = F.col("bits")
+    beside = F.shiftleft(w, 1).bitwiseOR(F.shiftrightunsigned(w, 1))
+    nothing = F.lit(0).cast("long")
+    sent = lambda dy, dx, near, own=nothing: F.struct((F.col("gy") + dy).alias("gy"), (F.col("bx") + dx).alias("bx"), near.alias("near"), own.alias("own"))
+    # each word's bits go to those around them, the outer ones to the words beside
+    parts = [part for dy in (-1, 0, 1) for part in (sent(dy, 0, beside if dy == 0 else w.bitwiseOR(beside), w if dy == 0 else nothing), sent(dy, 1, F.shiftrightunsigned(w, 63)), sent(dy, -1, F.shiftleft(w, 63)))]
+    moved = words(traced(pixels, plans).select("plan", scaled("gx"), scaled("gy")), ["plan"]).select("plan", F.explode(F.filter(F.array(*parts), lambda p: p["near"].bitwiseOR(p["own"]) != 0)).alias("p")).select("plan", "p.*")
+    joined = moved.groupBy("plan", "gy", "bx").agg(F.bit_or("near").bitwiseAND(F.bit_or("own")).alias("bits"))
+    return joined.select("plan", "gy", "bx", F.explode(bits_of(w)).alias("k")).select("plan", (F.col("bx") * BLOCK + F.col("k")).cast("int").alias("gx"), "gy")
 
 
 def coverage(mask: DataFrame, plans: DataFrame) -> DataFrame:
@@ -86,28 +93,69 @@ def coverage(mask: DataFrame, plans: DataFrame) -> DataFrame:
     return counted.select("plan", "covered", usable.alias("usable"))
 
 
+def _band_runs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The runs that are long enough (plan, orientation, start, end, cross_start, cross_end, pixels) of each strip's lines, from the
+    words (gy, bx, bits) of the strip and around it."""
+    keys = ["plan", "orientation", "strip"]
+    for t in by_groups(batches, keys):
+        starts = np.append(np.flatnonzero((t[keys] != t[keys].shift()).any(axis=1).to_numpy()), len(t))
+        columns = {c: t[c].to_numpy() for c in t.columns}
+        bits = np.unpackbits(columns["bits"].astype("<i8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        out = []
+        for i, j in zip(starts[:-1], starts[1:]):
+            orientation, strip, sw, sh, band, gap, least = (columns[c][i] for c in ("orientation", "strip", "sw", "sh", "band", "gap", "least"))
+            gy, bx = columns["gy"][i:j], columns["bx"][i:j]
+            if orientation == "horizontal":
+                limit, along = sh, sw
+                image = np.zeros((BLOCK + 2 * band, -(-sw // BLOCK), BLOCK), np.int32)
+                image[gy - strip * BLOCK + band, bx] = bits[i:j]
+                image = image.reshape(BLOCK + 2 * band, -1)
+            else:
+                limit, along = sw, sh
+                image = np.zeros((sh, 3, BLOCK), np.int32)
+                image[gy, bx - strip + 1] = bits[i:j]
+                image = image.reshape(sh, -1)[:, BLOCK - band : 2 * BLOCK + band].T
+            upto = np.pad(np.cumsum(image, axis=0), ((1, 0), (0, 0)))
+            n = (upto[2 * band + 1 :] - upto[: -2 * band - 1])[: max(0, limit - strip * BLOCK)]
+            line, place = np.nonzero(n)
+            if not len(line):
+                continue
+            first = np.flatnonzero(np.r_[True, (np.diff(line) != 0) | (np.diff(place) > gap + 1)])
+            last = np.append(first[1:], len(line)) - 1
+            end = np.where(along - 1 - place[last] <= gap, along - 1, place[last])
+            long = end - place[first] + 1 >= least
+            cross = strip * BLOCK + line[first][long]
+            pixels = np.add.reduceat(n[line, place], first)[long]
+            same = np.full(len(cross), i)
+            out.append((same, place[first][long], end[long], np.maximum(0, cross - band), np.minimum(limit - 1, cross + band), pixels))
+        if out:
+            row, *found = (np.concatenate(c) for c in zip(*out))
+            names = ["start", "end", "cross_start", "cross_end", "pixels"]
+            yield pd.DataFrame({"plan": columns["plan"][row], "orientation": columns["orientation"][row], **dict(zip(names, found))})
+
+
 def axis_candidates(mask: DataFrame, plans: DataFrame) -> DataFrame:
     """Runs along every line of both axes. A line is a band of lines around it; a place is hit where the band
     has a mask cell; hits at most ``gap`` misses apart make a run, which reaches the border if that is as near. Runs
     that are long enough stay if the share of mask cells in their box is within DENSITY.
 
-    Each mask cell is counted into the bands that contain it before the shuffle; the lines of a plan are dealt
-    singly."""
-    place = lambda name, cross, inline, limit, along: F.struct(F.lit(name).alias("orientation"), F.col(cross).alias("cross"), F.col(inline).alias("inline"), F.col(limit).alias("limit"), F.col(along).alias("along"))
-    both = F.array(place("horizontal", "gy", "gx", "sh", "sw"), place("vertical", "gx", "gy", "sw", "sh"))
-    each = mask.join(settings(plans).select("plan", "sw", "sh", "band", "gap", "least"), "plan").select("plan", "band", "gap", "least", F.explode(both).alias("p")).select("plan", "band", "gap", "least", "p.*")
-    span = F.sequence(F.greatest(F.lit(0), F.col("cross") - F.col("band")), F.least(F.col("limit") - 1, F.col("cross") + F.col("band")))
-    line = ["plan", "orientation", "cross"]
-    fixed = ["band", "gap", "least", "limit", "along"]
-    hits = each.withColumn("cross", F.explode(span)).groupBy(*line, "inline", *fixed).agg(F.count(F.lit(1)).alias("n"))
-    w = Window.partitionBy(*line).orderBy("inline")
-    fresh = F.coalesce((F.col("inline") - F.lag("inline").over(w) > F.col("gap") + 1).cast("int"), F.lit(1))
-    runs = hits.withColumn("fresh", fresh).withColumn("run", F.sum("fresh").over(w)).groupBy(*line, "run", *fixed).agg(F.min("inline").alias("start"), F.max("inline").alias("last"), F.sum("n").alias("pixels"))
-    end = F.when(F.col("along") - 1 - F.col("last") <= F.col("gap"), F.col("along") - 1).otherwise(F.col("last"))
-    runs = runs.withColumns({"end": end, "cross_start": F.greatest(F.lit(0), F.col("cross") - F.col("band")), "cross_end": F.least(F.col("limit") - 1, F.col("cross") + F.col("band"))})
-    long = runs.withColumn("length", F.col("end") - F.col("start") + 1).where(F.col("length") >= F.col("least"))
-    density = F.col("pixels") / (F.col("length") * (F.col("cross_end") - F.col("cross_start") + 1))
-    return long.withColumn("score", density).where(F.col("score").between(*DENSITY)).select("plan", "orientation", "start", "end", "cross_start", "cross_end", "score")
+    Strips of BLOCK lines are dealt singly, with the lines that the outer bands reach beyond them."""
+    ship(mask.sparkSession)
+    w, band, bx = F.col("bits"), F.col("band"), F.col("bx")
+    of = lambda v: F.floor(v / BLOCK).cast("int")
+    outer = w.bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), band) - 1) != 0
+    upper = F.call_function("shiftrightunsigned", w, F.lit(BLOCK) - band) != 0
+    strip = lambda name, k, ok: F.when(ok, F.struct(F.lit(name).alias("orientation"), k.alias("strip")))
+    first, last = of(F.col("gy") - band), of(F.col("gy") + band)
+    dealt_to = [strip("horizontal", first, first >= 0), strip("horizontal", last, last != first), strip("vertical", bx, F.lit(True)), strip("vertical", bx - 1, outer & (bx > 0)), strip("vertical", bx + 1, upper)]
+    known = settings(plans).select("plan", "sw", "sh", "band", "gap", "least")
+    each = words(mask, ["plan"]).join(known, "plan").select("plan", "gy", "bx", "bits", "sw", "sh", "band", "gap", "least", F.explode(F.filter(F.array(*dealt_to), lambda p: p.isNotNull())).alias("p"))
+    keys = ["plan", "orientation", "strip"]
+    dealt = each.select(*keys[:1], "p.*", "gy", "bx", "bits", "sw", "sh", "band", "gap", "least").repartition(*keys).sortWithinPartitions(*keys)
+    kind = mask.schema["plan"].dataType.simpleString()
+    runs = dealt.mapInPandas(_band_runs, f"plan {kind}, orientation string, start int, end int, cross_start int, cross_end int, pixels bigint")
+    density = F.col("pixels") / ((F.col("end") - F.col("start") + 1) * (F.col("cross_end") - F.col("cross_start") + 1))
+    return runs.withColumn("score", density).where(F.col("score").between(*DENSITY)).select("plan", "orientation", "start", "end", "cross_start", "cross_end", "score")
 
 
 def _split(rows: DataFrame, by: list[str], low: Column, high: Column, gap: str, name: str) -> DataFrame:
