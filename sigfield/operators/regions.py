@@ -3,8 +3,8 @@
 Masks are kept as runs: rows (plan, gy, x0, x1), ends inclusive, at most one run touching another in a line. A
 line's runs are few however wide the image is, so dilation, complements, intersections and connected components work
 on runs and only ``cells`` makes pixels of them. Everything is keyed by plan and line; one plan's lines are dealt
-singly. ``pixels`` are rows (plan, gx, gy, r, g, b, a); a pixel without a row is transparent black. ``plans`` are rows
-(plan, width, height).
+singly. ``pixels`` are rows (plan, gx, gy, r, g, b, a), or runs (plan, gy, x0, x1, r, g, b, a) of equal pixels that do not
+overlap; a pixel without a row is transparent black. ``plans`` are rows (plan, width, height).
 
 A plan without a mask has no rows. Empty images give none; null colours and an alpha of 24 or less count as
 transparent; a repeated pixel counts once in masks.
@@ -12,7 +12,7 @@ transparent; a repeated pixel counts once in masks.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -24,7 +24,7 @@ from sigfield.functions.scores import luminance, saturation
 from sigfield.operators.graph import by_groups, components, greedy, least_linked
 from sigfield.operators.raster import BLOCK, bits_of, words
 from sigfield.operators.walls import OPAQUE, backgrounds
-from sigfield.runtime import cut, ship
+from sigfield.runtime import cut, ship, spread
 
 TILE = 64
 STRIP = 128  # lines of an image that one task labels at once
@@ -50,12 +50,14 @@ def joined(intervals: DataFrame, keys: list[str]) -> DataFrame:
     w = Window.partitionBy(*keys, "gy").orderBy("x0", "x1")
     reach = F.max("x1").over(w.rowsBetween(Window.unboundedPreceding, -1))
     fresh = F.coalesce((F.col("x0") > reach + 1).cast("int"), F.lit(1))
-    numbered = intervals.withColumn("_fresh", fresh).withColumn("_run", F.sum("_fresh").over(w))
+    numbered = spread(intervals, *keys, "gy").withColumn("_fresh", fresh).withColumn("_run", F.sum("_fresh").over(w))
     return numbered.groupBy(*keys, "gy", "_run").agg(F.min("x0").alias("x0"), F.max("x1").alias("x1")).drop("_run")
 
 
 def runs_of(cells: DataFrame, keys: list[str]) -> DataFrame:
-    """Runs of cells, which may repeat."""
+    """Runs of cells, which may repeat, or of runs, which may overlap."""
+    if "x0" in cells.columns:
+        return joined(cells.select(*keys, "gy", "x0", "x1"), keys)
     w = F.col("bits")
     starts, ends = w.bitwiseAND(F.bitwise_not(F.shiftleft(w, 1))), w.bitwiseAND(F.bitwise_not(F.shiftrightunsigned(w, 1)))
     pieces = words(cells, keys).select(*keys, "gy", "bx", F.explode(F.arrays_zip(bits_of(starts).alias("x0"), bits_of(ends).alias("x1"))).alias("p"))
@@ -81,7 +83,7 @@ def complement(runs: DataFrame, plans: DataFrame) -> DataFrame:
     ends = plans.select("plan", F.explode(F.sequence(F.lit(0), F.col("height") - 1)).alias("gy"), F.array(F.struct(F.lit(-1).alias("x0"), F.lit(-1).alias("x1")), F.struct(F.col("width").alias("x0"), F.col("width").alias("x1"))).alias("e"))
     edged = runs.select("plan", "gy", "x0", "x1").unionByName(ends.select("plan", "gy", F.explode("e").alias("e")).select("plan", "gy", "e.*"))
     after = F.lead("x0").over(Window.partitionBy("plan", "gy").orderBy("x0"))
-    gaps = edged.withColumn("_next", after).where("_next > x1 + 1")
+    gaps = spread(edged, "plan", "gy").withColumn("_next", after).where("_next > x1 + 1")
     return gaps.select("plan", "gy", (F.col("x1") + 1).alias("x0"), (F.col("_next") - 1).alias("x1"))
 
 
@@ -136,7 +138,7 @@ def labelled(runs: DataFrame, plans: DataFrame, diagonal: bool = False, value: s
     keys = ["plan", *([value] if value else [])]
     t = runs.join(plans.select("plan", "width"), "plan").select(*keys, F.floor(F.col("gy") / STRIP).cast("int").alias("_strip"), "gy", "x0", "x1", (F.col("gy").cast("long") * F.col("width") + F.col("x0")).alias("id"))
     by = [*keys, "_strip"]
-    dealt = t.repartition(*by).sortWithinPartitions(*by, "gy", "x0")
+    dealt = spread(t, *by).sortWithinPartitions(*by, "gy", "x0")
     kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in t.schema if f.name != "id")
     slack = int(diagonal)
     t = cut(dealt.mapInPandas(lambda batches: _labelled_strips(batches, by, slack), f"{kinds}, label bigint"), "strips")
@@ -161,10 +163,10 @@ def stats(runs: DataFrame) -> DataFrame:
 
 
 def _colored(pixels: DataFrame, plans: DataFrame) -> DataFrame:
-    """Opaque pixels with their squared distance from the background, light and plan size."""
+    """Opaque pixels, or runs of them, with their squared distance from the background, light and plan size."""
     t = pixels.where(F.col("a") > OPAQUE).join(backgrounds(pixels, plans), "plan").join(plans, "plan")
     far = sum(((F.col(c) - F.col(f"b{c}")) * (F.col(c) - F.col(f"b{c}")) for c in "rgb"), F.lit(0.0))
-    return t.select("plan", "gx", "gy", far.alias("far"), (luminance(*(F.col(c) for c in "rgb")) / 255).alias("light"))
+    return t.select("plan", *(c for c in ("gx", "x0", "x1") if c in pixels.columns), "gy", far.alias("far"), (luminance(*(F.col(c) for c in "rgb")) / 255).alias("light"))
 
 
 def _annotation() -> Column:
@@ -208,8 +210,26 @@ def footprints(runs: DataFrame, plans: DataFrame) -> DataFrame:
     columns = _filled(cells(t).groupBy("plan", "width", "height", "gx").agg(F.min("gy").alias("lo"), F.max("gy").alias("hi")), "gx")
     pad = F.greatest(F.lit(1), _nearest(_side() / 900))
     across = rows.select("plan", "gy", F.greatest(F.lit(0), F.col("lo") - pad).alias("x0"), F.least(F.col("width") - 1, F.col("hi") + pad).alias("x1"))
-    down = columns.withColumn("gy", F.explode(F.sequence(F.greatest(F.lit(0), F.col("lo") - pad), F.least(F.col("height") - 1, F.col("hi") + pad))))
-    return common(across, runs_of(down, ["plan"]))
+    down = columns.select("plan", "gx", F.greatest(F.lit(0), F.col("lo") - pad).alias("lo"), F.least(F.col("height") - 1, F.col("hi") + pad).alias("hi"))
+    return common(across, _across(down))
+
+
+def _across(columns: DataFrame) -> DataFrame:
+    """Runs of the pixels of columns (plan, gx, lo, hi; ends inclusive, one row for each gx). A run begins where a column holds a line
+    that the one before it does not, and ends likewise, so that only these places are made."""
+    w = Window.partitionBy("plan").orderBy("gx")  # one row for each column of an image
+
+    def lines(f: Callable, step: int) -> Column:
+        beside = f("gx").over(w) == F.col("gx") + step
+        lo, hi = (F.when(beside, f(c).over(w)).otherwise(F.col("hi") + 1) for c in ("lo", "hi"))
+        span = lambda a, b: F.when(a <= b, F.sequence(a, b)).otherwise(F.expr("array()"))
+        return F.concat(span(F.col("lo"), F.least(F.col("hi"), F.coalesce(lo, F.col("hi") + 1) - 1)), span(F.greatest(F.col("lo"), F.coalesce(hi, F.col("hi") + 1) + 1), F.col("hi")))
+
+    edges = columns.withColumns({"_begins": lines(F.lag, -1), "_ends": lines(F.lead, 1)})
+    side = lambda c, k: edges.select("plan", "gx", F.lit(k).alias("_k"), F.explode(c).alias("gy"))
+    events = spread(side("_begins", 0).unionByName(side("_ends", 1)), "plan", "gy")
+    end = F.lead("gx").over(Window.partitionBy("plan", "gy").orderBy("gx", "_k"))
+    return events.withColumn("x1", end).where("_k = 0").select("plan", "gy", F.col("gx").alias("x0"), "x1")
 
 
 def house_masks(pixels: DataFrame, plans: DataFrame) -> DataFrame:
@@ -282,6 +302,7 @@ def median_colors(pixels: DataFrame, plans: DataFrame, radius: int = 2) -> DataF
     """Opaque pixels with the upper median of each channel over the square around them; beyond a border its pixels
     repeat. Each tile of an image, with the pixels just around it, is one small group."""
     ship(pixels.sparkSession)
+    pixels = cells(pixels) if "x0" in pixels.columns else pixels
     tile = lambda c: F.explode(F.sequence(F.floor((F.col(c) - radius) / TILE).cast("int"), F.floor((F.col(c) + radius) / TILE).cast("int")))
     t = pixels.join(plans, "plan").withColumn("tx", tile("gx")).withColumn("ty", tile("gy")).where("tx >= 0 and ty >= 0 and tx * {0} < width and ty * {0} < height".format(TILE))
     side = 2 * radius + 1

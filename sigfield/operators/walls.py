@@ -50,12 +50,17 @@ def settings(plans: DataFrame) -> DataFrame:
 
 def backgrounds(pixels: DataFrame, plans: DataFrame) -> DataFrame:
     """Each plan's mean colour (br, bg, bb) of sampled opaque border pixels, white where there are none. Corners
-    count for both of their sides."""
+    count for both of their sides. ``pixels`` may be runs (plan, gy, x0, x1, r, g, b, a)."""
     size = plans.select("plan", "width", "height", *(F.greatest(F.lit(1), F.floor(F.col(c) / 80)).alias(s) for c, s in (("width", "sx"), ("height", "sy"))))
     edge = lambda c, n: (F.col(c) == 0).cast("int") + (F.col(c) == F.col(n) - 1).cast("int")
     on = lambda c, s: (F.col(c) % F.col(s) == 0).cast("int")
     times = on("gx", "sx") * edge("gy", "height") + on("gy", "sy") * edge("gx", "width")
-    seen = pixels.where(F.col("a") > OPAQUE).join(size, "plan").withColumn("n", times).where("n > 0")
+    seen = pixels.where(F.col("a") > OPAQUE).join(size, "plan")
+    if "x0" in pixels.columns:  # of runs, only pixels that may lie at a border are made
+        at_line = (F.col("gy") == 0) | (F.col("gy") == F.col("height") - 1)
+        ends = F.when(at_line, F.sequence("x0", "x1")).otherwise(F.array_distinct(F.array("x0", "x1")))
+        seen = seen.where(at_line | (F.col("x0") == 0) | (F.col("x1") == F.col("width") - 1)).withColumn("gx", F.explode(ends))
+    seen = seen.withColumn("n", times).where("n > 0")
     mean = seen.groupBy("plan").agg(*((F.sum(F.col(c) * F.col("n")) / F.sum("n")).alias(f"b{c}") for c in "rgb"))
     return plans.select("plan").join(mean, "plan", "left").na.fill(255.0, ["br", "bg", "bb"])
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from sigfield.operators import masks, regions
 from sigfield.plans import views as V
 from sigfield.plans.registry import query
-from sigfield.runtime import cut
+from sigfield.runtime import cut, spread
 
 # a painted plan has 160 x 120 pixels; fixed thresholds below are those of this size
 
@@ -90,7 +90,7 @@ top AS (SELECT o.*, row_number() OVER (PARTITION BY o.plan ORDER BY o.k) AS plac
 
 
 def _painted(spark, d):
-    return cut(V.paintings(spark, d), "paintings"), V.painted_plans(spark, d)
+    return cut(V.painting_runs(spark, d), "paintings"), cut(spread(V.painted_plans(spark, d), "plan"), "plans")
 
 
 def _housed(spark, d):
@@ -144,4 +144,4 @@ def measured_color_rooms(spark, d):
 
 @query(_MARKS + " SELECT plan, 'P' || row_number() OVER (PARTITION BY plan ORDER BY y, x) AS point_id, round(x, 6) AS x, round(y, 6) AS y, round(score, 6) AS score FROM top WHERE place <= 8")
 def red_markers(spark, d):
-    return regions.red_markers(*_painted(spark, d)).withColumns({c: F.round(c, 6) for c in ("x", "y", "score")})
+    return regions.red_markers(V.painting_runs(spark, d), V.painted_plans(spark, d)).withColumns({c: F.round(c, 6) for c in ("x", "y", "score")})
