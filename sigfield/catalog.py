@@ -19,6 +19,7 @@ from sigfield.plans import surveys as _surveys  # noqa: F401
 from sigfield.plans import views as V
 from sigfield.plans.registry import ORACLE_SQL, QUERIES, query  # noqa: F401
 from sigfield.plans.views import with_views
+from sigfield.runtime import spread
 from sigfield.sources import sinks
 
 def _bins(spark: SparkSession, d: str) -> DataFrame:
@@ -273,7 +274,8 @@ _SIDE_SQL = [_NUMBER_SQL.format(f"regexp_extract(t, '([0-9]+[,.][0-9]+)\\s*[xX×
 @query(f"""WITH p AS (SELECT p_partkey, {_PLAN_TEXT} AS t FROM part), m AS (SELECT p_partkey, '1:' || nullif(regexp_extract(t, '1\\s*[:/]\\s*([0-9]+)', 1), '') AS scale, {_NUMBER_SQL.format("regexp_extract(t, '([0-9]+[,.]?[0-9]*)\\s*[mM][²2]', 1)")} AS area, {_SIDE_SQL[0]} AS w, {_SIDE_SQL[1]} AS h,
 array_to_string(list_filter([{_ROOM_SQL}], lambda r: r IS NOT NULL), ', ') AS rooms FROM p) SELECT p_partkey, scale, CASE WHEN area > 0 THEN area END AS area_m2, CASE WHEN w > 0 AND h > 0 AND w < 1000 AND h < 1000 THEN w END AS width_m, CASE WHEN w > 0 AND h > 0 AND w < 1000 AND h < 1000 THEN h END AS height_m, rooms FROM m""")
 def text_measurements(spark, d):
-    said = _table(spark, d, "part").select("p_partkey", S.text_measures(F.expr(_PLAN_TEXT)).alias("m"))
+    texts = spread(_table(spark, d, "part").select("p_partkey", F.expr(_PLAN_TEXT).alias("text")))  # made once, searched on all cores
+    said = texts.select("p_partkey", S.text_measures(F.col("text")).alias("m"))
     return said.select("p_partkey", "m.scale", "m.area_m2", "m.width_m", "m.height_m", F.array_join("m.rooms", ", ").alias("rooms"))
 
 
