@@ -139,7 +139,7 @@ def wall_summary(spark, d):
 @query()
 def plan_crops(spark, d):
     """Crops of the drawn plans; the steps depend on one another, so a plain scan stands in for SQL in the tests."""
-    return crop.crops(*_drawn(spark, d))
+    return crop.crops(V.drawing_runs(spark, d), V.drawn_plans(spark, d))
 
 
 @query(V.with_views("plans") + """, k AS (SELECT site, width, height, width/height AS raw, width_m/height_m AS target, width_m > 0 AND height_m > 0 AS known FROM plans), a AS (SELECT *, coalesce(known AND abs(raw-target)/target > 0.02, false) AS applied FROM k)
