@@ -1,7 +1,10 @@
-"""Steps that made a row of each pixel, or worked out a cell's number again for every use of it."""
+"""Steps that made a row of each pixel, or held several copies of what they read, or worked out a cell's number again for every use."""
+
+import tracemalloc
 
 import numpy as np
 
+from sigfield.llm.search import Shard
 from sigfield.operators import crop
 from tests.test_crop import _crop, _page
 
@@ -21,3 +24,17 @@ def test_crops_of_runs(spark):
     runs = spark.createDataFrame(rows, "plan int, gy int, x0 int, x1 int, r int, g int, b int").repartition(6)
     got = {r.plan: (r.left, r.top, r.right, r.bottom, r.cropped) for r in crop.crops(runs, plans).collect()}
     assert got == {k: _crop(p) for k, p in pages.items()}
+
+
+def test_shard_memory():
+    """An index is made in little more memory than it takes."""
+    rng = np.random.default_rng(1)
+    n, each = 20_000, 100
+    terms = list(np.sort(rng.integers(0, 1 << 40, (n, each)) // (1 << 20), axis=1))
+    counts = list(np.ones((n, each), np.int32))
+    tracemalloc.start()
+    shard = Shard(terms, counts, np.full(n, each), each, 1.2, 0.75)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(shard.term) == n * each and not terms and not counts
+    assert peak < 60 * n * each  # 75 with copies
