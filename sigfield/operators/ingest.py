@@ -136,8 +136,8 @@ def read_survey_csv(spark: SparkSession, path: str, tie: str = "first_seen") ->
     records = cut(read_records(spark, path), "records")
     if not records.limit(1).count():
         return Survey(None, errors=["CSV is empty."])
-    heads = records.groupBy("file").agg(F.min(F.struct("number", "record")).alias("h"))
-    heads = heads.select("file", F.col("h.number").alias("first"), _best_delimiter(F.col("h.record")).alias("delimiter"), F.col("h.record").alias("header"))
+    heads = records.join(records.groupBy("file").agg(F.min("number").alias("number")), ["file", "number"])
+    heads = heads.select("file", F.col("number").alias("first"), _best_delimiter(F.col("record")).alias("delimiter"), F.col("record").alias("header"))
     heads = cut(heads.withColumn("at", _field_places(split_cells(F.col("header"), F.col("delimiter")))).drop("header"), "headers")
     body = records.join(heads, "file").where("number > first").withColumn("cells", split_cells(F.col("record"), F.col("delimiter")))
     value = lambda k: F.when(F.col("at")[k].isNotNull(), F.coalesce(F.get("cells", F.col("at")[k].cast("int")), F.lit(""))).alias(FIELDS[k])
@@ -155,14 +155,17 @@ def parse_rows(body: DataFrame, tie: str = "first_seen") -> DataFrame:
 
 def parse_fields(fields: DataFrame, tie: str = "first_seen") -> DataFrame:
     """Rows of row_idx, the text of each field and the kind of coordinates, as merged survey rows."""
-    text = F.col
-    band = F.coalesce(S.normalize_band(text("band")), S.band_from_channel(S.parse_number(text("channel"))), S.band_from_ssid(text("ssid")))
+    text, names = F.col, ["x", "y", "band", "channel", "rssi", "distance", *(f"rssi_{b}" for b in BANDS)]
+    number = lambda name: F.col("_numbers")[names.index(name)]
+    fields = fields.withColumns({"_numbers": S.parse_numbers(F.array(*map(text, names))), "_band": S.normalize_cell(text("band")), "_ssid": S.normalize_cell(text("ssid"))})
+    band = F.coalesce(S.band_of(number("band"), F.col("_band")), S.band_from_channel(number("channel")), S.band_of_name(F.col("_ssid")))
     rows = fields.select(
-        "row_idx", S.normalize_point_id(text("point_id")).alias("raw_id"), S.parse_number(text("x")).alias("x"), S.parse_number(text("y")).alias("y"), F.col("kind").alias("coordinate_kind"), band.alias("band"),
-        F.upper(F.trim(text("mac"))).alias("mac"), F.trim(text("ssid")).alias("ssid"), S.parse_number(text("rssi")).alias("rssi"), S.parse_number(text("distance")).alias("distance_m"), F.nullif(F.trim(text("timestamp")), F.lit("")).alias("timestamp"),
-        *(S.parse_number(text(f"rssi_{b}")).alias(f"rssi_{b}") for b in BANDS),
+        "row_idx", S.normalize_point_id(text("point_id")).alias("raw_id"), number("x").alias("x"), number("y").alias("y"), F.col("kind").alias("coordinate_kind"), band.alias("band"),
+        F.upper(F.trim(text("mac"))).alias("mac"), F.trim(text("ssid")).alias("ssid"), number("rssi").alias("rssi"), number("distance").alias("distance_m"), F.nullif(F.trim(text("timestamp")), F.lit("")).alias("timestamp"),
+        *(number(f"rssi_{b}").alias(f"rssi_{b}") for b in BANDS),
     )
-    rows = rows.withColumns({f"rssi_{b}": F.coalesce(f"rssi_{b}", F.when(F.col("band") == b, F.col("rssi"))) for b in BANDS})
+    # written once: else each filter upon a value would work out its cell, and what the cell is cut from, for every use in it
+    rows = cut(rows, "parsed").withColumns({f"rssi_{b}": F.coalesce(f"rssi_{b}", F.when(F.col("band") == b, F.col("rssi"))) for b in BANDS})
     return merge_rows(keep_dominant(rows, tie))
 
 
@@ -188,9 +191,9 @@ def merge_rows(rows: DataFrame) -> DataFrame:
     are named P1, P2 in the order in which they are first seen, rows without either after their line."""
     key = F.coalesce(F.lower("raw_id"), S.coordinate_key(F.col("x"), F.col("y")), F.concat(F.lit("p"), F.col("row_idx")))
     first = lambda c, ok=None: F.min_by(c, F.when(F.col(c).isNotNull() if ok is None else ok, F.col("row_idx"))).alias(c)
-    merged = rows.withColumn("key", key).groupBy("key").agg(
+    merged = cut(rows.withColumn("key", key).groupBy("key").agg(
         F.min("row_idx").alias("row_idx"), first("raw_id"), first("x"), first("y"), first("coordinate_kind"), first("distance_m"), first("timestamp", F.col("timestamp") != ""), *(F.max(f"rssi_{b}").alias(f"rssi_{b}") for b in BANDS)
-    )
+    ), "merged")
     named = F.col("raw_id").isNotNull() | ~F.col("key").startswith("coord:")
     numbered = running(merged.where(~named), ["row_idx"]).withColumn("point_id", F.concat(F.lit("P"), "upto")).drop("upto", "total")
     known = merged.where(named).withColumn("point_id", F.coalesce("raw_id", F.concat(F.lit("P"), F.col("row_idx"))))

@@ -3,9 +3,11 @@
 import tracemalloc
 
 import numpy as np
+from pyspark.sql import functions as F
 
+from sigfield.functions import scalars
 from sigfield.llm.search import Shard
-from sigfield.operators import crop
+from sigfield.operators import crop, ingest
 from tests.test_crop import _crop, _page
 
 
@@ -38,3 +40,22 @@ def test_shard_memory():
     tracemalloc.stop()
     assert len(shard.term) == n * each and not terms and not counts
     assert peak < 60 * n * each  # 75 with copies
+
+
+def test_survey_cells_are_read_once(spark):
+    """What the transmitters' election and the merge filter upon is not worked out of the texts again."""
+    names = ["row_idx", "x", "y", "sinal", "ch", "mac", "ssid"]
+    rows = [(1, "1.234,5", "2", "-40 dBm", "6", "aa", "n"), (2, "1,234.5", "2", "-30", "6", "bb", ""), (3, "3", None, "-50", "36", "cc", "home_5g"), (4, "", "2", "x", None, None, None)]
+    out = ingest.parse_rows(spark.createDataFrame(rows, names).repartition(2))
+    assert "regexp" not in out._jdf.queryExecution().optimizedPlan().toString()
+    got = {r.row_idx: (r.point_id, r.x, r.y, r.rssi_24ghz, r.rssi_5ghz) for r in out.collect()}
+    assert got == {1: ("P1", 1234.5, 2.0, -40.0, None), 3: ("P3", 3.0, None, None, -50.0), 4: ("P4", None, 2.0, None, None)}
+
+
+def test_parse_numbers(spark):
+    texts = ["1.234,5", "1,234.5", "-3", "+4,5", "", "abc", None, "1,2,3", "1.2.3", "1,2,3.4", "12 dBm", "-", "1.2,3,4", "5.", ",5"]
+    t = spark.createDataFrame([(texts,)], "t array<string>")
+    many = t.select(F.explode_outer(scalars.parse_numbers(F.col("t"))).alias("n"))
+    single = t.select(F.explode("t").alias("v")).select(scalars.parse_number(F.col("v")).alias("n"))
+    assert [r.n for r in many.collect()] == [r.n for r in single.collect()]
+    assert [r.n for r in many.collect()][:8] == [1234.5, 1234.5, -3.0, 4.5, None, None, None, None]
