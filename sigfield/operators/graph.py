@@ -117,13 +117,13 @@ def greedy(rows: DataFrame, by: list[str], within: dict[str, float], order: list
     while undecided.limit(1).count():
         firsts = undecided.groupBy(*keys).agg(F.min("_order").alias("_order"))
         least = around(firsts).groupBy(*keys).agg(F.min("_order").alias("_least"))
-        won = cut(undecided.join(least, keys).where(F.col("_order") == F.col("_least")).drop("_least"), "kept")
+        won = cut(undecided.join(least.hint("merge"), keys).where(F.col("_order") == F.col("_least")).drop("_least"), "kept")
         kept.append(won.select(*names))
         a, b = undecided.alias("a"), around(won).alias("b")
         of = lambda side: lambda c: F.col(f"{side}.{c}")
         same = [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in by] + [F.col(f"a.{c}") == F.col(f"b.{c}") for c in cells]
         gone = (F.col("a._order") == F.col("b._order")) | conflict(of("a"), of("b"))
-        undecided = cut(a.join(b, [*same, gone], "left_anti"), "undecided")
+        undecided = cut(a.join(b.hint("merge"), [*same, gone], "left_anti"), "undecided")
     out = kept[0] if kept else rows.where("false")
     for k in kept[1:]:
         out = out.unionByName(k)

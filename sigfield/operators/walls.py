@@ -1,8 +1,9 @@
 """Walls from plan images: candidates along both axes, their merging, the graph they form, and their material.
 
-An image is rows (plan, gx, gy, r, g, b, a); pixels without a row are transparent. ``plans`` has one row a plan:
-(plan, width, height). Many plans are worked on in one job, and the pixels of one are dealt by line, cell or
-wall, never all to one task. Candidates are rows (plan, orientation, start, end, cross_start, cross_end, score)
+An image is rows (plan, gx, gy, r, g, b, a), or runs (plan, gy, x0, x1, r, g, b, a) of equal pixels; pixels without a row are
+transparent. ``plans`` has one row a plan: (plan, width, height). Many plans are worked on in one job, and the pixels of one
+are dealt by line, cell or wall, never all to one task. Traced pixels stay runs, then words of BLOCK pixels, so that only
+``trace_mask`` makes a row for each. Candidates are rows (plan, orientation, start, end, cross_start, cross_end, score)
 in scaled pixels, ends inclusive; ``horizontal`` ones run along x and cross y.
 
 An empty image, or one with too few or too many traced pixels, has no walls. Null colours and an alpha of 24 or
@@ -22,19 +23,30 @@ from sigfield.functions.scalars import clamp, round_half_up
 from sigfield.functions.scores import hue_degrees, luminance, saturation
 from sigfield.operators.graph import by_groups, components, greedy
 from sigfield.operators.raster import BLOCK, bits_of, words
-from sigfield.runtime import cut, ship
+from sigfield.runtime import cut, ship, spread
 
 # fixed values: thresholds of traced pixels, candidates and structural walls
 CONTRAST, LIGHT, VIVID, VIVID_CONTRAST, OPAQUE = 42, 0.74, 0.24, 30, 24
 DENSITY, MOST_COVERED, FEWEST, FEWEST_SHARE = (0.06, 0.92), 0.46, 40, 0.00004
 ASPECT, MOST_WALLS = 4.8, 110
 CELL = 64  # scaled pixels to a side of a cell in which segments meet
+SHARES = 8  # tasks that the lines of one plan are dealt to, strip by strip
 
 
 def _nearest(v: Column) -> Column:
     return F.floor(v + 0.5).cast("int")
 
 
+def of_plans(rows: DataFrame, known: DataFrame) -> DataFrame:
+    """Rows of lines (plan, gy) with what is known of their plan, one row each.
+
+    Files of images are a hundred times smaller than their rows in memory. By the files' size Spark would gather the rows in
+    the driver and send them to every task; so both sides are dealt by plan and strip instead."""
+    share = F.pmod(F.floor(F.col("gy") / BLOCK), F.lit(SHARES)).cast("int")
+    shares = known.withColumn("_share", F.explode(F.array(*map(F.lit, range(SHARES)))))
+    return spread(rows.withColumn("_share", share), "plan", "_share").join(spread(shares, "plan", "_share").hint("merge"), ["plan", "_share"]).drop("_share")
+
+
 def settings(plans: DataFrame) -> DataFrame:
     """Plans with what their sizes decide: scale, scaled size, band, gap, least length and tolerances."""
     whole = lambda v, lo, hi: clamp(v.cast("double"), lo, hi).cast("int")
@@ -55,28 +67,29 @@ def backgrounds(pixels: DataFrame, plans: DataFrame) -> DataFrame:
     edge = lambda c, n: (F.col(c) == 0).cast("int") + (F.col(c) == F.col(n) - 1).cast("int")
     on = lambda c, s: (F.col(c) % F.col(s) == 0).cast("int")
     times = on("gx", "sx") * edge("gy", "height") + on("gy", "sy") * edge("gx", "width")
-    seen = pixels.where(F.col("a") > OPAQUE).join(size, "plan")
+    seen = of_plans(pixels.where(F.col("a") > OPAQUE), size)
     if "x0" in pixels.columns:  # of runs, only pixels that may lie at a border are made
         at_line = (F.col("gy") == 0) | (F.col("gy") == F.col("height") - 1)
         ends = F.when(at_line, F.sequence("x0", "x1")).otherwise(F.array_distinct(F.array("x0", "x1")))
         seen = seen.where(at_line | (F.col("x0") == 0) | (F.col("x1") == F.col("width") - 1)).withColumn("gx", F.explode(ends))
     seen = seen.withColumn("n", times).where("n > 0")
     mean = seen.groupBy("plan").agg(*((F.sum(F.col(c) * F.col("n")) / F.sum("n")).alias(f"b{c}") for c in "rgb"))
-    return plans.select("plan").join(mean, "plan", "left").na.fill(255.0, ["br", "bg", "bb"])
+    return plans.select("plan").join(mean.hint("merge"), "plan", "left").na.fill(255.0, ["br", "bg", "bb"])
 
 
 def traced(pixels: DataFrame, plans: DataFrame) -> DataFrame:
-    """Opaque pixels that stand out from their plan's background, with all of ``settings``."""
-    known = settings(plans).join(backgrounds(pixels, plans), "plan")
-    p = pixels.select("plan", "gx", "gy", "r", "g", "b", "a").where(F.col("a") > OPAQUE).join(known, "plan")
+    """Runs (plan, gy, x0, x1, r, g, b, scale) of opaque pixels that stand out from their plan's background; of pixels, a run each."""
+    known = settings(plans).select("plan", "scale").join(backgrounds(pixels, plans).hint("merge"), "plan")
+    ends = ["x0", "x1"] if "x0" in pixels.columns else [F.col("gx").alias("x0"), F.col("gx").alias("x1")]
+    p = of_plans(pixels.where(F.col("a") > OPAQUE).select("plan", "gy", *ends, "r", "g", "b"), known)
     at = [F.col(c) for c in "rgb"]
     far = sum(((F.col(c) - F.col(f"b{c}")) * (F.col(c) - F.col(f"b{c}")) for c in "rgb"), F.lit(0.0))
     light, vivid = luminance(*at) / 255, saturation(*at)
-    return p.where((far > CONTRAST * CONTRAST) | (light < LIGHT) | ((vivid > VIVID) & (far > VIVID_CONTRAST * VIVID_CONTRAST)))
+    return p.where((far > CONTRAST * CONTRAST) | (light < LIGHT) | ((vivid > VIVID) & (far > VIVID_CONTRAST * VIVID_CONTRAST))).drop("br", "bg", "bb")
 
 
-def trace_mask(pixels: DataFrame, plans: DataFrame) -> DataFrame:
-    """Scaled cells (plan, gx, gy) that hold a traced pixel and have one of the 8 cells around them too."""
+def mask_words(pixels: DataFrame, plans: DataFrame) -> DataFrame:
+    """``trace_mask`` as words (plan, gy, bx, bits) of BLOCK cells of a line."""
     scaled = lambda c: F.floor(F.col(c) / F.col("scale")).cast("int").alias(c)
     w = F.col("bits")
     beside = F.shiftleft(w, 1).bitwiseOR(F.shiftrightunsigned(w, 1))
@@ -84,16 +97,24 @@ def trace_mask(pixels: DataFrame, plans: DataFrame) -> DataFrame:
     sent = lambda dy, dx, near, own=nothing: F.struct((F.col("gy") + dy).alias("gy"), (F.col("bx") + dx).alias("bx"), near.alias("near"), own.alias("own"))
     # each word's bits go to those around them, the outer ones to the words beside
     parts = [part for dy in (-1, 0, 1) for part in (sent(dy, 0, beside if dy == 0 else w.bitwiseOR(beside), w if dy == 0 else nothing), sent(dy, 1, F.shiftrightunsigned(w, 63)), sent(dy, -1, F.shiftleft(w, 63)))]
-    moved = words(traced(pixels, plans).select("plan", scaled("gx"), scaled("gy")), ["plan"]).select("plan", F.explode(F.filter(F.array(*parts), lambda p: p["near"].bitwiseOR(p["own"]) != 0)).alias("p")).select("plan", "p.*")
+    own = words(traced(pixels, plans).select("plan", scaled("x0"), scaled("x1"), scaled("gy")), ["plan"])
+    moved = own.select("plan", F.explode(F.filter(F.array(*parts), lambda p: p["near"].bitwiseOR(p["own"]) != 0)).alias("p")).select("plan", "p.*")
     joined = moved.groupBy("plan", "gy", "bx").agg(F.bit_or("near").bitwiseAND(F.bit_or("own")).alias("bits"))
-    return joined.select("plan", "gy", "bx", F.explode(bits_of(w)).alias("k")).select("plan", (F.col("bx") * BLOCK + F.col("k")).cast("int").alias("gx"), "gy")
+    return joined.where("bits <> 0")
+
+
+def trace_mask(pixels: DataFrame, plans: DataFrame) -> DataFrame:
+    """Scaled cells (plan, gx, gy) that hold a traced pixel and have one of the 8 cells around them too."""
+    found = spread(mask_words(pixels, plans), "plan", "gy")  # each word becomes many rows
+    return found.select("plan", "gy", "bx", F.explode(bits_of(F.col("bits"))).alias("k")).select("plan", (F.col("bx") * BLOCK + F.col("k")).cast("int").alias("gx"), "gy")
 
 
 def coverage(mask: DataFrame, plans: DataFrame) -> DataFrame:
-    """Each plan's share of mask cells, and whether the mask is neither too empty nor too full for walls."""
+    """Each plan's share of mask cells, which may come as words, and whether the mask is neither too empty nor too full for walls."""
     size = F.col("sw") * F.col("sh")
     n = F.coalesce(F.col("n"), F.lit(0))
-    counted = settings(plans).join(mask.groupBy("plan").agg(F.count(F.lit(1)).alias("n")), "plan", "left").withColumn("covered", n / F.greatest(size, F.lit(1)))
+    each = F.sum(F.bit_count("bits")) if "bits" in mask.columns else F.count(F.lit(1))
+    counted = settings(plans).join(mask.groupBy("plan").agg(each.alias("n")).hint("merge"), "plan", "left").withColumn("covered", n / F.greatest(size, F.lit(1)))
     usable = (n >= F.greatest(F.lit(float(FEWEST)), size * FEWEST_SHARE)) & (F.col("covered") <= MOST_COVERED)
     return counted.select("plan", "covered", usable.alias("usable"))
 
@@ -142,7 +163,7 @@ def _band_runs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def axis_candidates(mask: DataFrame, plans: DataFrame) -> DataFrame:
     """Runs along every line of both axes. A line is a band of lines around it; a place is hit where the band
     has a mask cell; hits at most ``gap`` misses apart make a run, which reaches the border if that is as near. Runs
-    that are long enough stay if the share of mask cells in their box is within DENSITY.
+    that are long enough stay if the share of mask cells in their box is within DENSITY. ``mask`` may come as words.
 
     Strips of BLOCK lines are dealt singly, with the lines that the outer bands reach beyond them."""
     ship(mask.sparkSession)
@@ -154,9 +175,10 @@ def axis_candidates(mask: DataFrame, plans: DataFrame) -> DataFrame:
     first, last = of(F.col("gy") - band), of(F.col("gy") + band)
     dealt_to = [strip("horizontal", first, first >= 0), strip("horizontal", last, last != first), strip("vertical", bx, F.lit(True)), strip("vertical", bx - 1, outer & (bx > 0)), strip("vertical", bx + 1, upper)]
     known = settings(plans).select("plan", "sw", "sh", "band", "gap", "least")
-    each = words(mask, ["plan"]).join(known, "plan").select("plan", "gy", "bx", "bits", "sw", "sh", "band", "gap", "least", F.explode(F.filter(F.array(*dealt_to), lambda p: p.isNotNull())).alias("p"))
+    each = of_plans(words(mask, ["plan"]), known).select("plan", "gy", "bx", "bits", "sw", "sh", "band", "gap", "least", F.explode(F.filter(F.array(*dealt_to), lambda p: p.isNotNull())).alias("p"))
     keys = ["plan", "orientation", "strip"]
-    dealt = each.select(*keys[:1], "p.*", "gy", "bx", "bits", "sw", "sh", "band", "gap", "least").repartition(*keys).sortWithinPartitions(*keys)
+    dealt = each.select(*keys[:1], "p.*", "gy", "bx", "bits", "sw", "sh", "band", "gap", "least")
+    dealt = spread(dealt, *keys).sortWithinPartitions(*keys)
     kind = mask.schema["plan"].dataType.simpleString()
     runs = dealt.mapInPandas(_band_runs, f"plan {kind}, orientation string, start int, end int, cross_start int, cross_end int, pixels bigint")
     density = F.col("pixels") / ((F.col("end") - F.col("start") + 1) * (F.col("cross_end") - F.col("cross_start") + 1))
@@ -164,15 +186,13 @@ def axis_candidates(mask: DataFrame, plans: DataFrame) -> DataFrame:
 
 
 def _split(rows: DataFrame, by: list[str], low: Column, high: Column, gap: str, name: str) -> DataFrame:
-    """Number the groups of intervals that a space wider than ``gap`` parts from the others. Only the distinct
-    lower ends go into the window: at most one for each line of an image."""
-    rows = rows.withColumn("_low", low)
-    ends = rows.groupBy(*by, gap, "_low").agg(F.max(high).alias("_high"))
+    """Number the groups of intervals that a space wider than ``gap`` parts from the others. The windows order rows of one image;
+    rows that begin alike get one number, since only the first of them can be fresh."""
     w = Window.partitionBy(*by).orderBy("_low")
     before = F.max("_high").over(w.rowsBetween(Window.unboundedPreceding, -1))
     fresh = F.coalesce((F.col("_low") - before > F.col(gap)).cast("int"), F.lit(1))
-    numbered = ends.withColumn("_fresh", fresh).withColumn(name, F.sum("_fresh").over(w)).select(*by, "_low", name)
-    return rows.join(numbered, [*by, "_low"]).drop("_low")
+    numbered = rows.withColumns({"_low": low, "_high": high}).withColumn("_fresh", fresh)
+    return numbered.withColumn(name, F.sum("_fresh").over(w)).drop("_low", "_high", "_fresh")
 
 
 _FIELDS = ["start", "end", "cross_start", "cross_end", "score"]
@@ -193,13 +213,13 @@ def fold_parallel(candidates: DataFrame, plans: DataFrame, cross_gap: str) -> Da
     known = settings(plans).select("plan", "gap", (F.col(cross_gap) * 2).alias("cross_gap2"))
     rank = F.col("rank") if "rank" in candidates.columns else F.array().cast("array<bigint>")
     centre = F.col("cross_start") + F.col("cross_end")  # twice the centre
-    rows = candidates.join(known, "plan").select("plan", "orientation", *_FIELDS, "gap", "cross_gap2", centre.alias("centre2"), F.concat(F.array(centre.cast("long"), F.col("start").cast("long")), rank).alias("rank"))
+    rows = candidates.join(known.hint("merge"), "plan").select("plan", "orientation", *_FIELDS, "gap", "cross_gap2", centre.alias("centre2"), F.concat(F.array(centre.cast("long"), F.col("start").cast("long")), rank).alias("rank"))
     by = ["plan", "orientation"]
-    rows = _split(rows, by, F.col("centre2"), F.col("centre2"), "cross_gap2", "i1")
+    rows = _split(spread(rows, *by), by, F.col("centre2"), F.col("centre2"), "cross_gap2", "i1")
     rows = _split(rows, [*by, "i1"], F.col("start"), F.col("end"), "gap", "i2")
     rows = _split(rows, [*by, "i1", "i2"], F.col("centre2"), F.col("centre2"), "cross_gap2", "i3")
     keys = [*by, "i1", "i2", "i3"]
-    dealt = rows.repartition(*keys).sortWithinPartitions(*keys, "rank").select(*keys, "gap", "cross_gap2", "centre2", "rank", *_FIELDS)
+    dealt = spread(rows, *keys).sortWithinPartitions(*keys, "rank").select(*keys, "gap", "cross_gap2", "centre2", "rank", *_FIELDS)
     names = ["plan", "orientation", *_FIELDS, "rank"]
 
     def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -240,7 +260,7 @@ def _structural(least) -> Column:
 
 def merged_segments(candidates: DataFrame, plans: DataFrame) -> DataFrame:
     """Candidates merged by the narrow gap, then those of wall-like shape by the wide one."""
-    first = fold_parallel(candidates, plans, "cross_gap")
+    first = cut(fold_parallel(candidates, plans, "cross_gap"), "merged")
     return fold_parallel(first.where(_structural(1)), plans, "wide_gap")
 
 
@@ -256,7 +276,7 @@ def crossings(segments: DataFrame, reach: str) -> DataFrame:
     side = lambda name: segments.where(F.col("orientation") == name).select("plan", "id", centre.alias("at"), (F.col("start") - F.col(reach)).alias("lo"), (F.col("end") + F.col(reach)).alias("hi"))
     h = side("horizontal").select("plan", F.col("id").alias("h"), F.col("at").alias("y"), F.col("lo").alias("hlo"), F.col("hi").alias("hhi"), F.floor(F.col("at") / CELL).cast("int").alias("cy"), _cells(F.col("lo"), F.col("hi")).alias("cx"))
     v = side("vertical").select("plan", F.col("id").alias("v"), F.col("at").alias("x"), F.col("lo").alias("vlo"), F.col("hi").alias("vhi"), F.floor(F.col("at") / CELL).cast("int").alias("cx"), _cells(F.col("lo"), F.col("hi")).alias("cy"))
-    return h.join(v, ["plan", "cx", "cy"]).where("x between hlo and hhi and y between vlo and vhi").select("plan", "h", "v")
+    return h.join(v.hint("merge"), ["plan", "cx", "cy"]).where("x between hlo and hhi and y between vlo and vhi").select("plan", "h", "v")
 
 
 def _both_ways(pairs: DataFrame) -> DataFrame:
@@ -272,7 +292,7 @@ def parallel_neighbours(segments: DataFrame) -> DataFrame:
     overlap = F.least("end", "e2") - F.greatest("start", "s2") + 1
     near = (F.abs(F.col("c") - F.col("c2")) <= F.col("parallel")) & (overlap > 0) & (overlap / F.greatest(F.lit(1), F.least(_length(), F.col("e2") - F.col("s2") + 1)) > 0.54)
     owner = F.col("cell") == F.floor(F.greatest("start", "s2") / CELL)
-    return s.join(t, ["plan", "orientation", "row", "cell"]).where((F.col("id") != F.col("other")) & owner & near).groupBy("plan", "id").agg(F.count(F.lit(1)).alias("n"))
+    return s.join(t.hint("merge"), ["plan", "orientation", "row", "cell"]).where((F.col("id") != F.col("other")) & owner & near).groupBy("plan", "id").agg(F.count(F.lit(1)).alias("n"))
 
 
 def _touches_frame() -> Column:
@@ -286,10 +306,10 @@ def structural_segments(segments: DataFrame, plans: DataFrame) -> DataFrame:
     """Merged segments that look like walls: at the frame, or joined to others, and not stripes of furniture.
     Rows gain ``id``: the orientation's number and the rank."""
     turn = F.array(F.when(F.col("orientation") == "horizontal", 0).otherwise(1).cast("long"))
-    s = segments.withColumn("id", F.concat(turn, "rank")).join(settings(plans), "plan")
+    s = segments.withColumn("id", F.concat(turn, "rank")).join(settings(plans).hint("merge"), "plan")
     met = _both_ways(crossings(s, "junction")).groupBy("plan", "id").agg(F.count(F.lit(1)).alias("junctions"))
     beside = parallel_neighbours(s).withColumnRenamed("n", "stripes")
-    t = s.join(met, ["plan", "id"], "left").join(beside, ["plan", "id"], "left").na.fill(0, ["junctions", "stripes"]).withColumn("touches", _touches_frame())
+    t = s.join(met.hint("merge"), ["plan", "id"], "left").join(beside.hint("merge"), ["plan", "id"], "left").na.fill(0, ["junctions", "stripes"]).withColumn("touches", _touches_frame())
     long = lambda f: _length() >= F.col("longest") * f
     boundary, joined, divider = F.col("touches") & long(0.16), long(0.09) & (F.col("junctions") >= 1), (_length() >= F.col("least") * 2.1) & (F.col("junctions") >= 2)
     stripe = (F.col("stripes") >= 2) & ~long(0.28) & ~F.col("touches")
@@ -300,7 +320,7 @@ def wall_graph(segments: DataFrame, plans: DataFrame) -> DataFrame:
     """Structural segments of the graph's main components: those that are long enough and reach the frame or have
     two junctions; where a plan has none, its longest component if that is long enough. Segments are linked
     where they cross or have ends near one another. Rows gain ``component``, its least id."""
-    s = cut(segments.join(settings(plans), "plan"), "structural")
+    s = cut(segments.join(settings(plans).hint("merge"), "plan"), "structural")
     met = cut(crossings(s, "graph"), "crossings")
     centre = (F.col("cross_start") + F.col("cross_end")) / 2
     flat = F.col("orientation") == "horizontal"
@@ -310,19 +330,19 @@ def wall_graph(segments: DataFrame, plans: DataFrame) -> DataFrame:
     a = ends.withColumns({"cx": cell("x"), "cy": cell("y")})
     wide = lambda c: F.explode(F.sequence(F.col(c) - 1, F.col(c) + 1))
     b = a.select("plan", F.col("id").alias("b"), F.col("x").alias("x2"), F.col("y").alias("y2"), wide("cx").alias("cx"), "cy").withColumn("cy", wide("cy"))
-    near = a.withColumnRenamed("id", "a").join(b, ["plan", "cx", "cy"]).where((F.col("a") < F.col("b")) & (F.hypot(F.col("x") - F.col("x2"), F.col("y") - F.col("y2")) <= F.col("reach"))).select("plan", "a", "b")
+    near = a.withColumnRenamed("id", "a").join(b.hint("merge"), ["plan", "cx", "cy"]).where((F.col("a") < F.col("b")) & (F.hypot(F.col("x") - F.col("x2"), F.col("y") - F.col("y2")) <= F.col("reach"))).select("plan", "a", "b")
     links = met.select("plan", F.col("h").alias("a"), F.col("v").alias("b")).unionByName(near)
     labels = components(s, links, ["plan"]).withColumnRenamed("label", "component")
     junctions = _both_ways(met).groupBy("plan", "id").agg(F.count(F.lit(1)).alias("n"))
-    t = s.join(labels, ["plan", "id"]).join(junctions, ["plan", "id"], "left").na.fill(0, ["n"])
+    t = s.join(labels.hint("merge"), ["plan", "id"]).join(junctions.hint("merge"), ["plan", "id"], "left").na.fill(0, ["n"])
     sums = t.groupBy("plan", "component", "longest").agg(F.count(F.lit(1)).alias("members"), F.sum(_length()).alias("total"), F.count_if(_touches_frame()).alias("touching"), F.sum("n").alias("junctions"))
     alone = (F.col("members") == 1) & (F.col("touching") > 0) & (F.col("total") >= F.col("longest") * 0.28)
     several = (F.col("members") > 1) & (F.col("total") >= F.col("longest") * 0.26) & ((F.col("touching") > 0) | (F.col("junctions") >= 2))
     judged = sums.withColumn("main", alone | several)
     best = judged.groupBy("plan").agg(F.bool_or("main").alias("any"), F.min(F.struct((-F.col("total")).alias("t"), "component")).alias("best"))
     fallback = ~F.col("any") & (F.col("component") == F.col("best.component")) & (F.col("total") >= F.col("longest") * 0.26)
-    kept = judged.join(best, "plan").where(F.col("main") | fallback).select("plan", "component")
-    return t.join(kept, ["plan", "component"], "left_semi").select("plan", "id", "component", "orientation", *_FIELDS)
+    kept = judged.join(best.hint("merge"), "plan").where(F.col("main") | fallback).select("plan", "component")
+    return t.join(kept.hint("merge"), ["plan", "component"], "left_semi").select("plan", "id", "component", "orientation", *_FIELDS)
 
 
 def placed_walls(segments: DataFrame, plans: DataFrame, most: int = MOST_WALLS) -> DataFrame:
@@ -330,7 +350,7 @@ def placed_walls(segments: DataFrame, plans: DataFrame, most: int = MOST_WALLS)
     worth = _length() * F.col("score")
     w = Window.partitionBy("plan").orderBy(F.desc("worth"), "component", "id")
     top = segments.withColumn("worth", worth).withColumn("number", F.row_number().over(w)).where(F.col("number") <= most)
-    t = top.join(settings(plans), "plan")
+    t = top.join(settings(plans).hint("merge"), "plan")
     flat = F.col("orientation") == "horizontal"
     limit = lambda v, n: round_half_up(clamp(v.cast("double"), F.lit(0.0), (F.col(n) - 1).cast("double")), 1)
     centre = (F.col("cross_start") + F.col("cross_end") + 1) * F.col("scale") * 0.5
@@ -346,21 +366,22 @@ def trace_profiles(walls: DataFrame, pixels: DataFrame, plans: DataFrame) -> Dat
     first. Walls shorter than 8 pixels or without a traced pixel have no row."""
     known = settings(plans).select("plan", F.greatest("width", "height").alias("side"))
     size = lambda by, lo, hi: clamp(_nearest(F.col("side") / by).cast("double"), lo, hi)
-    t = walls.select("plan", "number", "x0", "y0", "x1", "y1").join(known, "plan").withColumn("length", F.hypot(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0"))).where("length >= 8")
+    t = walls.select("plan", "number", "x0", "y0", "x1", "y1").join(known.hint("merge"), "plan").withColumn("length", F.hypot(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0"))).where("length >= 8")
     t = t.withColumns({"radius": size(240, 5, 13).cast("int"), "steps": F.greatest(F.lit(1), F.ceil(F.col("length") / size(650, 2, 5))).cast("int")})
-    t = t.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("steps")))).withColumn("o", F.explode(F.sequence(-F.col("radius"), F.col("radius"))))
+    t = spread(t, "plan", "number").withColumn("i", F.explode(F.sequence(F.lit(0), F.col("steps")))).withColumn("o", F.explode(F.sequence(-F.col("radius"), F.col("radius"))))
     at = lambda a, b: F.col(a) + (F.col(b) - F.col(a)) * (F.col("i") / F.col("steps"))
     dx, dy = (F.col("x1") - F.col("x0")) / F.col("length"), (F.col("y1") - F.col("y0")) / F.col("length")
     looked = t.select("plan", "number", "steps", "i", _nearest(at("x0", "x1") - dy * F.col("o")).alias("gx"), _nearest(at("y0", "y1") + dx * F.col("o")).alias("gy"))
     rgb = [F.col(c) for c in "rgb"]
     light, vivid, hue = luminance(*rgb) / 255, saturation(*rgb), hue_degrees(*rgb)
     kinds = {"blue": (vivid >= 0.18) & hue.between(175, 230), "red": (vivid >= 0.16) & ((hue <= 24) | (hue >= 350)), "brown": (vivid >= 0.16) & (hue > 24) & (hue <= 58), "neutral": vivid < 0.18, "dark": (vivid < 0.2) & (light < 0.34)}
-    seen = traced(pixels, plans).select("plan", "gx", "gy", vivid.alias("vivid"), *(v.alias(k) for k, v in kinds.items()))
-    found = looked.join(seen, ["plan", "gx", "gy"], "left")
+    seen = traced(pixels, plans).select("plan", "gy", "x0", "x1", vivid.alias("vivid"), *(v.alias(k) for k, v in kinds.items()), F.explode(F.sequence(*(F.floor(F.col(c) / BLOCK) for c in ("x0", "x1")))).alias("bx"))
+    found = looked.withColumn("bx", F.floor(F.col("gx") / BLOCK)).join(seen.hint("merge"), ["plan", "gy", "bx"]).where("gx between x0 and x1")
     sample = found.groupBy("plan", "number", "steps", "i").agg(F.count("vivid").alias("n"), F.sum(F.coalesce("vivid", F.lit(0.0)).cast("decimal(28,9)")).alias("vivid"), *(F.count_if(F.col(k)).alias(k) for k in kinds))
-    before = F.lag("n", 1, 0).over(Window.partitionBy("plan", "number").orderBy("i"))
-    sample = sample.withColumn("begins", (F.col("n") > 0) & (before == 0))
-    total = sample.groupBy("plan", "number", "steps").agg(F.count_if(F.col("n") > 0).alias("rows"), F.sum("n").alias("n"), F.sum("vivid").cast("double").alias("vivid"), F.count_if("begins").alias("runs"), *(F.sum(k).alias(k) for k in kinds)).where("n > 0")
+    # only samples with traced pixels have a row: one begins a run where the sample before it has none
+    before = F.lag("i").over(Window.partitionBy("plan", "number").orderBy("i"))
+    sample = sample.where("n > 0").withColumn("begins", F.coalesce(F.col("i") - before > 1, F.lit(True)))
+    total = sample.groupBy("plan", "number", "steps").agg(F.count(F.lit(1)).alias("rows"), F.sum("n").alias("n"), F.sum("vivid").cast("double").alias("vivid"), F.count_if("begins").alias("runs"), *(F.sum(k).alias(k) for k in kinds))
     share = {f"{k}_share": F.col(k) / F.col("n") for k in kinds}
     return total.select("plan", "number", (F.col("rows") / (F.col("steps") + 1)).alias("coverage"), (F.col("n") / F.col("rows")).alias("thickness"), (F.col("vivid") / F.col("n")).alias("saturation"), *(v.alias(k) for k, v in share.items()), clamp((F.col("runs") - 1) / F.col("steps"), 0.0, 1.0).alias("gap_share"))
 
@@ -403,14 +424,14 @@ def distinct_walls(walls: DataFrame) -> DataFrame:
 
 def detect_walls(pixels: DataFrame, plans: DataFrame, fallback: str = "drywall") -> DataFrame:
     """Walls (plan, wall_id, x0, y0, x1, y1, material, confidence, coverage, thickness) of every plan."""
-    mask = cut(trace_mask(pixels, plans), "mask")
+    mask = cut(mask_words(pixels, plans), "mask")
     usable = coverage(mask, plans).where("usable").select("plan")
-    candidates = cut(axis_candidates(mask.join(usable, "plan", "left_semi"), plans), "candidates")
+    candidates = cut(axis_candidates(mask.join(usable.hint("merge"), "plan", "left_semi"), plans), "candidates")
     segments = cut(merged_segments(candidates, plans), "segments")
     walls = cut(placed_walls(wall_graph(structural_segments(segments, plans), plans), plans), "walls")
     said = materials(trace_profiles(walls, pixels, plans), fallback)
     none = {"material": fallback, "confidence": 0.16, "coverage": 0.0, "thickness": 0.0}
-    known = walls.join(said, ["plan", "number"], "left").na.fill(none)
+    known = walls.join(said.hint("merge"), ["plan", "number"], "left").na.fill(none)
     return distinct_walls(known).select("plan", F.concat(F.lit("auto-wall-"), "number").alias("wall_id"), "x0", "y0", "x1", "y1", *none)
 
 
@@ -418,4 +439,4 @@ def wall_summary(walls: DataFrame, mask: DataFrame, plans: DataFrame) -> DataFra
     """Each plan's numbers of walls along and across, and the share of its image that is traced."""
     flat = F.abs(F.col("y0") - F.col("y1")) < F.abs(F.col("x0") - F.col("x1"))
     counted = walls.groupBy("plan").agg(F.count_if(flat).alias("horizontal"), F.count_if(~flat).alias("vertical"))
-    return coverage(mask, plans).join(counted, "plan", "left").na.fill(0, ["horizontal", "vertical"]).select("plan", "horizontal", "vertical", round_half_up(F.col("covered"), 3).alias("covered"), "usable")
+    return coverage(mask, plans).join(counted.hint("merge"), "plan", "left").na.fill(0, ["horizontal", "vertical"]).select("plan", "horizontal", "vertical", round_half_up(F.col("covered"), 3).alias("covered"), "usable")

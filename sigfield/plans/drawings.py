@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from sigfield.operators import crop, walls
 from sigfield.plans import views as V
 from sigfield.plans.registry import query
-from sigfield.runtime import cut
+from sigfield.runtime import cut, spread
 
 # a drawn plan has 160 x 120 pixels: scale 1, band 2, gap 4, least length 18, cross gap 6, wide gap 12, frame 8,
 # junctions within 8, parallels within 10, graph within 10
@@ -82,12 +82,12 @@ dw AS MATERIALIZED (SELECT wm.* FROM wm JOIN ac USING (plan, number) WHERE taken
 
 
 def _drawn(spark, d):
-    return cut(V.drawings(spark, d), "drawings"), V.drawn_plans(spark, d)
+    return cut(V.drawing_runs(spark, d), "drawings"), cut(spread(V.drawn_plans(spark, d), "plan"), "plans")
 
 
 def _segments(spark, d):
     pixels, plans = _drawn(spark, d)
-    candidates = cut(walls.axis_candidates(walls.trace_mask(pixels, plans), plans), "candidates")
+    candidates = cut(walls.axis_candidates(walls.mask_words(pixels, plans), plans), "candidates")
     return cut(walls.merged_segments(candidates, plans), "segments"), pixels, plans
 
 
@@ -99,7 +99,7 @@ def wall_trace_mask(spark, d):
 @query(_CANDIDATES + ' SELECT plan, o AS orientation, s AS "start", e AS "end", c0 AS cross_start, c1 AS cross_end, round(score, 9) AS score FROM cand')
 def wall_candidates(spark, d):
     pixels, plans = _drawn(spark, d)
-    return walls.axis_candidates(cut(walls.trace_mask(pixels, plans), "mask"), plans).withColumn("score", F.round("score", 9))
+    return walls.axis_candidates(cut(walls.mask_words(pixels, plans), "mask"), plans).withColumn("score", F.round("score", 9))
 
 
 @query(_SEGMENTS + ' SELECT plan, o AS orientation, s AS "start", e AS "end", c0 AS cross_start, c1 AS cross_end, round(score, 9) AS score FROM f2')
@@ -133,7 +133,7 @@ def detected_walls(spark, d):
 SELECT cv.plan, coalesce(h, 0) AS horizontal, coalesce(v, 0) AS vertical, floor(n/CAST(19200 AS DOUBLE)*1000+0.5)/1000 AS covered, n >= 40 AND n/CAST(19200 AS DOUBLE) <= 0.46 AS usable FROM cv LEFT JOIN ct USING (plan)""")
 def wall_summary(spark, d):
     pixels, plans = _drawn(spark, d)
-    return walls.wall_summary(walls.detect_walls(pixels, plans), walls.trace_mask(pixels, plans), plans)
+    return walls.wall_summary(walls.detect_walls(pixels, plans), walls.mask_words(pixels, plans), plans)
 
 
 @query()
