@@ -23,10 +23,11 @@ from sigfield.functions.scalars import clamp, round_half_up
 from sigfield.functions.scores import luminance, saturation
 from sigfield.operators.graph import by_groups, components, greedy, least_linked
 from sigfield.operators.raster import BLOCK, bits_of, words
-from sigfield.operators.walls import OPAQUE, backgrounds
+from sigfield.operators.walls import OPAQUE, backgrounds, of_plans
 from sigfield.runtime import cut, ship, spread
 
-TILE = 64
+TILE, WIDE = 64, 256  # lines and columns of a tile, whose medians one task takes
+TILES = 32  # tiles that are made pixels at once
 STRIP = 128  # lines of an image that one task labels at once
 
 
@@ -95,7 +96,7 @@ def common(a: DataFrame, b: DataFrame) -> DataFrame:
     """Runs of the pixels that are in runs of both; other columns of ``a`` stay. A pair meets in the block of its
     common pixels' first."""
     right = b.select("plan", "gy", F.col("x0").alias("_x0"), F.col("x1").alias("_x1")).withColumn("_block", _blocks(F.col("_x0"), F.col("_x1")))
-    t = a.withColumn("_block", _blocks(F.col("x0"), F.col("x1"))).join(right, ["plan", "gy", "_block"])
+    t = a.withColumn("_block", _blocks(F.col("x0"), F.col("x1"))).join(right.hint("merge"), ["plan", "gy", "_block"])
     first = F.greatest("x0", "_x0")
     both = t.where((first <= F.least("x1", "_x1")) & (F.col("_block") == F.floor(first / BLOCK)))
     rest = [c for c in a.columns if c not in ("x0", "x1")]
@@ -110,7 +111,7 @@ def _touching(a: DataFrame, b: DataFrame, keys: list[str], lines: tuple[int, ...
     t = t.select(*keys, "a", (F.col("gy") + F.col("_dy")).alias("gy"), (F.col("x0") - wide).alias("lo"), (F.col("x1") + wide).alias("hi")).withColumn("_block", _blocks(F.col("lo"), F.col("hi")))
     u = b.select(*keys, F.col("id").alias("b"), "gy", "x0", "x1").withColumn("_block", _blocks(F.col("x0"), F.col("x1")))
     first = F.greatest("lo", "x0")
-    return t.join(u, [*keys, "gy", "_block"]).where((first <= F.least("hi", "x1")) & (F.col("_block") == F.floor(first / BLOCK))).select(*keys, "a", "b")
+    return t.join(u.hint("merge"), [*keys, "gy", "_block"]).where((first <= F.least("hi", "x1")) & (F.col("_block") == F.floor(first / BLOCK))).select(*keys, "a", "b")
 
 
 def _labelled_strips(batches: Iterator[pd.DataFrame], keys: list[str], slack: int) -> Iterator[pd.DataFrame]:
@@ -149,7 +150,7 @@ def labelled(runs: DataFrame, plans: DataFrame, diagonal: bool = False, value: s
     links = cut(links.distinct(), "borders")
     nodes = links.select(*keys, F.explode(F.array("a", "b")).alias("id")).distinct()
     whole = components(nodes, links, keys).select(*keys, F.col("id").alias("label"), F.col("label").alias("_least"))
-    return t.join(whole, [*keys, "label"], "left").withColumn("label", F.coalesce("_least", "label")).drop("_least", "_strip")
+    return t.join(whole.hint("merge"), [*keys, "label"], "left").withColumn("label", F.coalesce("_least", "label")).drop("_least", "_strip")
 
 
 def stats(runs: DataFrame) -> DataFrame:
@@ -164,7 +165,7 @@ def stats(runs: DataFrame) -> DataFrame:
 
 def _colored(pixels: DataFrame, plans: DataFrame) -> DataFrame:
     """Opaque pixels, or runs of them, with their squared distance from the background, light and plan size."""
-    t = pixels.where(F.col("a") > OPAQUE).join(backgrounds(pixels, plans), "plan").join(plans, "plan")
+    t = of_plans(pixels.where(F.col("a") > OPAQUE), backgrounds(pixels, plans).join(plans.hint("merge"), "plan"))
     far = sum(((F.col(c) - F.col(f"b{c}")) * (F.col(c) - F.col(f"b{c}")) for c in "rgb"), F.lit(0.0))
     return t.select("plan", *(c for c in ("gx", "x0", "x1") if c in pixels.columns), "gy", far.alias("far"), (luminance(*(F.col(c) for c in "rgb")) / 255).alias("light"))
 
@@ -185,12 +186,12 @@ def enclosed(barrier: DataFrame, plans: DataFrame) -> DataFrame:
     free = labelled(complement(barrier, plans), plans).join(plans, "plan")
     at_border = (F.col("gy") == 0) | (F.col("gy") == F.col("height") - 1) | (F.col("x0") == 0) | (F.col("x1") == F.col("width") - 1)
     outside = free.where(at_border).select("plan", "label").distinct()
-    inner = labelled(complement(free.join(outside, ["plan", "label"], "left_semi"), plans), plans)
+    inner = labelled(complement(free.join(outside.hint("merge"), ["plan", "label"], "left_semi"), plans), plans)
     least = F.greatest(F.lit(160), _nearest(_area() * 0.0022))
     large = stats(inner).join(plans, "plan").where(F.col("area") >= least)
     share = F.col("kept") / _area()
     right = large.groupBy("plan", "width", "height").agg(F.sum("area").alias("kept")).where(share.between(0.035, 0.86))
-    return inner.join(large.join(right.select("plan"), "plan", "left_semi").select("plan", "label"), ["plan", "label"], "left_semi").select("plan", "gy", "x0", "x1")
+    return inner.join(large.join(right.select("plan"), "plan", "left_semi").select("plan", "label").hint("merge"), ["plan", "label"], "left_semi").select("plan", "gy", "x0", "x1")
 
 
 def _filled(spans: DataFrame, line: str) -> DataFrame:
@@ -243,11 +244,11 @@ def house_masks(pixels: DataFrame, plans: DataFrame) -> DataFrame:
     judged = stats(parts).join(plans, "plan").withColumn("note", _annotation())
     pad = _nearest(_side() * 0.01)
     main = judged.groupBy("plan").agg(F.min(F.struct("note", (-F.col("area")).alias("size"), "label", "left", "right", "top", "bottom")).alias("m"))
-    t = judged.join(main, "plan")
+    t = judged.join(main.hint("merge"), "plan")
     middle = lambda a, b: (F.col(a) + F.col(b)) / 2
     within = middle("left", "right").between(F.greatest(F.lit(0), F.col("m.left") - pad), F.least(F.col("width") - 1, F.col("m.right") + pad)) & middle("top", "bottom").between(F.greatest(F.lit(0), F.col("m.top") - pad), F.least(F.col("height") - 1, F.col("m.bottom") + pad))
     chosen = t.where((F.col("label") == F.col("m.label")) | (~F.col("note") & (F.col("area") >= -F.col("m.size") * 0.018) & within)).select("plan", "label")
-    built = footprints(parts.join(chosen, ["plan", "label"], "left_semi").select("plan", "gy", "x0", "x1"), plans)
+    built = footprints(parts.join(chosen.hint("merge"), ["plan", "label"], "left_semi").select("plan", "gy", "x0", "x1"), plans)
     return inside.unionByName(built)
 
 
@@ -261,7 +262,7 @@ def _line_mask(pixels: DataFrame, plans: DataFrame, house: DataFrame, contrast:
     raw = _colored(pixels, plans).where((F.col("far") > contrast * contrast) | (F.col("light") < dark))
     parts = cut(labelled(_in_house(runs_of(raw, ["plan"]), house), plans, diagonal=True), "lines")
     kept = stats(parts).join(plans, "plan").where(keep).select("plan", "label")
-    wide = dilated(parts.join(kept, ["plan", "label"], "left_semi").select("plan", "gy", "x0", "x1"), plans, F.greatest(F.lit(1), _nearest(_side() / grow)))
+    wide = dilated(parts.join(kept.hint("merge"), ["plan", "label"], "left_semi").select("plan", "gy", "x0", "x1"), plans, F.greatest(F.lit(1), _nearest(_side() / grow)))
     mask = cut(_in_house(wide, house), "line-mask")
     n = mask.groupBy("plan").agg(F.sum(F.col("x1") - F.col("x0") + 1).alias("n")).join(plans, "plan")
     return mask.join(n.where((F.col("n") >= least) & (F.col("n") / _area() <= most)).select("plan"), "plan", "left_semi")
@@ -298,36 +299,71 @@ def covered_share(mask: DataFrame, plans: DataFrame) -> DataFrame:
 # --- rooms by colour
 
 
-def median_colors(pixels: DataFrame, plans: DataFrame, radius: int = 2) -> DataFrame:
-    """Opaque pixels with the upper median of each channel over the square around them; beyond a border its pixels
-    repeat. Each tile of an image, with the pixels just around it, is one small group."""
+def _median_runs(batches: Iterator[pd.DataFrame], radius: int, tile: tuple[int, int]) -> Iterator[pd.DataFrame]:
+    """Runs of equal medians of the opaque pixels of tiles, from the runs of each tile and around it."""
+    side, (tall, across) = 2 * radius + 1, tile
+    high = tall + 2 * radius
+    for t in by_groups(batches, ["plan", "tx", "ty"]):
+        starts = np.append(np.flatnonzero((t[["plan", "tx", "ty"]] != t[["plan", "tx", "ty"]].shift()).any(axis=1).to_numpy()), len(t))
+        for k in range(0, len(starts) - 1, TILES):
+            ends = starts[k : k + TILES + 1]
+            rows = t.iloc[ends[0] : ends[-1]]
+            of = np.repeat(np.arange(len(ends) - 1), np.diff(ends))
+            tx, ty, width, height = (t[c].to_numpy()[ends[:-1]].astype(np.int64) for c in ("tx", "ty", "width", "height"))
+            left, top = tx * across - radius, ty * tall - radius
+            wide = min(across, int((width - tx * across).max())) + 2 * radius
+            gy, x0, x1 = (rows[c].to_numpy().astype(np.int64) for c in ("gy", "x0", "x1"))
+            line = gy - top[of]
+            first = np.maximum(np.maximum(x0, 0) - left[of], 0)
+            last = np.minimum(np.minimum(x1, width[of] - 1) - left[of], wide - 1)
+            n = np.where((line >= 0) & (line < high) & (gy >= 0) & (gy < height[of]), np.maximum(last - first + 1, 0), 0)
+            at = np.repeat((of * high + line) * wide + first - np.cumsum(n) + n, n) + np.arange(n.sum())
+            image = np.zeros((len(tx) * high * wide, 4), np.uint8)
+            image[at] = np.repeat(rows[["r", "g", "b", "a"]].fillna(0).to_numpy().astype(np.uint8), n, axis=0)
+            image = image.reshape(len(tx), high, wide, 4)
+            # beyond a border its pixels repeat
+            x = np.clip(left[:, None] + np.arange(wide), 0, width[:, None] - 1) - left[:, None]
+            y = np.clip(top[:, None] + np.arange(high), 0, height[:, None] - 1) - top[:, None]
+            image = image[np.arange(len(tx))[:, None, None], np.clip(y, 0, high - 1)[:, :, None], np.clip(x, 0, wide - 1)[:, None, :]]
+            middle = image[:, radius:-radius, radius:-radius, :3].copy()
+            inside = (np.arange(tall) + ty[:, None] * tall < height[:, None])[:, :, None] & (np.arange(wide - 2 * radius) + tx[:, None] * across < width[:, None])[:, None, :]
+            seen = inside & (image[:, radius:-radius, radius:-radius, 3] > OPAQUE)
+            windows = np.lib.stride_tricks.sliding_window_view(image[..., :3], (side, side), (1, 2))
+            flat = (image[:, 1:, :, :3] == image[:, :-1, :, :3]).all(axis=-1), (image[:, :, 1:, :3] == image[:, :, :-1, :3]).all(axis=-1)
+            plain = np.lib.stride_tricks.sliding_window_view(flat[0], (side - 1, side), (1, 2)).all(axis=(-2, -1)) & np.lib.stride_tricks.sliding_window_view(flat[1], (side, side - 1), (1, 2)).all(axis=(-2, -1))
+            mixed = np.nonzero(seen & ~plain)  # where all is equal the pixel is its own median
+            found = windows[mixed].reshape(len(mixed[0]), 3, side * side)
+            middle[mixed] = np.partition(found, side * side // 2, axis=-1)[..., side * side // 2]
+            colour = np.where(seen, middle.astype(np.int32) @ np.array([65536, 256, 1], np.int32), -1)
+            begins = np.ones(colour.shape, bool)
+            begins[:, :, 1:] = colour[:, :, 1:] != colour[:, :, :-1]
+            start = np.flatnonzero(begins)
+            n, c = np.diff(start, append=colour.size), colour.ravel()[start]
+            start, n, c = start[c >= 0], n[c >= 0], c[c >= 0]
+            of, y, x = np.unravel_index(start, colour.shape)
+            x = x + tx[of] * across
+            out = {"gy": y + ty[of] * tall, "x0": x, "x1": x + n - 1, "r": c >> 16, "g": c >> 8 & 255, "b": c & 255}
+            yield pd.DataFrame({"plan": t["plan"].to_numpy()[ends[:-1]][of], **{k: v.astype(np.int32) for k, v in out.items()}})
+
+
+def median_runs(pixels: DataFrame, plans: DataFrame, radius: int = 2) -> DataFrame:
+    """Runs (plan, gy, x0, x1, r, g, b) of opaque pixels with the upper median of each channel over the square around them; beyond a
+    border its pixels repeat. A run may go on in the next tile. Each tile of an image comes to one task with the runs in and just
+    around it; only TILES of them are pixels at once."""
     ship(pixels.sparkSession)
-    pixels = cells(pixels) if "x0" in pixels.columns else pixels
-    tile = lambda c: F.explode(F.sequence(F.floor((F.col(c) - radius) / TILE).cast("int"), F.floor((F.col(c) + radius) / TILE).cast("int")))
-    t = pixels.join(plans, "plan").withColumn("tx", tile("gx")).withColumn("ty", tile("gy")).where("tx >= 0 and ty >= 0 and tx * {0} < width and ty * {0} < height".format(TILE))
-    side = 2 * radius + 1
-
-    def median(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        width, height = int(rows["width"].iloc[0]), int(rows["height"].iloc[0])
-        x0, y0 = key[1] * TILE, key[2] * TILE
-        x1, y1 = min(width, x0 + TILE), min(height, y0 + TILE)
-        # the tile and what is around it within the image, then repeated pixels beyond the border
-        left, top, right, low = max(0, x0 - radius), max(0, y0 - radius), min(width, x1 + radius), min(height, y1 + radius)
-        image = np.zeros((low - top, right - left, 4), np.uint8)
-        at = rows["gy"].to_numpy() - top, rows["gx"].to_numpy() - left
-        inside = (at[0] >= 0) & (at[0] < low - top) & (at[1] >= 0) & (at[1] < right - left)
-        image[at[0][inside], at[1][inside]] = rows[["r", "g", "b", "a"]].fillna(0).to_numpy()[inside]
-        beyond = ((radius - (y0 - top), radius - (low - y1)), (radius - (x0 - left), radius - (right - x1)), (0, 0))
-        padded = np.pad(image[:, :, :3], beyond, mode="edge")
-        windows = np.lib.stride_tricks.sliding_window_view(padded, (side, side), (0, 1)).reshape(y1 - y0, x1 - x0, 3, side * side)
-        middle = np.sort(windows, axis=-1)[..., side * side // 2]
-        opaque = image[y0 - top : y1 - top, x0 - left : x1 - left, 3] > OPAQUE
-        gy, gx = np.nonzero(opaque)
-        out = middle[gy, gx]
-        return pd.DataFrame({"plan": [key[0]] * len(gx), "gx": gx + x0, "gy": gy + y0, "r": out[:, 0], "g": out[:, 1], "b": out[:, 2]})
-
-    kind = pixels.schema["plan"].dataType.simpleString()
-    return t.groupBy("plan", "tx", "ty").applyInPandas(median, f"plan {kind}, gx int, gy int, r int, g int, b int")
+    ends = ["x0", "x1"] if "x0" in pixels.columns else [F.col("gx").alias("x0"), F.col("gx").alias("x1")]
+    tile = lambda lo, hi, n, size: F.explode(F.sequence(F.greatest(F.lit(0), F.floor((F.col(lo) - radius) / n)).cast("int"), F.least(F.floor((F.col(size) - 1) / n), F.floor((F.col(hi) + radius) / n)).cast("int")))
+    t = of_plans(pixels.select("plan", "gy", *ends, "r", "g", "b", "a"), plans.select("plan", "width", "height")).where("x1 >= 0 and x0 < width and gy >= 0 and gy < height")
+    t = t.withColumn("tx", tile("x0", "x1", WIDE, "width")).withColumn("ty", tile("gy", "gy", TILE, "height"))
+    keys = ["plan", "tx", "ty"]
+    dealt = spread(t, *keys).sortWithinPartitions(*keys)
+    kind, size = pixels.schema["plan"].dataType.simpleString(), (TILE, WIDE)
+    return dealt.mapInPandas(lambda batches: _median_runs(batches, radius, size), f"plan {kind}, gy int, x0 int, x1 int, r int, g int, b int")
+
+
+def median_colors(pixels: DataFrame, plans: DataFrame, radius: int = 2) -> DataFrame:
+    """The pixels (plan, gx, gy, r, g, b) of ``median_runs``."""
+    return cells(median_runs(pixels, plans, radius)).select("plan", "gx", "gy", "r", "g", "b")
 
 
 def color_regions(pixels: DataFrame, plans: DataFrame, house: DataFrame) -> DataFrame:
@@ -336,15 +372,15 @@ def color_regions(pixels: DataFrame, plans: DataFrame, house: DataFrame) -> Data
     1 in reading order. Then each pocket of other pixels that touches one region alone, and neither the border nor
     the outside of the house, goes to that region if it is small enough."""
     top, low = F.greatest("r", "g", "b"), F.least("r", "g", "b")
-    filled = median_colors(pixels, plans).where(~((F.col("r") >= 232) & (F.col("g") >= 232) & (F.col("b") >= 232)) & (top > 70) & (top - low >= 10))
+    filled = median_runs(pixels, plans).where(~((F.col("r") >= 232) & (F.col("g") >= 232) & (F.col("b") >= 232)) & (top > 70) & (top - low >= 10))
     step = lambda c: _nearest(F.col(c) / 20)
     bucket = (step("r") * 65536 + step("g") * 256 + step("b")).alias("bucket")
-    raw = runs_of(filled.select("plan", "gx", "gy", bucket), ["plan", "bucket"])
+    raw = cut(runs_of(filled.select("plan", "gy", "x0", "x1", bucket), ["plan", "bucket"]), "buckets")  # read twice
     parts = cut(labelled(_in_house(raw, house), plans, value="bucket"), "colours")
     size = parts.groupBy("plan", "label").agg(F.sum(F.col("x1") - F.col("x0") + 1).alias("area")).join(plans, "plan")
     large = size.where(F.col("area") >= F.greatest(F.lit(120), _nearest(_area() * 0.0012)))
     numbered = large.withColumn("region", F.row_number().over(Window.partitionBy("plan").orderBy("label"))).select("plan", "label", "region")
-    rooms = cut(parts.join(numbered, ["plan", "label"]).select("plan", "gy", "x0", "x1", "region"), "rooms")
+    rooms = cut(parts.join(numbered.hint("merge"), ["plan", "label"]).select("plan", "gy", "x0", "x1", "region"), "rooms")
 
     with_rooms = plans.join(rooms.select("plan").distinct(), "plan", "left_semi")
     free = _in_house(complement(rooms, with_rooms), house)
@@ -352,11 +388,11 @@ def color_regions(pixels: DataFrame, plans: DataFrame, house: DataFrame) -> Data
     outside = complement(house.join(with_rooms, "plan", "left_semi"), with_rooms.join(house.select("plan").distinct(), "plan", "left_semi"))
     around = rooms.withColumnRenamed("region", "id").unionByName(outside.withColumn("id", F.lit(0)))
     beside = _touching(holes, around, ["plan"], (-1, 0, 1)).groupBy("plan", F.col("a").alias("label")).agg(F.min("b").alias("least"), F.max("b").alias("most"))
-    t = stats(holes).join(plans, "plan").join(beside, ["plan", "label"])
+    t = stats(holes).join(plans, "plan").join(beside.hint("merge"), ["plan", "label"])
     inner = (F.col("left") > 0) & (F.col("right") < F.col("width") - 1) & (F.col("top") > 0) & (F.col("bottom") < F.col("height") - 1)
     small = F.col("area") <= F.greatest(F.lit(2000), _nearest(_area() * 0.004))
     pockets = t.where(inner & small & (F.col("least") > 0) & (F.col("least") == F.col("most"))).select("plan", "label", F.col("least").alias("region"))
-    return joined(rooms.unionByName(holes.join(pockets, ["plan", "label"]).select("plan", "gy", "x0", "x1", "region")), ["plan", "region"])
+    return joined(rooms.unionByName(holes.join(pockets.hint("merge"), ["plan", "label"]).select("plan", "gy", "x0", "x1", "region")), ["plan", "region"])
 
 
 # --- markers

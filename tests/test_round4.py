@@ -52,3 +52,37 @@ def test_images_are_not_broadcast(spark, sf, monkeypatch, name):
         monkeypatch.setitem(module if isinstance(module, dict) else vars(module), "cut", keep)
     keep(getattr(drawings, name)(spark, sf), "out")
     assert len(plans) > 2 and not [p for p in plans if "Broadcast" in p]
+
+
+@pytest.mark.parametrize("tile", [(64, 256), (8, 16)])
+def test_median_runs(spark, monkeypatch, tile):
+    """Medians of runs as those of every pixel's window, with borders that repeat, gaps, and tiles that runs go through."""
+    import numpy as np
+
+    from sigfield.operators import regions
+
+    monkeypatch.setattr(regions, "TILE", tile[0])
+    monkeypatch.setattr(regions, "WIDE", tile[1])
+    rng = random.Random(11)
+    sizes, rows, images = {0: (70, 30), 1: (9, 67), 2: (1, 3)}, [], {}
+    for plan, (w, h) in sizes.items():
+        images[plan] = image = np.zeros((h, w, 4), int)
+        for y in range(h):
+            x = 0
+            while x < w:
+                n = min(rng.choice([1, 2, 25]), w - x)
+                c = rng.choice([(10, 200, 30, 255), (90, 20, 250, 255), (90, 90, 90, 255), (5, 5, 5, 10), None])
+                if c:
+                    rows.append((plan, y, x, x + n - 1, *c))
+                    image[y, x : x + n] = c
+                x += n
+    runs = spark.createDataFrame(rows, "plan int, gy int, x0 int, x1 int, r int, g int, b int, a int")
+    plans = spark.createDataFrame([(p, w, h) for p, (w, h) in sizes.items()], "plan int, width int, height int")
+    want = set()
+    for plan, image in images.items():
+        padded = np.pad(image[..., :3], ((2, 2), (2, 2), (0, 0)), mode="edge")
+        for y, x in zip(*np.nonzero(image[..., 3] > 24)):
+            want.add((plan, int(x), int(y), *(int(sorted(padded[y : y + 5, x : x + 5, c].ravel())[12]) for c in range(3))))
+    found = list(map(tuple, regions.median_colors(runs, plans).collect()))
+    assert set(found) == want and len(found) == len(want)
+    assert regions.median_runs(runs, plans).count() < len(want)
